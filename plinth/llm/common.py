@@ -68,6 +68,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """
     edges = cut(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
     labels = None
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p"))

@@ -13,8 +13,11 @@
    members to one of them; lists whose members are already one component are
    skipped from then on.  Then each member meets its best partner outside its
    component, and last all pairs across components.  Long lists are dealt in
-   blocks.  Only pairs above the match threshold are kept, and every one of
-   them is confirmed on the full shingle sets.
+   blocks.  A pair that meets in several lists counts in the one of its lowest
+   common prefix coordinate.  Only pairs above the match threshold are kept whose
+   bitmaps allow the similarity: buckets that just one of two sets fills give a
+   sure lower bound of their difference, so no link is lost by that.  Every pair
+   left is confirmed on the full shingle sets.
 4. Links become components by hooking and pointer jumping, as joins.
 
 A pair with similarity 0.8 is missed with a chance of 3e-7 (fewer than 34 of 64
@@ -40,8 +43,9 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, cut
 
-COORDS, MATCH = 64, 34
+COORDS, MATCH = 64, 34  # at most 64 coordinates: prefixes are kept as bits of a long
 BLOCK = 1024
+LEAST_BITS = 4096
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SHIFT = np.uint64(29)
 
@@ -73,6 +77,14 @@ def shingle_set(text: bytes, words_each: int, hashes: dict) -> np.ndarray:
     return np.unique(h)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Filled buckets of a set, eight or more for each shingle."""
+    size = max(LEAST_BITS, 1 << (8 * max(1, len(shingles)) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def _permutations(coords: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     return rng.integers(1, 2**63, (coords, 1), dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, (coords, 1), dtype=np.uint64)
@@ -105,23 +117,24 @@ def _sketch(docs: DataFrame, id_col: str, text: str, words_each: int, coords: in
     return docs.select(F.col(id_col).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc long, n long, digest binary, sig array<int>")
 
 
-def _sets(docs: DataFrame, id_col: str, text: str, words_each: int) -> DataFrame:
-    """(digest, shingles) of every row: the sorted hashes as bytes."""
+def _sets(docs: DataFrame, text: str, words_each: int) -> DataFrame:
+    """(digest, shingles, bits) of every row: the sorted hashes and the bitmap, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                found = [shingle_set(t or b"", words_each, hashes).tobytes() for t in batch.slice(at, 512).column(0).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], ["digest", "shingles"])
+                found = [shingle_set(t or b"", words_each, hashes) for t in batch.slice(at, 512).column(0).cast(pa.binary()).to_pylist()]
+                raw = [s.tobytes() for s in found]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in ([xxhash.xxh3_128_digest(s) for s in raw], raw, [bitmap(s).tobytes() for s in found])], ["digest", "shingles", "bits"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "digest binary, shingles binary")
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "digest binary, shingles binary, bits binary")
 
 
-def _agree(pairs: DataFrame, sigs: DataFrame, match: int) -> DataFrame:
+def _agree(pairs: DataFrame, members: DataFrame, match: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree in ``match`` coordinates."""
-    sa = sigs.select(F.col("digest").alias("a"), F.col("sig").alias("sa"))
-    sb = sigs.select(F.col("digest").alias("b"), F.col("sig").alias("sb"))
+    sa = members.select(F.col("cid").alias("a"), F.col("sig").alias("sa"))
+    sb = members.select(F.col("cid").alias("b"), F.col("sig").alias("sb"))
 
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -132,8 +145,8 @@ def _agree(pairs: DataFrame, sigs: DataFrame, match: int) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of the full sets."""
-    sa = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa"))
-    sb = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
+    sa = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
+    sb = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -147,111 +160,142 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sa, "a").join(sb, "b").where(alike("sa", "sb")).select("a", "b")
 
 
-def _across(postings: DataFrame, sigs: DataFrame, match: int, percent: int, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of one posting list and two components that pass the match threshold.
-
-    ``postings``: pos, val, digest, n, root.  Lists with one component are
-    skipped.  A list of more than ``BLOCK`` members is dealt in blocks, and each
-    pair of blocks is one group, so no task holds more than two blocks of a list.
+def _fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of as many words, by the union of their parts."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def _matches(group: pd.DataFrame, match: int, percent: int, best_only: bool) -> list[tuple[int, int]]:
+    """Pairs of one posting list (or of two of its blocks) across components that may be links."""
+    ids, code, n = group["cid"].to_numpy(), group["root"].to_numpy(), group["n"].to_numpy()
+    if (code == code[0]).all():
+        return []
+    block, mask, pos = group["mine"].to_numpy(), group["mask"].to_numpy(), int(group["pos"].iloc[0])
+    crossing = group["i"].iloc[0] != group["j"].iloc[0]
+    sig = np.stack(group["sig"].to_list())
+    raw = [np.frombuffer(b, np.uint64) for b in group["bits"]]
+    widths = np.array([len(b) for b in raw])
+    tables = {w: np.stack([_fold(b, w) if len(b) >= w else np.zeros(w, np.uint64) for b in raw]) for w in np.unique(widths).tolist()}
+    lower = np.int64((1 << pos) - 1)
+    found = []
+    for k in range(len(ids)):
+        ok = (code != code[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+        if crossing:
+            ok &= block != block[k]
+        if not best_only:
+            ok[: k + 1] = False
+        at = np.flatnonzero(ok)
+        shared = np.zeros(len(at), np.int64)  # at most so many common shingles
+        for w in np.unique(np.minimum(widths[at], widths[k])).tolist():
+            own = np.minimum(widths[at], widths[k]) == w
+            apart = np.bitwise_count(tables[w][at[own]] ^ tables[w][k]).sum(axis=1, dtype=np.int64)
+            shared[own] = (n[at[own]] + n[k] - apart) // 2
+        able = 100 * shared >= percent * (n[at] + n[k] - shared)
+        at, shared = at[able], shared[able]
+        if not len(at):
+            continue
+        equal = sig[at] == sig[k]
+        enough = equal.sum(axis=1) >= match
+        at, shared, equal = at[enough], shared[enough], equal[enough]
+        if best_only and len(at):
+            best = [int(np.argmax(shared / (n[at] + n[k] - shared)))]
+            at, equal = at[best], equal[best]
+        elif len(at):
+            # The lists of a pair are the equal coordinates of both prefixes; it counts in the lowest.
+            common = (equal << np.arange(equal.shape[1], dtype=np.uint64)).astype(np.uint64).sum(axis=1).view(np.int64) & mask[at] & mask[k]
+            at = at[(common & lower) == 0]
+        found += [(int(min(ids[k], ids[x])), int(max(ids[k], ids[x]))) for x in at]
+    return found
+
+
+def _across(postings: DataFrame, members: DataFrame, match: int, percent: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b) that share a posting list and are of two components.
+
+    ``postings``: token, pos, cid, root; ``members``: cid, n, sig, bits, mask.
+    Lists with one component are skipped.  A list of more than ``BLOCK`` members is
+    dealt in blocks, and each pair of blocks is one group, so no task holds more
+    than two blocks of a list.
     """
-    mixed = postings.groupBy("pos", "val").agg(F.count("*").alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("pos", "val", "g")
-    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    mixed = postings.groupBy("token").agg(F.count("*").alias("g"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    mixed = mixed.select("token", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
     dealt = (
-        postings.join(mixed, ["pos", "val"]).withColumn("blocks", blocks).withColumn("mine", mine)
+        postings.join(mixed, "token").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("pos", "val", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "digest", "n", "root")
-        .join(sigs.select("digest", "sig"), "digest")
+        .select("token", "pos", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "root")
+        .join(members, "cid")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for frame in batches:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            key = frame[["pos", "val", "i", "j"]].to_numpy()
+            key = frame[["token", "i", "j"]].to_numpy()
             ends = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             last = int(ends[-1]) if len(ends) else 0
             rest = frame.iloc[last:].reset_index(drop=True)
-            out = [p for s, e in zip([0, *ends[:-1]], ends, strict=False) for p in compare(frame.iloc[s:e])]
+            out = [p for s, e in zip([0, *ends[:-1]], ends, strict=False) for p in _matches(frame.iloc[s:e], match, percent, best_only)]
             yield pd.DataFrame(out, columns=["a", "b"])
         if rest is not None and len(rest):
-            yield pd.DataFrame(compare(rest), columns=["a", "b"])
-
-    def compare(group: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-        ids, root, n = group["digest"].tolist(), group["root"].tolist(), group["n"].to_numpy()
-        sig, block = np.stack(group["sig"].to_list()), group["mine"].to_numpy()
-        code = np.unique(np.array([r.hex() for r in root]), return_inverse=True)[1]
-        crossing = group["i"].iloc[0] != group["j"].iloc[0]
-        found = []
-        for k in range(len(ids)):
-            ok = (code != code[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
-            if crossing:
-                ok &= block != block[k]
-            if not best_only:
-                ok[: k + 1] = False
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            equal = (sig[at] == sig[k]).sum(axis=1)
-            at, equal = at[equal >= match], equal[equal >= match]
-            if best_only and len(at):
-                at = at[[int(equal.argmax())]]
-            found += [(min(ids[k], ids[x]), max(ids[k], ids[x])) for x in at]
-        return found
-
-    parts = F.col("pos"), F.col("val"), F.col("i"), F.col("j")
-    return dealt.repartition(*parts).sortWithinPartitions(*parts, "digest").mapInPandas(run, "a binary, b binary").distinct()
+            yield pd.DataFrame(_matches(rest, match, percent, best_only), columns=["a", "b"])
+
+    by = F.col("token"), F.col("i"), F.col("j")
+    return dealt.repartition(*by).sortWithinPartitions(*by, "cid").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", words_each: int = 5, percent: int = 80, coords: int = COORDS, match: int = MATCH
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    if coords > 64:
+        raise ValueError("a signature has 64 coordinates at most")
     feats = cut(_sketch(docs, id_col, text, words_each, coords), "sketch")
     classes = feats.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = cut(classes, "classes")
-    tokens = classes.select("digest", "n", F.posexplode("sig").alias("pos", "val"))
-    shared = tokens.groupBy("pos", "val").agg(F.count("*").alias("freq")).where("freq > 1")
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # written, so the ids stay
+
+    token = (F.col("pos").cast("long") * F.lit(2**32)) + F.col("val").cast("long")  # values are signed: still one to one
+    tokens = classes.select("cid", F.posexplode("sig").alias("pos", "val")).select("cid", token.alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
     prefix = (
-        tokens.join(shared, ["pos", "val"]).groupBy("digest", "n").agg(F.sort_array(F.collect_list(F.struct("freq", "pos", "val"))).alias("t"))
-        .where(F.size("t") >= match).select("digest", "n", F.explode(F.expr(f"slice(t, 1, size(t) - {match} + 1)")).alias("t"))
+        tokens.join(shared, "token").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("t"))
+        .where(F.size("t") >= match).select("cid", F.expr(f"slice(t, 1, size(t) - {match} + 1)").alias("t"))
     )
-    postings = cut(prefix.select("t.pos", "t.val", "digest", "n"), "postings")
-    members = cut(classes.join(postings.select("digest").distinct(), "digest", "left_semi"), "members")
+    prefix = cut(prefix, "prefix")
+    pos = lambda t: F.floor((t + F.lit(2**31)) / F.lit(2**32)).cast("int")
+    postings = prefix.select("cid", F.explode("t.token").alias("token")).withColumn("pos", pos(F.col("token")))
+    mask = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), pos(x["token"]))))
+    members = classes.join(prefix.select("cid", mask.alias("mask")), "cid")
     wanted = members.select(F.col("rep").alias(id_col))
-    sets = cut(_sets(docs.join(wanted, id_col, "left_semi"), id_col, text, words_each).join(members.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "sets")
+    sets = _sets(docs.join(wanted, id_col, "left_semi"), text, words_each).dropDuplicates(["digest"])
+    members = cut(members.join(sets, "digest"), "members")
+    sets = members.select("cid", "shingles")
 
-    first = postings.groupBy("pos", "val").agg(F.min(F.struct("digest", "n")).alias("lead"))
+    weighed = postings.join(members.select("cid", "n"), "cid")
+    first = weighed.groupBy("token").agg(F.min(F.struct("cid", "n")).alias("lead"))
     star = (
-        postings.join(first, ["pos", "val"]).where("lead.digest <> digest").where(f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
-        .select(F.col("lead.digest").alias("a"), F.col("digest").alias("b")).distinct()
+        weighed.join(first, "token").where("lead.cid <> cid").where(f"100 * least(n, lead.n) >= {percent} * greatest(n, lead.n)")
+        .select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct()
     )
     links = cut(_confirm(_agree(star, members, match), sets, percent), "links")
-    roots = members.select("digest", F.col("digest").alias("root"))
+    roots = members.select("cid", F.col("cid").alias("root"))
     for best_only in (True, False):
         roots = _merge(roots, links)
-        pairs = _across(postings.join(roots, "digest"), members, match, percent, best_only)
+        pairs = _across(postings.join(roots, "cid"), members.select("cid", "n", "sig", "bits", "mask"), match, percent, best_only)
         links = cut(_confirm(pairs, sets, percent), "links")
     roots = _merge(roots, links)
 
-    ids = _component_ids(roots, members)
-    found = feats.join(classes.select("digest", "rep"), "digest", "left").join(ids, "digest", "left")
-    component = F.coalesce("component_id", "rep", "doc")
-    component = F.when(F.col("n") == 0, F.col("doc")).otherwise(component)
-    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = roots.join(members.select("cid", "digest", "rep"), "cid")
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    ids = named.join(least, "root").select("digest", "component_id")
+    found = feats.select("doc", "n", "digest").join(classes.select("digest", "rep"), "digest", "left").join(ids, "digest", "left")
+    component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component_id", "rep"))
+    out = found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), component).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """``roots`` (digest, root) after the links (a, b) between digests."""
-    ra = roots.select(F.col("digest").alias("a"), F.col("root").alias("ra"))
-    rb = roots.select(F.col("digest").alias("b"), F.col("root").alias("rb"))
+    """``roots`` (cid, root) after the links (a, b) between classes."""
+    ra = roots.select(F.col("cid").alias("a"), F.col("root").alias("ra"))
+    rb = roots.select(F.col("cid").alias("b"), F.col("root").alias("rb"))
     edges = links.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     moved = connected_components(edges, "near").select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return cut(roots.join(moved, "root", "left").select("digest", F.coalesce("to", "root").alias("root")), "roots")
-
-
-def _component_ids(roots: DataFrame, members: DataFrame) -> DataFrame:
-    """(digest, component_id): the least id of any class of the component."""
-    named = roots.join(members.select("digest", "rep"), "digest")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return named.join(least, "root").select("digest", "component_id")
+    return cut(roots.join(moved, "root", "left").select("cid", F.coalesce("to", "root").alias("root")), "roots")
