@@ -129,7 +129,10 @@ def _settle(copied: DataFrame, cap: int) -> DataFrame:
 
 
 def _sum_before(rows: DataFrame, value: str) -> DataFrame:
-    """(key, block, before): the sum of ``value`` over the earlier blocks of a source."""
+    """(key, block, before): the sum of ``value`` over the earlier blocks of a source.
+
+    Written at once: Spark would else deal the documents by source alone, to suit this window.
+    """
     sums = rows.groupBy("key", "block").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return sums.select("key", "block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("before"))
+    return cut(sums.select("key", "block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("before")), "before")
