@@ -119,9 +119,12 @@ def mix(
 
 def _settle(copied: DataFrame, cap: int) -> DataFrame:
     """``copied`` with a copy more or less of the first documents that fit into what a source lacks or has too much."""
-    rest = copied.groupBy("key").agg((F.round(F.first("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("rest"))
+    # Documents meet what is per source by (source, block): a join by source alone would deal a hot source to one task.
+    sums = cut(copied.groupBy("key", "block").agg(F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken")), "taken")
+    lacks = sums.groupBy("key").agg((F.round(F.first("target")).cast("long") - F.sum("taken")).alias("rest"))
+    rest = cut(sums.select("key", "block").join(lacks, "key"), "rest")
     fit = F.when(F.col("rest") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-    able = copied.join(rest, "key").withColumn("able", F.when(fit & (F.col("size") <= F.abs("rest")), F.col("size")).otherwise(0).cast("long"))
+    able = copied.join(rest, ["key", "block"]).withColumn("able", F.when(fit & (F.col("size") <= F.abs("rest")), F.col("size")).otherwise(0).cast("long"))
     run = F.col("before") + F.sum("able").over(Window.partitionBy("key", "block").orderBy("size", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     settled = able.join(_sum_before(able, "able"), ["key", "block"]).withColumn("run", run)
     change = F.when((F.col("able") > 0) & (F.col("run") <= F.abs("rest")), F.signum("rest")).otherwise(0).cast("long")
