@@ -172,14 +172,14 @@ def scan(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text"
     context, found = docs.sparkSession.sparkContext, []
     for automaton in _automata(items, item_id, item_text, window, max_chunk_words):
         found.append(_scanner(context.broadcast(automaton))(F.col(text).cast("string")))
-    parts = [f"_scan{i}" for i in range(len(found))]
+    parts = [f"__scan{i}" for i in range(len(found))]
     out = docs.withColumns(dict(zip(parts, found, strict=True)))
     if len(parts) == 1:
-        ranges, hit = F.col("_scan0.ranges"), F.col("_scan0.items")
+        ranges, hit = F.col("__scan0.ranges"), F.col("__scan0.items")
     else:
         ranges, hit = F.flatten(F.array(*[f"{p}.ranges" for p in parts])), F.flatten(F.array(*[f"{p}.items" for p in parts]))
         ranges, hit = F.array_sort(ranges), F.array_sort(F.array_distinct(hit))
-    return out.withColumns({"n_words": F.col("_scan0.n"), "n_hit": _covered(ranges), "items": hit, "ranges": ranges}).drop(*parts)
+    return out.withColumns({"n_words": F.col("__scan0.n"), "n_hit": _covered(ranges), "items": hit, "ranges": ranges}).drop(*parts)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -139,5 +139,5 @@ def identify(docs: DataFrame, model: LanguageFilter | None, text: str = "text")
     letters = F.coalesce(body.rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    found = docs.withColumn("_found", predict.asNondeterministic()(F.coalesce(body, F.lit(""))))
-    return found.withColumns({"lang_pred": F.when(letters, F.col("_found.lang")).otherwise("und"), "score": F.when(letters, F.col("_found.score")).otherwise(0.0)}).drop("_found")
+    found = docs.withColumn("__found", predict.asNondeterministic()(F.coalesce(body, F.lit(""))))
+    return found.withColumns({"lang_pred": F.when(letters, F.col("__found.lang")).otherwise("und"), "score": F.when(letters, F.col("__found.score")).otherwise(0.0)}).drop("__found")

@@ -39,18 +39,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
     windows = cut(windows.where("not w.blank").select("id", "state", "w.at", "w.h1", "w.h2"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where(F.struct("id", "at") > F.col("first"))
-    covered = later.groupBy(F.col("id").alias("_id"), F.col("state").alias("_state")).agg(F.collect_set("at").alias("_starts"))
+    covered = later.groupBy(F.col("id").alias("__line_id"), F.col("state").alias("__line_state")).agg(F.collect_set("at").alias("__line_starts"))
 
-    joined = docs.withColumn("_own", state).join(covered, (F.col(id_col) == F.col("_id")) & (F.col("_own") == F.col("_state")), "left")
-    gone = F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (window - 1))))
+    joined = docs.withColumn("__line_own", state).join(covered, (F.col(id_col) == F.col("__line_id")) & (F.col("__line_own") == F.col("__line_state")), "left")
+    gone = F.flatten(F.transform("__line_starts", lambda s: F.sequence(s, s + (window - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    joined = joined.withColumn("_kept", F.when(F.col("_starts").isNotNull(), kept))
+    joined = joined.withColumn("__line_kept", F.when(F.col("__line_starts").isNotNull(), kept))
     n_lines = F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("long")
     out = joined.withColumns(
         {
             "n_lines": n_lines,
-            "n_removed": F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("_kept")).cast("long"),
-            "_text": F.when(F.col("_kept").isNull(), body).otherwise(F.array_join(F.transform("_kept", lambda i: F.get(F.split(body, "\n"), i)), "\n")),
+            "n_removed": F.when(F.col("__line_kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("__line_kept")).cast("long"),
+            "__line_text": F.when(F.col("__line_kept").isNull(), body).otherwise(F.array_join(F.transform("__line_kept", lambda i: F.get(F.split(body, "\n"), i)), "\n")),
         }
     )
-    return out.withColumn(text, F.col("_text")).drop("_own", "_id", "_state", "_starts", "_kept", "_text")
+    return out.withColumn(text, F.col("__line_text")).drop("__line_own", "__line_id", "__line_state", "__line_starts", "__line_kept", "__line_text")

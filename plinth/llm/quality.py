@@ -142,11 +142,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     """Learn from the labelled rows of ``docs``, ``max_train`` of them at most."""
     few = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("long").alias("_label"))
     few = few.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_train)
-    return fit_model(*_moments(docs.join(F.broadcast(few), docs[id_col] == few["_id"]).select(docs[text].cast("string"), "_label")))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text"))
+    return fit_model(*_moments(rows.join(F.broadcast(few), "_id").select("_text", "_label")))
 
 
-def score_quality(docs: DataFrame, model: QuadraticModel, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``, 0 to 1: higher is likelier label 1."""
+def score_quality(docs: DataFrame, model: QuadraticModel, text: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with a column ``score_col``, 0 to 1: higher is likelier label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -154,4 +155,4 @@ def score_quality(docs: DataFrame, model: QuadraticModel, text: str = "text") ->
         rows = [statistics(t.encode("utf-8", "surrogatepass") if t else b"") for t in texts]
         return pd.Series(shared.value.score(np.array(rows).reshape(len(rows), len(STATISTICS))))
 
-    return docs.withColumn("score", score.asNondeterministic()(F.col(text).cast("string")))  # else a filter on it runs it twice
+    return docs.withColumn(score_col, score.asNondeterministic()(F.col(text).cast("string")))  # else a filter on it runs it twice

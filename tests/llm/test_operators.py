@@ -1,0 +1,449 @@
+"""Each operator against brute force, and its defined results for odd inputs."""
+
+import hashlib
+import itertools
+import json
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from plinth.llm import decontaminate, lang_id, line_dedup, mixing, near_dup, quality, secrets, tool_calls, topk, url_filter
+from plinth.llm.common import connected_components
+from plinth.llm.queries import QUERIES, SCHEMAS, URL_RULES
+from plinth.llm.sql import ORACLES
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns that operators use inside or add.
+CLASH = ("score", "host", "rule", "lines", "id", "n", "size", "key", "rate", "component_id", "n_lines", "items", "judged")
+
+
+def words(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+
+
+def docs(spark, texts, langs=None, sources=None):
+    rows = [(i, t, (langs or {}).get(i, "en"), (sources or {}).get(i, f"s{i % 3}"), None if t is None else len(t)) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def odd(spark):
+    """Null, empty, blank, repeated, long and short texts, a null id, repeated rows."""
+    long = " ".join(words(30_000, 1))
+    texts = [None, "", "  \n\t ", "one", "one", "two words", "Àé ünï", "a b c d", long, long, "x\ny\nz\nw", "x\ny\nz\nw", "\n\n\n\n"]
+    df = docs(spark, texts)
+    extra = spark.createDataFrame([(None, "one two three", None, None, None), (4, "one", "en", "s1", 3), (4, "another text", "en", None, None)], DOC)
+    out = df.unionByName(extra)
+    return out.withColumns({c: F.lit("kept") for c in CLASH})
+
+
+# 1
+
+
+@pytest.mark.parametrize(
+    ("url", "host", "path", "rule", "verdict"),
+    [
+        ("http://A.Example.COM/en/742?x#y", "a.example.com", "/en/742", "example.com/en/7", "allow"), ("https://example.com/en/8", "example.com", "/en/8", "com/en/", "block"),
+        ("https://notexample.com/en/7", "notexample.com", "/en/7", "com/en/", "block"), ("x://b.net/de", "b.net", "/de", None, "allow"), ("x://example.net/de/81", "example.net", "/de/81", "example.net/de/8", "block"),
+        ("x://org?q=/es/", "org", "", None, "allow"), (None, "", "", None, "allow"), ("no scheme", "", "", None, "allow"), ("a://É.ORG/es/://x", "É.org", "/es/://x", "org/es/", "block"), ("://", "", "", None, "allow"),
+    ],
+)
+def test_url_filter_cases(spark, url, host, path, rule, verdict):
+    df = spark.createDataFrame([(1, url, "mine")], "page_id long, url string, judged string")
+    r = url_filter.filter_urls(df, URL_RULES).first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"], r["judged"]) == (host, path, rule, verdict, "mine")
+
+
+def test_trie_equals_scan():
+    r = random.Random(3)
+    host = lambda: ".".join(r.choice("abc") for _ in range(r.randint(1, 3)))
+    path = lambda: "/" + "/".join(r.choice(["a", "ab", "b", ""]) for _ in range(r.randint(0, 3)))
+    rules = list({host() + path(): r.choice(["allow", "block"]) for _ in range(60)}.items())
+    trie = url_filter.RuleTrie(rules)
+    for _ in range(2000):
+        h, p = host(), path()
+        fits = [x for x in rules if (h == x[0].partition("/")[0] or h.endswith("." + x[0].partition("/")[0])) and p.startswith("/" + x[0].partition("/")[2])]
+        found = trie.match(h, p)
+        assert (found is None) == (not fits)
+        if fits:
+            assert len(found[0]) == max(len(x[0]) for x in fits) and found in fits
+
+
+# 2
+
+
+def test_quality_learns_and_keeps_odd_rows(spark):
+    good = [" ".join(words(60, i)) + "." for i in range(60)]
+    bad = [" | ".join(words(60, i)) for i in range(30)] + [("spam " * 60).strip()] * 10
+    df = docs(spark, good + bad)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(0, 100, 2)] + [(3, None), (None, 1), (5, 7)], "doc_id long, quality int")
+    model = quality.train(df, labels)
+    rows = quality.score_quality(df, model).collect()
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] < 60) for r in rows if r["doc_id"] % 2]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in quality.score_quality(odd(spark), model).collect())
+    assert quality.score_quality(odd(spark), model).count() == odd(spark).count()
+    assert quality.score_quality(df.limit(0), model).count() == 0
+    assert quality.train(df, labels.where("false")).constant == 0.5
+    assert quality.train(df, labels.where("quality = 1")).constant == 1.0
+
+
+def test_quality_held_out(spark):
+    df = QUERIES["op2_quality"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    right, n = df.where("held_out").agg(F.count_if(F.col("predicted") == F.col("quality")), F.count("*")).first()
+    assert n > 50 and right / n > 0.95
+
+
+# 3
+
+
+def brute_components(texts, k):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_near_dup_equals_brute_force(spark):
+    r, texts = random.Random(5), []
+    for g in range(12):
+        base = words(r.randint(3, 120), g)
+        for c in range(r.choice([1, 2, 5, 12])):
+            copy = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+                copy[r.randrange(len(copy))] = f"new{r.random()}"
+            texts.append(" ".join(copy).upper() if c % 4 == 3 else "  ".join(copy))
+    texts += [None, "", "one", "One", "a b", "a b c d", "a b c d a b c d"]
+    for k in (4, 5):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.near_duplicates(docs(spark, texts), words_each=k).collect()}
+        assert got == brute_components(dict(enumerate(texts)), k)
+
+
+def test_near_dup_blocks(spark, monkeypatch):
+    """Long posting lists that are dealt in blocks give the same components."""
+    monkeypatch.setattr(near_dup, "BLOCK", 5)
+    base, texts = words(100, 9), []
+    for i in range(40):
+        copy = list(base)
+        for j in range(i % 7):
+            copy[(i * 13 + j * 17) % 100] = f"x{i}-{j}"
+        texts.append(" ".join(copy))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dup.near_duplicates(docs(spark, texts), words_each=4).collect()}
+    assert got == brute_components(dict(enumerate(texts)), 4)
+
+
+def test_near_dup_odd(spark):
+    got = near_dup.near_duplicates(odd(spark)).collect()
+    assert len(got) == odd(spark).count() and all(x["kept"] for x in got if x["doc_id"] is None)
+    by = {x["doc_id"]: x["component_id"] for x in got if x["doc_id"] != 4}
+    assert by[9] == 8 and by[11] == 10 and by[0] == 0 and by[1] == 1 and by[2] == 2
+    assert near_dup.near_duplicates(odd(spark).limit(0)).count() == 0
+
+
+def test_connected_components(spark):
+    r = random.Random(2)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(30)] + [(300, 200 + i) for i in range(20)]
+    got = {x["node"]: x["root"] for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {n: n for e in edges for n in e}
+    for _ in range(100):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {n: c for n, c in root.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+# 4
+
+
+@pytest.mark.parametrize("shard", [7, 4096])
+def test_top_k_equals_brute_force(spark, shard):
+    rng = np.random.default_rng(4)
+    vectors = [[float(x) for x in rng.integers(-4, 5, 6)] for _ in range(120)]
+    rows = list(enumerate(vectors)) + [(200, None), (201, [1.0, float("nan")] + [0.0] * 4), (202, [1.0, None, 2.0]), (203, []), (204, [1.0, 2.0]), (3, vectors[3])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 10 = 0"), 5, shard_rows=shard).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    usable = {**dict(enumerate(vectors)), 204: [1.0, 2.0, 0, 0, 0, 0]}
+    for q in range(0, 120, 10):
+        best = sorted(((-sum(a * b for a, b in zip(usable[q], v, strict=True)), i) for i, v in usable.items() if i != q))[:5]
+        assert got[q] == {n + 1: (i, -s) for n, (s, i) in enumerate(best)}
+    assert not {200, 201, 202, 203} & {i for x in got.values() for i, _ in x.values()}
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+# 5
+
+
+def brute_hits(text, items, window):
+    w, hit, found = decontaminate.words_of(text), set(), set()
+    for item, t in items:
+        ws = decontaminate.words_of(t)
+        m = min(window, len(ws))
+        grams = {tuple(ws[i : i + m]) for i in range(len(ws) - m + 1)} if ws else set()
+        for i in range(len(w) - m + 1):
+            if m and tuple(w[i : i + m]) in grams:
+                hit |= set(range(i, i + m))
+                found.add(str(item))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("chunk", [20, 200_000])
+def test_decontaminate_equals_brute_force(spark, chunk):
+    r, items = random.Random(7), []
+    for i in range(30):
+        items.append((i, " ".join(words(r.choice([1, 2, 4, 9, 10, 11, 25]), i, 6))))
+    items += [(50, None), (51, "..."), (52, items[3][1]), (53, items[5][1].upper())]
+    texts = [" ".join(words(r.randint(0, 120), 100 + i, 7)) for i in range(60)] + [items[7][1] + ", " + items[8][1], None, "", "É-é É"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.scan(docs(spark, texts), bench, 10, max_chunk_words=chunk).collect()
+    for x in got:
+        assert (x["n_words"], x["n_hit"], x["items"]) == brute_hits(texts[x["doc_id"]], items, 10)
+
+
+def test_decontaminate_removes_spans(spark):
+    item = " ".join(words(20, 1))
+    texts = [f"Before that, {item.upper()}! And after it comes a lot more that is clean and says so in {' '.join(words(40, 2))}", item, "Clean."]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in decontaminate.decontaminate(docs(spark, texts), bench).collect()}
+    assert got == {0: "Before that, ! And after it comes a lot more that is clean and says so in " + " ".join(words(40, 2)), 2: "Clean."}
+    assert decontaminate.decontaminate(odd(spark), bench).count() == odd(spark).count()
+    assert decontaminate.scan(odd(spark), bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.scan(odd(spark).limit(0), bench).count() == 0
+
+
+# 6
+
+
+def test_canonical_json_and_schemas():
+    assert tool_calls.canonical_json({"b": [1.0, 1e21, 0.1, True, None], "a": "é\n\"", "\U0001f600": 1, "\uffff": 2}) == '{"a":"é\\n\\"","b":[1,1e+21,0.1,true,null],"\U0001f600":1,"\uffff":2}'
+    schema = {"type": "object", "required": ["n"], "additionalProperties": False, "properties": {"n": {"type": "integer", "minimum": 1}, "s": {"enum": ["a"]}, "l": {"type": "array", "items": {"type": "string"}}}}
+    assert tool_calls.violations({"n": 2, "s": "a", "l": ["x"]}, schema) == []
+    assert tool_calls.violations({"s": "b", "x": 1, "l": [1]}, schema) == ["$.n: missing", "$.x: unknown", "$.l[0]: not of type string", "$.s: not one of the allowed values"]
+
+
+def test_tool_calls_link_and_order(spark):
+    call = lambda c, i, t, after=None, name="reply", args='{"turn":0,"prompt":"p"}': (c, i, t, name, args, after)
+    calls = [
+        call("a", "1", 0), call("a", "2", 1, ["1"]), call("a", "2", 5), call("b", "x", 0, ["z"]), call("b", "y", 1, ["x"]), call("b", "z", 2), call("b", "p", 3, ["q"]), call("b", "q", 4, ["p"]),
+        call("c", "1", 0, ["gone"], args="{"), call(None, "1", 0), call("d", "1", 9, name="unknown"),
+    ]
+    results = [("a", "1", 1, "ok"), ("a", "1", 2, "again"), ("d", "1", 2, "early"), ("e", "9", 0, "lost"), (None, "1", 1, "x"), ("b", "z", 3, None)]
+    c = spark.createDataFrame(calls, "conv_id string, call_id string, turn long, name string, arguments string, after array<string>")
+    r = spark.createDataFrame(results, "conv_id string, call_id string, turn long, content string")
+    rows = tool_calls.link_tool_calls(c, r, SCHEMAS).collect()
+    got = {(x["conv_id"], x["call_id"], x["turn"]): x for x in rows}
+    assert len(rows) == len(calls) + 3
+    status = {k: x["status"] for k, x in got.items()}
+    assert status[("a", "1", 0)] == "linked" and status[("a", "1", 2)] == "duplicate" and status[("a", "2", 1)] == "unanswered" and status[("a", "2", 5)] == "duplicate"
+    assert status[("d", "1", 9)] == "early" and status[("e", "9", 0)] == "orphan" and status[("b", "z", 2)] == "linked"
+    at = {k[1]: got[k]["position"] for k in got if k[0] == "b" and got[k]["name"]}
+    assert at["z"] < at["x"] < at["y"] and at["p"] is None and at["q"] is None
+    assert got[("b", "p", 3)]["problems"] == ["depends on itself"]
+    assert got[("c", "1", 0)]["problems"] == ["arguments are not JSON", "depends on unknown call gone"] and got[("d", "1", 9)]["problems"] == ["unknown tool"]
+    assert json.loads(got[("a", "1", 0)]["record"]) == {"arguments": {"prompt": "p", "turn": 0}, "conv_id": "a", "id": "1", "name": "reply", "result": "ok"}
+    assert tool_calls.link_tool_calls(c.limit(0), r.limit(0), SCHEMAS).count() == 0
+
+
+# 7
+
+
+def brute_targets(sizes, weights, share, cap):
+    keys = sorted(sizes, key=lambda k: (k is None, k))
+    w = {k: weights[i % len(weights)] for i, k in enumerate(keys)}
+    left, free, target = share * sum(sizes.values()), set(keys), {}
+    while free:
+        level = left / sum(w[k] for k in free)
+        over = {k for k in free if w[k] * level > cap * sizes[k]}
+        if not over:
+            return {**target, **{k: w[k] * level for k in free}}
+        for k in over:
+            target[k] = cap * sizes[k]
+        free -= over
+        left = share * sum(sizes.values()) - sum(target.values())
+    return target
+
+
+def test_mix_meets_targets(spark):
+    r = random.Random(8)
+    texts = [" ".join(words(r.choice([1, 5, 30, 100, 400]), i)) for i in range(400)]
+    sources = {i: [None, "a", "b", "é", "Z", "hot", "hot", "hot"][r.randrange(8)] for i in range(400)}
+    rows = [(i, t, "en", sources[i], len(t)) for i, t in enumerate(texts)] + [(900, None, "en", "a", None), (None, "one two", "en", "empty", 7), (5, texts[5], "en", sources[5], 1), (901, "", "en", "void", 0)]
+    df = spark.createDataFrame(rows, DOC)
+    first, again = mixing.mix(df).collect(), mixing.mix(df.repartition(3)).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again))
+    sizes, taken, target = {}, {}, {}
+    for x in first:
+        sizes[x["source"]] = sizes.get(x["source"], 0) + x["size"]
+        taken[x["source"]] = taken.get(x["source"], 0) + x["taken"]
+        target[x["source"]] = x["target"]
+        assert 0 <= x["taken"] <= 2 * x["size"] and x["taken"] == x["copies"] * x["size"]
+    expected = brute_targets(sizes, (5, 2, 1), 1.5, 2)
+    for s in sizes:
+        assert target[s] == pytest.approx(expected[s], rel=1e-9) and abs(taken[s] - target[s]) <= max(2, 0.02 * target[s])
+    assert {x["source"]: x["source_size"] for x in first} == sizes
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix(odd(spark)).count() == odd(spark).count()
+
+
+def test_rates_are_exponential_tilts(spark):
+    df = docs(spark, [" ".join(words(n, n)) for n in (1, 2, 5, 10, 20, 50, 100) for _ in range(5)], sources=dict.fromkeys(range(35), "one"))
+    rates = {x["size"]: x["rate"] for x in mixing.mix(df, share=1.1).collect()}
+    tilt = {n: np.log(r) / n for n, r in rates.items() if r < 2}
+    assert max(tilt.values()) - min(tilt.values()) < 1e-9
+    assert sum(5 * n * r for n, r in rates.items()) == pytest.approx(1.1 * 5 * sum(rates), rel=1e-4)
+
+
+# 8
+
+
+def brute_lines(texts):
+    seen, out = {}, {}
+    for i, t in sorted(texts.items()):
+        lines, gone = (t or "").split("\n"), set()
+        for k in range(len(lines) - 2):
+            window = tuple(lines[k : k + 3])
+            if "".join(window).strip(" "):
+                if window in seen:
+                    gone |= {k, k + 1, k + 2}
+                seen.setdefault(window, (i, k))
+        out[i] = None if t is None else "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    r = random.Random(6)
+    texts = ["\n".join(r.choice(["a", "b", "", "long line", " "]) for _ in range(r.randint(1, 14))) for _ in range(120)] + [None, "", "\n", "a\na\na\na\na", "\n\n\n\n"]
+    got = line_dedup.dedup_lines(docs(spark, texts)).collect()
+    expected = brute_lines(dict(enumerate(texts)))
+    for x in got:
+        assert x["text"] == expected[x["doc_id"]]
+        lines = 0 if texts[x["doc_id"]] is None else len(texts[x["doc_id"]].split("\n"))
+        assert x["n_lines"] == lines and x["n_chars"] == (None if texts[x["doc_id"]] is None else len(texts[x["doc_id"]]))
+    strange = line_dedup.dedup_lines(odd(spark)).collect()
+    assert len(strange) == odd(spark).count() and all(x["host"] == "kept" for x in strange)
+    assert line_dedup.dedup_lines(odd(spark).limit(0)).count() == 0
+
+
+# 9
+
+
+def test_language(spark):
+    alphabets = {"xx": "abcdef", "yy": "uvwxyz", "zz": "éàçñöü"}
+    r = random.Random(1)
+    text = lambda a: " ".join("".join(r.choice(a) for _ in range(5)) for _ in range(40))
+    names = [list(alphabets)[i % 3] for i in range(90)]
+    df = docs(spark, [text(alphabets[n]) for n in names], langs=dict(enumerate(names)))
+    model = lang_id.train(df.where("doc_id < 60"))
+    got = {x["doc_id"]: x for x in lang_id.identify(df, model).collect()}
+    assert all(got[i]["lang_pred"] == names[i] and got[i]["score"] > 0.5 for i in range(90))
+    strange = lang_id.identify(docs(spark, [None, "", "123 ...", "q", text("abcdef") * 30_000]), model).collect()
+    assert [x["lang_pred"] for x in sorted(strange, key=lambda x: x["doc_id"])] == ["und", "und", "und", "xx", "xx"]
+    assert lang_id.identify(odd(spark), model).count() == odd(spark).count()
+    nobody = lang_id.train(df.where("false"))
+    assert nobody is None and lang_id.identify(df, nobody).where("lang_pred <> 'und'").count() == 0
+    assert lang_id.identify(df.limit(0), model).count() == 0
+
+
+def test_bloom_has_all_grams_of_a_language():
+    masks = np.zeros(1 << lang_id.SLOT_BITS, np.uint8)
+    grams = lang_id.codes(lang_id.normal("some words of a language"))
+    for s in lang_id.slots(grams):
+        masks[s] |= 1
+    model = lang_id.LanguageFilter(["a", "b"], 0, masks, np.array([0.0, 0.0]))
+    assert model.counts([lang_id.normal("some words of a language")])[0].tolist() == [len(grams), 0]
+
+
+def test_language_held_out(spark):
+    df = QUERIES["op9_language"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id")
+    right, n = df.where("held_out").agg(F.count_if(F.col("lang_pred") == F.col("lang")), F.count("*")).first()
+    assert n > 100 and right / n > 0.97
+
+
+# 10
+
+
+def test_secrets(spark):
+    r = random.Random(4)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    keys = [key() for _ in range(40)]
+    plain = " ".join(words(30, 3))
+    texts = [f'{plain} token = "{k}" more' for k in keys] + [f"{plain} wordswordswordswords{i} and http://host.example/path/to/{'a' * 20}" for i in "abcdefgh" * 5] + [None, ""]
+    df = docs(spark, texts)
+    found = secrets.rule_labels(secrets.candidates(df, ["words"]))
+    scored = secrets.remove_false_positives(found, found).collect()
+    sure = {x["doc_id"]: x for x in scored if x["probability"] >= 0.5}
+    assert set(sure) == set(range(40))
+    for i, x in sure.items():
+        assert texts[i][x["begin"] : x["begin"] + x["length"]] == keys[i] and x["sha256"] == hashlib.sha256(keys[i].encode()).hexdigest()
+    assert secrets.remove_false_positives(found, found.where("label = 1")).first()["probability"] == 1.0
+    assert secrets.remove_false_positives(found, found.where("false")).first()["probability"] == 0.5
+    assert secrets.candidates(odd(spark), []).count() == 0 and secrets.dictionary(df.limit(0)) == []
+    counts = Counter(w for t in texts for w in re.findall(r"[a-z]{3,}", (t or "").lower()))
+    assert secrets.dictionary(df, size=4) == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:4]]
+
+
+# Queries and the pipeline
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    got, want = QUERIES[name](spark, small).toPandas(), con.sql(ORACLES[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    table = lambda d: sorted(map(str, d[columns].astype(object).where(d[columns].notna(), None).values.tolist()))
+    assert table(got) == table(want)
+
+
+def test_pipeline_stages(spark, small):
+    """Each stage keeps the columns, and what it must remove is gone, by brute force."""
+    base = spark.read.parquet(f"{small}/documents.parquet").withColumns({c: F.lit(7) for c in ("score", "n_lines", "items", "size")})
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "line dedup", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights"]
+    kept = base
+    for name in list(stages)[:-1]:
+        out = spark.createDataFrame(stages[name](spark, kept, small).collect(), base.schema)
+        assert out.columns == base.columns and out.where("score <> 7 or n_lines <> 7 or items <> 7").count() == 0
+        before, after = ({x["doc_id"]: x["text"] for x in d.collect()} for d in (kept, out))
+        if name == "line dedup":
+            whole = brute_lines(before)
+            assert after == {i: t for i, t in whole.items() if t == before[i] or t.strip(" ")}
+        if name == "MinHash near-dedup":
+            groups = brute_components(before, 5)
+            assert set(after) == {i for i, (_, c) in groups.items() if c == i}
+        if name == "benchmark decontamination":
+            items = [(x["item_id"], x["text"]) for x in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+            for i, t in before.items():
+                n, hit, _ = brute_hits(t, items, 10)
+                assert (i in after) == (hit <= 0.5 * n) and (hit or after[i] == t)
+        kept = out
+    mixed = stages["mixing sources to target weights"](spark, kept, small)
+    assert mixed.count() == kept.count()
+    assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_empty_tables(spark, tmp_path, small):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        spark.read.parquet(f"{small}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, q in QUERIES.items():
+        assert q(spark, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
