@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -65,16 +65,22 @@ def aggregate(frame: Frame, step: dict, params: dict, skip_errors: bool = False)
     else:
         df = frame.df
         merged = [x for m in measures for x in _direct(frame, compiler, m, skip_errors)]
+    plain = [*[raw_key[g].alias(g) for g in groups if g not in folded], *[F.col(f"`{s}`") for s in shadow_key]]
     if folded:
-        plain = {g: raw_key[g] for g in groups if g not in folded}
         first = [F.min_by(raw_key[g], F.col(RID)).alias(g) for g in folded]
-        keyed = df.withColumns(fold_key).groupBy(*plain.values(), *[F.col(f"`{s}`") for s in shadow_key], *fold_key).agg(*first, *merged, F.min(RID).alias(RID))
-        df = keyed.drop(*fold_key)
+        if hard:
+            # Distinct counts can't be merged: rows are grouped by the folded keys, and the spellings, which
+            # come from a pass over the keys alone, are joined to the few groups.
+            spelled = df.groupBy(*[c.alias(n) for n, c in {**raw_key, **shadow_key}.items()]).agg(F.min(rid).alias(RID))
+            spelled = spelled.withColumns(fold_key).groupBy(*plain, *fold_key).agg(*first)
+            main = df.withColumns(fold_key).groupBy(*plain, *fold_key).agg(*merged, F.min(RID).alias(RID))
+            by = [c for c in spelled.columns if c not in folded]
+            df = _join_groups(main, spelled, by).drop(*fold_key)
+        else:
+            df = df.withColumns(fold_key).groupBy(*plain, *fold_key).agg(*first, *merged, F.min(RID).alias(RID)).drop(*fold_key)
     else:
-        order = [F.min(rid).alias(RID)] if rid is not None else []
-        by = [*raw_key.values(), *[F.col(f"`{s}`") for s in shadow_key]]
-        out = [*merged, *order]
-        df = (df.groupBy(*by).agg(*out) if out else df.select(*by).distinct()) if by else df.agg(*(out or [F.count("*").alias("__n")]))
+        out = [*merged, *([F.min(rid).alias(RID)] if rid is not None else [])]
+        df = (df.groupBy(*plain).agg(*out) if out else df.select(*plain).distinct()) if plain else df.agg(*(out or [F.count("*").alias("__n")]))
     kinds = {**{g: frame.kinds[g] for g in groups}, **kinds}
     errors = {*shadows, *[m["as"] for m in measures if ERROR + m["as"] in df.columns]}
     hidden = [c for c in df.columns if c.startswith(ERROR) or c == RID]
@@ -82,6 +88,15 @@ def aggregate(frame: Frame, step: dict, params: dict, skip_errors: bool = False)
     return Frame(df.select(*[f"`{n}`" for n in kinds], *[f"`{h}`" for h in hidden]), kinds, frozenset(errors), {g: frame.origin[g] for g in groups if g in frame.origin}, gone, frozenset(m["as"] for m in measures))
 
 
+def _join_groups(main: DataFrame, spelled: DataFrame, by: list[str]) -> DataFrame:
+    """Both have one row for each group; null keys are groups too."""
+    other = spelled.withColumnsRenamed({c: f"__j{i}" for i, c in enumerate(by)})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"__j{i}"))
+    return main.join(other, same).drop(*[f"__j{i}" for i in range(len(by))])
+
+
 def _subject(compiler: Compiler, m: dict) -> tuple[Column, Column | None, bool]:
     """The value to reduce (null where ``where`` doesn't hold), its error, and if it is text."""
     where = compiler.predicate(m["where"]) if m.get("where") else None
