@@ -34,7 +34,7 @@ def display(c: Column, kind: str) -> Column:
     plain = F.regexp_replace(F.regexp_replace(near.try_cast("decimal(38,24)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     wide = F.format_string("%.0f", near)
     power = F.regexp_replace(F.regexp_replace(F.format_string("%.14e", x), r"\.?0+e", "e"), r"e([+-])0*(\d)", "E$1$2")
-    shown = F.when(size == 0, "0").when((size >= 1e21) | (size < 1e-9), power).when(near == F.floor(near), wide).otherwise(plain)
+    shown = F.when(size == 0, "0").when((size >= 1e21) | (size < 1e-9), power).when((size >= 2.0**53) | (near == F.floor(near)), wide).otherwise(plain)
     return F.when(c.isNotNull(), shown)
 
 
