@@ -38,7 +38,7 @@ _PLAIN = b".,"
 _ENDINGS = b".!?"
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in b".,'\"-:;()?")
 STATISTICS = (
-    "log words", "word length", "letters", "capitals", "digits", "plain marks", "symbols", "distinct words", "repeated neighbours",
+    "log words", "word length", "letters and digits", "capitals", "digits", "plain marks", "symbols", "distinct words", "repeated neighbours",
     "words with a symbol", "lone symbols", "log line length", "words in capitals", "top word",
 )
 
@@ -63,7 +63,7 @@ def statistics(text: bytes) -> list[float]:
     return [
         float(np.log1p(n)),
         float(np.log(solid / n)),
-        float(np.log((size - len(text.translate(None, _LETTERS)) + 5.0) / (size + 10.0))),
+        float(np.log((size - len(text.translate(None, _LETTERS + _DIGITS)) + 5.0) / (size + 10.0))),
         share(size - len(text.translate(None, _CAPITALS)), solid),
         share(size - len(text.translate(None, _DIGITS)), solid),
         share(size - len(text.translate(None, _PLAIN)), solid),
@@ -98,7 +98,7 @@ class QuadraticModel:
         return 1.0 / (1.0 + np.exp(np.clip(-(density[1] - density[0] + self.log_odds), -500, 500)))
 
 
-def fit_model(count: np.ndarray, total: np.ndarray, product: np.ndarray, pooled: float = 0.1, diagonal: float = 0.05) -> QuadraticModel:
+def fit_model(count: np.ndarray, total: np.ndarray, product: np.ndarray, pooled: float = 0.5, diagonal: float = 0.05) -> QuadraticModel:
     """The model from the counts, sums and sums of outer products of the two classes."""
     if count.sum() == 0:
         return QuadraticModel(0.5)
