@@ -66,7 +66,8 @@ def kind_of(t: T.DataType) -> Kind:
 @dataclass(frozen=True)
 class Entity:
     """A named table.  ``kinds`` overrides what the schema says of a column; ``unique``: key columns;
-    ``formulas``: columns that are computed where they live; ``dependents``: (column, what needs it)."""
+    ``formulas``: columns that are computed where they live; ``dependents``: (column, what needs it);
+    ``text_numbers``: number columns that are stored as text where they live."""
 
     name: str
     df: DataFrame
@@ -74,6 +75,7 @@ class Entity:
     unique: frozenset[str] = frozenset()
     formulas: frozenset[str] = frozenset()
     dependents: tuple[tuple[str, str], ...] = ()
+    text_numbers: frozenset[str] = frozenset()
 
     def columns(self) -> dict[str, Kind]:
         given = {k.lower(): v for k, v in self.kinds.items()}
@@ -123,6 +125,7 @@ class Environment:
     time_dimensions: tuple[TimeDimension, ...] = ()
     templates: dict[str, tuple[TemplateColumn, ...]] = field(default_factory=dict)
     sheets: tuple[str, ...] = ()
+    untraceable: bool = False  # something refers to these tables in a way that can't be followed
 
     def entity(self, name: str, code: str = "E_UNKNOWN_SOURCE") -> Entity:
         for known, e in self.entities.items():

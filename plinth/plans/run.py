@@ -7,9 +7,12 @@ pivot reads (its at most 51 headers).
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import json
+import re
 from dataclasses import dataclass, field
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -28,6 +31,8 @@ FIELDS = {
     "renameColumn": ("op col to", ""), "moveColumn": ("op col position", ""), "dropRows": ("op where", ""),
     "newSheet": ("mode", "name"), "anchor": ("mode", ""), "template": ("mode templateId", ""),
 }
+#: What sheet names may not have, and cells (fixed values).
+NAME_LENGTH, FORBIDDEN, RESERVED, CELL = 31, r"[\[\]:*?/\\]", "history", r"[A-Za-z]{1,3}[1-9]\d{0,6}"
 ORDER_NEEDED = {"limit", "sort", "aggregate", "pivot", "periodCompare"}
 
 
@@ -39,6 +44,8 @@ class Result:
     plan: dict
     warnings: list[str] = field(default_factory=list)
     impact: Impact | None = None
+    params: dict | None = None
+    target: str | None = None  # the new sheet's name
 
     @property
     def df(self) -> DataFrame:
@@ -115,6 +122,7 @@ def compile_plan(plan: str | dict, env: Environment, params: dict | None = None,
     for i, step in enumerate(steps):
         if step["op"] == "limit" and "sort" not in ops[:i]:
             warnings.append("W_LIMIT_WITHOUT_SORT")
+        warnings += _unlikely(step, frame) + _text_numbers(step, frame, env)
         text_ok = step["op"] == "project" and plan["sink"]["mode"] == "template" and i == len(steps) - 1
         try:
             frame = STEPS[step["op"]](frame, step | {"_text": True} if text_ok else step, ctx)
@@ -128,7 +136,30 @@ def compile_plan(plan: str | dict, env: Environment, params: dict | None = None,
         warnings += _fit_template(frame, plan, env)
     if frame.errors:
         warnings.append("W_MAY_CONTAIN_ERRORS")
-    return Result(frame, plan, warnings)
+    new = plan["sink"]["mode"] == "newSheet"
+    return Result(frame, plan, list(dict.fromkeys(warnings)), params=params, target=sheet_name(plan["sink"].get("name"), env.sheets) if new else None)
+
+
+def _unlikely(node, frame: Frame) -> list[str]:
+    """Warns of literals that a column with known members is compared with but has not."""
+    if isinstance(node, list):
+        return [w for n in node for w in _unlikely(n, frame)]
+    if not isinstance(node, dict):
+        return []
+    sides = [node.get("left"), node.get("right")] if "left" in node else [node.get("arg") or node.get("col")]
+    names = [x.get("col") if isinstance(x, dict) else x for x in sides]
+    kinds = [k for n in names if isinstance(n, str) for c, k in frame.kinds.items() if c.lower() == n.lower()]
+    said = [x.get("value") for x in sides if isinstance(x, dict) and x.get("type") == "lit"] + list(node.get("values") or [] if node.get("op") in ("in", "notIn") else [])
+    known = {m.lower() for k in kinds for m in k.members or ()}
+    odd = known and any(isinstance(v, str) and v.lower() not in known for v in said)
+    return ["W_CATEGORICAL_LITERAL_NOT_IN_DOMAIN"] * bool(odd) + [w for n in node.values() for w in _unlikely(n, frame)]
+
+
+def _text_numbers(step: dict, frame: Frame, env: Environment) -> list[str]:
+    """Warns of sums over numbers that their home stores as text."""
+    used = {m.get("of", "").lower() for m in step.get("measures", []) if m.get("fn") in ("sum", "avg")}
+    homes = [home for c, home in frame.origin.items() if c.lower() in used]
+    return ["W_NUMBERS_STORED_AS_TEXT"] * any(column in env.entity(name).text_numbers for name, column in homes)
 
 
 def _fit_template(frame: Frame, plan: dict, env: Environment) -> list[str]:
@@ -174,7 +205,9 @@ def _compile_edit(plan: dict, env: Environment, params: dict | None) -> Result:
         except PlanError as e:
             raise PlanError(e.code, e.message, e.at or f"/ops/{i}") from None
     warnings = (["W_DEPENDENTS_NEED_CONSENT"] if impact.needs_consent else []) + (["W_OVERWRITES_FORMULAS"] if impact.formulas_overwritten else [])
-    return Result(frame, plan, warnings, impact)
+    if env.untraceable and (impact.removed or impact.removes_rows):
+        warnings.append("W_UNTRACEABLE_REFERENCES")
+    return Result(frame, plan, warnings, impact, params)
 
 
 @dataclass
@@ -213,31 +246,91 @@ def consent(result: Result, on_dependents: str = "block") -> None:
         raise PlanError("E_DROP_HAS_DEPENDENTS", f"others depend on: {', '.join(sorted({c for c, _ in result.impact.needs_consent}))}")
 
 
-def commit(result: Result, path: str, env: Environment, expected_hash: str, seen: dict[str, str] | None = None, on_dependents: str = "block", format: str = "parquet") -> None:
+def check_params(declared: list[dict], given: dict | None) -> None:
+    """Each declared parameter has a value of its type, and there are no others."""
+    values = {k.lower(): v for k, v in (given or {}).items()}
+    for p in declared:
+        name, kind = p["name"], p["valueType"]
+        if name.lower() not in values:
+            raise PlanError("E_PARAM_MISSING", f"{name!r} needs a {kind}")
+        value = values.pop(name.lower())
+        number = isinstance(value, int | float) and not isinstance(value, bool)
+        fits = {"number": number, "boolean": isinstance(value, bool)}.get(kind, isinstance(value, str))
+        if fits and kind in ("date", "datetime"):
+            try:
+                (dt.date if kind == "date" else dt.datetime).fromisoformat(value)
+            except ValueError:
+                fits = False
+        if not fits:
+            raise PlanError("E_PARAM_TYPE", f"{name!r} is a {kind}, not {value!r}")
+    if values:
+        raise PlanError("E_UNKNOWN_PARAM", f"not declared: {', '.join(sorted(values))}")
+
+
+def check_new_sheet(name: str | None, anchor: str | None, taken: tuple[str, ...]) -> None:
+    """A new sheet has a valid name that is free, and begins at one cell."""
+    if not (name or "").strip():
+        raise PlanError("E_SINK_NEW_SHEET_NAME_MISSING", "a new sheet needs a name", "/sink")
+    if len(name) > NAME_LENGTH or re.search(FORBIDDEN, name) or name[0] == "'" or name[-1] == "'" or name.lower() == RESERVED:
+        raise PlanError("E_SINK_SHEET_NAME_INVALID", f"{name!r} can't name a sheet", "/sink")
+    if name.lower() in {t.lower() for t in taken}:
+        raise PlanError("E_SINK_SHEET_NAME_TAKEN", f"there is a sheet {name!r}", "/sink")
+    check_anchor(anchor)
+
+
+def check_anchor(anchor: str | None) -> None:
+    if not re.fullmatch(CELL, anchor or ""):
+        raise PlanError("E_SINK_ANCHOR_INVALID", f"{anchor!r} is not a cell", "/sink")
+
+
+def _sources(plan: dict) -> set[str]:
+    """Names of the tables that a plan reads."""
+    return {plan.get("source") or plan.get("target"), *[s["with"] for s in plan.get("steps", []) if "with" in s]}
+
+
+def _place(path: str) -> str:
+    return unquote(urlparse(path).path).rstrip("/") + "/"
+
+
+def refuse_sources(result: Result, path: str, env: Environment) -> None:
+    """A result never replaces files that it is read from: they would be gone before they are read."""
+    target = _place(path)
+    for name in _sources(result.plan):
+        for file in env.entity(name).df.inputFiles():
+            own = _place(file)
+            if own.startswith(target) or target.startswith(own):
+                raise PlanError("OVERWRITES_SOURCE", f"{path!r} holds rows of {name!r}")
+
+
+def commit(result: Result, path: str | None, env: Environment, expected_hash: str, seen: dict[str, str] | None = None, on_dependents: str = "block", format: str = "parquet") -> None:
     """Write the result, if the plan is the one shown and no source has changed since ``seen``.
 
-    A new sheet is a path that doesn't exist yet; an anchor or a template replaces what is there.
+    A new sheet is a path that doesn't exist yet; an anchor or a template replaces what is there,
+    but never a source of the plan.
     """
     if result.plan_hash != expected_hash:
         raise PlanError("E_COMMIT_PLAN_MISMATCH", "the plan is not the one that was shown")
-    for p in result.plan.get("params") or []:
-        if p["name"] and p.get("required") and p.get("value") is None:
-            raise PlanError("E_PARAM_MISSING", p["name"])
+    if not path:
+        raise PlanError("E_SINK_ANCHOR_MISSING", "no place was chosen for the result")
     consent(result, on_dependents)
+    check_params(result.plan.get("params") or [], result.params)
     if seen is not None and guards(env, list(seen)) != seen:
         raise PlanError("E_COMMIT_SOURCE_CHANGED", "a source has changed since the preview")
     mode = "errorifexists" if result.plan.get("sink", {}).get("mode") == "newSheet" else "overwrite"
+    if mode == "overwrite":
+        refuse_sources(result, path, env)
     writer = result.df.write.mode(mode)
     (writer.option("header", True) if format == "csv" else writer).format(format).save(path)
 
 
-def sheet_name(wanted: str, taken: tuple[str, ...]) -> str:
-    """A valid name (31 characters, none of the characters that sheets forbid) that is still free."""
-    clean = "".join("_" if c in "[]:*?/\\" else c for c in wanted).strip("' ")[:31] or "Sheet"
+def sheet_name(wanted: str | None, taken: tuple[str, ...]) -> str:
+    """A valid name that is still free; what sheets forbid is left out."""
+    clean = re.sub(FORBIDDEN, "", wanted or "").strip().strip("'")
+    clean = ("Result" if not clean.strip() or clean.lower() == RESERVED else clean)[:NAME_LENGTH]
     name, n = clean, 2
     while name.lower() in {t.lower() for t in taken}:
         end = f" {n}"
-        name, n = clean[: 31 - len(end)] + end, n + 1
+        name, n = clean[: NAME_LENGTH - len(end)] + end, n + 1
     return name
 
 
@@ -245,4 +338,4 @@ def entity(name: str, df: DataFrame, **more) -> Entity:
     return Entity(name, df, **more)
 
 
-__all__ = ["RID", "Preview", "Result", "commit", "compile_plan", "consent", "content_hash", "entity", "guards", "parse", "plan_hash", "preview", "sheet_name"]
+__all__ = ["RID", "Preview", "Result", "check_anchor", "check_new_sheet", "check_params", "commit", "compile_plan", "consent", "content_hash", "entity", "guards", "parse", "plan_hash", "preview", "sheet_name"]

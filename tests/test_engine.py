@@ -11,7 +11,7 @@ from plinth.functions import cells as rules
 from plinth.functions import text
 from plinth.model import ERROR, Entity, Environment, Kind, Link, Metric, PlanError, TemplateColumn, TimeDimension
 from plinth.plans import build as b
-from plinth.plans.run import commit, compile_plan, content_hash, guards, plan_hash, preview, sheet_name
+from plinth.plans.run import check_anchor, check_new_sheet, check_params, commit, compile_plan, content_hash, guards, plan_hash, preview, sheet_name
 from plinth.queries import ORACLES, QUERIES
 from plinth.sources import cells, profile, regions
 
@@ -233,6 +233,42 @@ def test_edits_and_impact(env):
     assert gone.impact.needs_consent == [("amount", "Summary!B2")] and gone.warnings == ["W_DEPENDENTS_NEED_CONSENT"]
 
 
+def test_sinks_and_parameters_are_checked(env, spark, tmp_path):
+    day = [{"name": "asOf", "valueType": "date"}]
+    wrong = (
+        ("E_SINK_NEW_SHEET_NAME_MISSING", lambda: check_new_sheet(" ", "A1", ())), ("E_SINK_SHEET_NAME_INVALID", lambda: check_new_sheet("a/b", "A1", ())), ("E_SINK_SHEET_NAME_INVALID", lambda: check_new_sheet("history", "A1", ())),
+        ("E_SINK_SHEET_NAME_TAKEN", lambda: check_new_sheet("Out", "A1", ("OUT",))), ("E_SINK_ANCHOR_INVALID", lambda: check_anchor("A1:B2")), ("E_PARAM_MISSING", lambda: check_params(day, {})),
+        ("E_PARAM_TYPE", lambda: check_params(day, {"ASOF": "soon"})), ("E_PARAM_TYPE", lambda: check_params([{"name": "n", "valueType": "number"}], {"n": True})), ("E_UNKNOWN_PARAM", lambda: check_params(day, {"asof": "2025-01-01", "x": 1})),
+    )
+    for code, call in wrong:
+        with pytest.raises(PlanError) as e:
+            call()
+        assert e.value.code == code
+    check_new_sheet("Out", "B12", ())
+    check_params(day, {"asof": "2025-01-01"})
+    spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string").write.parquet(f"{tmp_path}/in")
+    own = Environment({"In": Entity("In", spark.read.parquet(f"{tmp_path}/in"))})
+    found = compile_plan(Q("In", b.keep(b.compare("gt", "id", 1)), sink={"mode": "anchor"}), own)
+    for code, path in (("OVERWRITES_SOURCE", f"{tmp_path}/in"), ("OVERWRITES_SOURCE", f"file:{tmp_path}"), ("E_SINK_ANCHOR_MISSING", None)):
+        with pytest.raises(PlanError) as e:
+            commit(found, path, own, found.plan_hash)
+        assert e.value.code == code
+    assert spark.read.parquet(f"{tmp_path}/in").count() == 2
+    commit(found, f"{tmp_path}/inner", own, found.plan_hash)
+    assert spark.read.parquet(f"{tmp_path}/inner").count() == 1
+
+
+def test_more_warnings(spark):
+    df = spark.createDataFrame([("web", 1.0)], "channel string, amount double")
+    own = Environment({"S": Entity("S", df, {"channel": Kind("text", "categorical", members=("web", "shop"))}, text_numbers=frozenset({"amount"}))}, untraceable=True)
+    assert compile_plan(Q("S", b.keep(b.compare("eq", "channel", "fax"))), own).warnings == ["W_CATEGORICAL_LITERAL_NOT_IN_DOMAIN"]
+    assert compile_plan(Q("S", b.keep(b.one_of("channel", ["WEB", "fax"]))), own).warnings == ["W_CATEGORICAL_LITERAL_NOT_IN_DOMAIN"]
+    assert compile_plan(Q("S", b.keep(b.compare("eq", "channel", "Web"))), own).warnings == []
+    assert compile_plan(Q("S", b.aggregate([], b.measure("sum", "Amount", "s"))), own).warnings == ["W_NUMBERS_STORED_AS_TEXT"]
+    assert compile_plan(Q("S", b.aggregate([], b.measure("count", "amount", "n"))), own).warnings == []
+    assert compile_plan(b.edit("S", {"op": "dropColumn", "col": "amount"}), own).warnings == ["W_UNTRACEABLE_REFERENCES"]
+
+
 def test_preview_and_commit(env, spark, tmp_path):
     plan = Q("Sales", b.aggregate(["region"], b.measure("sum", "amount", "s")))
     found, seen = compile_plan(plan, env), guards(env, ["Sales"])
@@ -248,7 +284,7 @@ def test_preview_and_commit(env, spark, tmp_path):
     with pytest.raises(PlanError, match="E_DROP_HAS_DEPENDENTS"):
         commit(gone, f"{tmp_path}/p", env, gone.plan_hash)
     commit(gone, f"{tmp_path}/p", env, gone.plan_hash, on_dependents="convertToValues")
-    assert sheet_name("Analysis", ("analysis",)) == "Analysis 2" and sheet_name("a/b", ()) == "a_b" and len(sheet_name("x" * 40, ("x" * 31,))) == 31
+    assert sheet_name("Analysis", ("analysis",)) == "Analysis 2" and sheet_name("a/b", ()) == "ab" and sheet_name("History", ("result",)) == "Result 2" and len(sheet_name("x" * 40, ("x" * 31,))) == 31
 
 
 def test_content_hash_sees_changes(env):
