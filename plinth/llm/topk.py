@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHARD_ROWS, QUERY_BLOCK, PROBE_STEP = 4096, 512, 8
+SHARD_ROWS, QUERY_BLOCK, PROBE_STEP = 16_384, 512, 8
 #: Terms are non-essential once those left can add no more than this share of a query's bound.
-NON_ESSENTIAL = 0.15
+NON_ESSENTIAL = 0.05
 
 
 class Shard:
