@@ -12,8 +12,9 @@ texts of which too much is hit.
 
 Normal form: A-Z lower-cased, words are runs of characters other than ASCII
 non-alphanumerics.  Defined results: a null or blank text has no words and no
-hits; null items have none; repeated items all count as occurring; without items
-nothing is hit.  Other columns pass through.
+hits; null items have none; an item without an id hits words but can't be named;
+repeated items all count as occurring; without items nothing is hit.  Other
+columns pass through.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def words_of(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """Of the word sequences of items; states know the items that their windows are from."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window, self.words = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size = [-1], [0]
@@ -53,11 +54,11 @@ class SuffixAutomaton:
             v = 0
             for w in ws:
                 v = u = self.next[v][w]
-                while self.size[u] >= window and item not in self.items[u]:
+                while item is not None and self.size[u] >= window and item not in self.items[u]:
                     self.items[u].add(item)
                     u = self.link[u]
             if len(ws) < window:
-                self.whole.setdefault(v, set()).add(item)
+                self.whole.setdefault(v, set()).update([] if item is None else [item])
         # The nearest state on the suffix path, itself included, that is a whole short item.
         self.short = [-1] * len(self.next)
         for v in sorted(range(len(self.next)), key=self.size.__getitem__):
@@ -137,12 +138,12 @@ class SuffixAutomaton:
 
 def _automata(items: DataFrame, item_id: str, text: str, window: int, max_words: int):
     """One automaton for each chunk of the items; a chunk is what the driver holds at once."""
-    named = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).distinct()
+    named = items.where(F.col(text).isNotNull()).select(F.col(item_id).cast("string").alias("id"), F.col(text).cast("string").alias("text")).distinct()
     letters = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-letters // (2 * max_words)))  # a word and its gap are two characters at least
     for c in range(chunks):
-        rows = named.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c).collect() if chunks > 1 else named.collect()
-        yield SuffixAutomaton([(r["id"], words_of(r["text"])) for r in sorted(rows)], window)
+        rows = named.where(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)) == c).collect() if chunks > 1 else named.collect()
+        yield SuffixAutomaton([(r["id"], words_of(r["text"])) for r in sorted(rows, key=lambda r: (r["id"] or "", r["text"]))], window)
 
 
 def _covered(ranges: Column) -> Column:

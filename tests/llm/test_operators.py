@@ -201,7 +201,7 @@ def brute_hits(text, items, window):
         for i in range(len(w) - m + 1):
             if m and tuple(w[i : i + m]) in grams:
                 hit |= set(range(i, i + m))
-                found.add(str(item))
+                found |= set() if item is None else {str(item)}
     return len(w), len(hit), sorted(found)
 
 
@@ -211,6 +211,7 @@ def test_decontaminate_equals_brute_force(spark, chunk):
     for i in range(30):
         items.append((i, " ".join(words(r.choice([1, 2, 4, 9, 10, 11, 25]), i, 6))))
     items += [(50, None), (51, "..."), (52, items[3][1]), (53, items[5][1].upper())]
+    items += [(None, " ".join(words(n, 300 + n, 7))) for n in (3, 12)] + [(None, None)]  # nobody's items: they hit, unnamed
     texts = [" ".join(words(r.randint(0, 120), 100 + i, 7)) for i in range(60)] + [items[7][1] + ", " + items[8][1], None, "", "É-é É"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.scan(docs(spark, texts), bench, 10, max_chunk_words=chunk).collect()
