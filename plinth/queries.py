@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .model import Entity, Environment, Link, Metric, TimeDimension
+from .model import Entity, Environment, Link, Metric, TemplateColumn, TimeDimension
 from .plans import build as b
 from .plans.run import compile_plan, content_hash
-from .sources import cells, profile
+from .sources import cells, profile, regions, workbook
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 LINKS = (
@@ -91,6 +93,82 @@ def _hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("same", F.lit(content_hash(df) == content_hash(df.orderBy(F.desc("s_suppkey")))))
 
+def _skip_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over quotients of which those by zero are errors, with error cells left out."""
+    quotient = b.derive("r", b.op2("div", b.col("l_tax"), b.col("l_discount")))
+    plan = b.query("lineitem", quotient, b.aggregate(["l_returnflag"], b.measure("sum", "r", "total"), b.measure("max", "r", "top"), b.measure("count", "r", "n")))
+    return rounded(compile_plan(plan, environment(spark, sf_dir), exclude_error_cells=True).df)
+
+
+def _template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in the columns of a template; its formula column is not written."""
+    card = (TemplateColumn("No", "number"), TemplateColumn("Name"), TemplateColumn("Row #", formula=True), TemplateColumn("Segment"), TemplateColumn("Balance", "number"))
+    env = replace(environment(spark, sf_dir), templates={"card": card})
+    plan = b.query("customer", b.keep(b.compare("gt", "c_acctbal", 0)), b.project(No="c_custkey", Name="c_name", Segment="c_mktsegment", Balance="c_acctbal"))
+    return rounded(compile_plan(plan | {"sink": {"mode": "template", "templateId": "card"}}, env).df)
+
+
+_AS_CELL = """CASE o_orderkey % 9 WHEN 0 THEN '$' || {price} WHEN 1 THEN {price} WHEN 2 THEN o_orderkey || '%' WHEN 3 THEN {day} WHEN 4 THEN 'TRUE'
+WHEN 5 THEN 'n/a' WHEN 6 THEN '#div/0!' WHEN 7 THEN '0' || o_orderkey ELSE o_orderpriority END"""
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as cells of all sorts, and what each is taken for."""
+    cell = _AS_CELL.format(price="format_number(o_totalprice, 2)", day="date_format(o_orderdate, 'd-MMM-yyyy')")
+    shown = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr(cell).alias("cell"))
+    return shown.groupBy(profile.cell_class(F.col("cell")).alias("class")).agg(F.count(F.lit(1)).alias("cells"))
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the columns of orders are, judged by their texts alone."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    as_text = rows.select(
+        F.col("o_orderkey").cast("string").alias("o_orderkey"), F.concat(F.lit("€"), F.format_number("o_totalprice", 2)).alias("o_totalprice"),
+        F.date_format("o_orderdate", "d/M/yyyy").alias("o_orderdate"), "o_orderpriority",
+    )
+    found = [(x["column"], x["kind"], x["unit"], x["rows"], x["distinct"], x["day_first"], x["key"]) for x in profile.infer(as_text)]
+    return spark.createDataFrame(found, "column string, kind string, unit string, rows long, distinct long, day_first boolean, key boolean")
+
+
+def _exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.exemplars(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand", "p_type"))
+    return found.select("column", F.array_join("values", ";").alias("values"))
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet a customer with a title, a header, the orders and their total; where the table is on it."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    line = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 3
+    wide = lambda row, *texts: F.array(*[F.struct(row.cast("int").alias("row"), F.lit(i).alias("col"), t.cast("string").alias("value")) for i, t in enumerate(texts, 1)])
+    sheet = F.col("o_custkey").cast("string").alias("sheet")
+    data = orders.withColumn("line", line).select(sheet, F.explode(wide(F.col("line"), F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.format_number("o_totalprice", 2))).alias("c"))
+    per = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
+    around = F.concat(wide(F.lit(1), F.lit("Orders")), wide(F.lit(3), F.lit("Order"), F.lit("Day"), F.lit("Price")), wide(F.col("n") + 4, F.lit("Total"), F.lit(""), F.format_number("s", 2)))
+    grid = data.unionByName(per.select(sheet, F.explode(around).alias("c"))).select("sheet", "c.*")
+    return regions.regions(grid).select("sheet", *[F.col(c).cast("long").alias(c) for c in ("header_row", "first_row", "last_row", "first_col", "last_col", "rows", "skipped")])
+
+
+def _date_systems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order days as day numbers of two systems beside what a sheet shows of them, by priority."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("day", F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")))
+    early = F.col("o_orderpriority") < "3"
+    probes = orders.select(
+        F.col("o_orderpriority").alias("book"), (F.col("day") + F.when(early, 25569).otherwise(24107)).cast("double").alias("serial"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("text"), F.lit("dd/mm/yyyy").alias("format"),
+    )
+    return workbook.date_systems(probes)
+
+
+def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of two scans, one for each nation: some moved, some with a new header, some all new."""
+    nation, kind = spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("n_nationkey") % 3
+    row, names = F.lit(1), F.array(F.lit("Key"), F.lit("Area"), F.col("n_name"))
+    before = nation.select(F.concat(F.lit("t"), "n_nationkey").alias("id"), F.col("n_name").alias("sheet"), row.alias("header_row"), F.lit(1).alias("first_col"), names.alias("headers"))
+    headers = F.when(kind == 0, F.transform(names, F.upper)).when(kind == 1, F.array(F.lit("Key"), F.lit("Region"), F.col("n_name"))).otherwise(F.array(F.lit("x"), F.lit("y")))
+    after = nation.select(F.col("n_name").alias("sheet"), F.when(kind == 0, 7).otherwise(1).alias("header_row"), F.lit(1).alias("first_col"), headers.alias("headers"))
+    kept = workbook.carry_ids(after, before)
+    changed = workbook.renamed_columns(before, kept).select("id", F.concat_ws(">", "was", "now").alias("renamed"))
+    return kept.join(changed, "id", "left").select("sheet", "id", "renamed")
 
 
 PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -166,6 +244,21 @@ PLANS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
 WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders), m AS (SELECT count(*) AS n, count(*) FILTER (WHERE k IN (SELECT c_custkey FROM customer)) AS hit FROM o)
 SELECT 'orders' AS from_table, 'o_custkey' AS from_column, 'customer' AS to_table, 'c_custkey' AS to_column, round(hit / n, 2) AS overlap, round(hit / n * (0.6 + 0.4 * least(1.0, n / 5)), 2) AS confidence FROM m WHERE hit / n >= 0.8"""),
     "load_text_numbers_dates": (_reload, "SELECT o_orderkey::DOUBLE AS o_orderkey, round(CASE WHEN o_orderkey % 3 = 0 THEN -round(o_totalprice, 2) ELSE round(o_totalprice, 2) END, 2) AS price, o_orderdate::DATE AS day FROM orders"),
+    "agg_skip_errors": (_skip_errors, "SELECT l_returnflag, round(sum(l_tax / l_discount) FILTER (WHERE l_discount <> 0), 2) AS total, round(max(l_tax / l_discount) FILTER (WHERE l_discount <> 0), 2) AS top, count(*) AS n FROM lineitem GROUP BY 1"),
+    "template_fill": (_template, """SELECT c_custkey AS "No", c_name AS "Name", c_mktsegment AS "Segment", round(c_acctbal, 2) AS "Balance" FROM customer WHERE c_acctbal > 0"""),
+    "classify_cells": (_classes, """SELECT CASE o_orderkey % 9 WHEN 0 THEN 'currency' WHEN 1 THEN 'number' WHEN 2 THEN 'percent' WHEN 3 THEN 'date' WHEN 4 THEN 'boolean' WHEN 5 THEN 'null' WHEN 6 THEN 'error' ELSE 'string' END AS class, count(*) AS cells FROM orders GROUP BY 1"""),
+    "infer_kinds": (_kinds, """
+SELECT 'o_orderkey' AS "column", 'number' AS kind, NULL AS unit, count(*) AS rows, count(DISTINCT o_orderkey) AS "distinct", NULL::BOOLEAN AS day_first, count(DISTINCT o_orderkey) = count(*) AS key FROM orders
+UNION ALL SELECT 'o_totalprice', 'currency', 'EUR', count(*), count(DISTINCT format('{:,.2f}', round(o_totalprice, 2))), NULL, count(DISTINCT format('{:,.2f}', round(o_totalprice, 2))) = count(*) FROM orders
+UNION ALL SELECT 'o_orderdate', 'date', NULL, count(*), count(DISTINCT o_orderdate), true, count(DISTINCT o_orderdate) = count(*) FROM orders
+UNION ALL SELECT 'o_orderpriority', 'categorical', NULL, count(*), count(DISTINCT o_orderpriority), NULL, count(DISTINCT o_orderpriority) = count(*) FROM orders"""),
+    "profile_exemplars": (_exemplars, """
+WITH v AS (SELECT 'p_brand' AS "column", lower(p_brand) AS v, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'p_type', lower(p_type), count(*) FROM part GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, v) AS k FROM v)
+SELECT "column", string_agg(v, ';' ORDER BY v) AS "values" FROM r WHERE k <= 5 GROUP BY 1"""),
+    "sheet_regions": (_sheets, "SELECT o_custkey::VARCHAR AS sheet, 3 AS header_row, 4 AS first_row, 3 + count(*) AS last_row, 1 AS first_col, 3 AS last_col, count(*) AS rows, 1 AS skipped FROM orders GROUP BY 1"),
+    "date_systems": (_date_systems, "SELECT o_orderpriority AS book, CASE WHEN o_orderpriority < '3' THEN '1900' ELSE '1904' END AS system, count(*) AS telling FROM orders GROUP BY 1"),
+    "carry_table_ids": (_carried, "SELECT n_name AS sheet, CASE WHEN n_nationkey % 3 = 2 THEN 'r:' || n_name || ':R1C1' ELSE 't' || n_nationkey END AS id, CASE WHEN n_nationkey % 3 = 1 THEN 'Area>Region' END AS renamed FROM nation"),
     "content_hash_guard": (_hash, "SELECT count(*) AS rows, true AS same FROM supplier"),
 }
 QUERIES = {name: q for name, (q, _) in PLANS.items()}

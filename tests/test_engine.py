@@ -13,7 +13,7 @@ from plinth.model import ERROR, Entity, Environment, Kind, Link, Metric, PlanErr
 from plinth.plans import build as b
 from plinth.plans.run import check_anchor, check_new_sheet, check_params, commit, compile_plan, content_hash, guards, plan_hash, preview, sheet_name
 from plinth.queries import ORACLES, QUERIES
-from plinth.sources import cells, profile, regions
+from plinth.sources import cells, profile, regions, workbook
 
 SALES = [
     (1, "North", "web", 100.0, 2, dt.date(2025, 1, 5), "shipped"), (2, "north", "shop", 50.0, 1, dt.date(2025, 1, 20), "Returned"), (3, "South", "web", 70.0, 0, dt.date(2024, 11, 2), "shipped"),
@@ -335,6 +335,41 @@ def test_regions(spark):
     assert roles[3] == "label" and roles[6] == "totals" and roles[10] == "totals" and roles[9] == "data" and roles[0] == "title"
 
 
+@pytest.mark.parametrize(
+    ("format", "kind", "unit"),
+    [
+        (None, "general", None), ("General", "general", None), ("@", "text", None), ("$#,##0.00", "currency", "USD"), ("[$₹-4009] #,##0", "currency", "INR"), ("[$EUR] 0", "currency", "EUR"),
+        ("0.0%", "percent", None), ("dd-mmm-yy", "date", None), ("mmm", "date", None), ("mm", "general", None), ("yyyy-mm-dd hh:mm", "datetime", None), ("h:mm AM/PM", "datetime", None),
+        ("[Red]0.00", "number", None), ('0 "days"', "number", None), ("# ?/?", "number", None), (r"0\d", "number", None),
+    ],
+)
+def test_number_formats(spark, format, kind, unit):
+    f = F.lit(format).cast("string")
+    assert tuple(spark.range(1).select(workbook.format_class(f), workbook.format_unit(f)).first()) == (kind, unit)
+
+
+def test_date_systems(spark):
+    probes = [
+        ("a", 45658.0, "1/1/2025", "m/d/yyyy"), ("a", 45658.5, "", "m/d/yyyy"), ("a", -1.0, "x", "d"), ("a", None, "1/1/1999", "d/m/yyyy"), ("a", 1e300, "1/1/1999", "d/m/yyyy"),
+        ("b", 44196.0, "01-Jan-25", "dd-mmm-yy"), ("c", 45658.0, "1/1/2025", "m/d/yyyy"), ("c", 44196.0, "1/1/2025", "m/d/yyyy"), ("d", 45658.0, "January", "mmmm"),
+        ("e", 60.0, "29/2/1900", "d/m/yyyy"), ("f", 45658.0, None, None),
+    ]
+    got = {r["book"]: (r["system"], r["telling"]) for r in workbook.date_systems(spark.createDataFrame(probes, "book string, serial double, text string, format string")).collect()}
+    assert got == {"a": ("1900", 1), "b": ("1904", 1), "c": ("unknown", 2), "d": ("unknown", 0), "e": ("1900", 1), "f": ("unknown", 0)}
+
+
+def test_tables_keep_their_ids(spark):
+    shape = "sheet string, header_row int, first_col int, headers array<string>"
+    before = spark.createDataFrame([("t1", "S", 1, 1, ["A", "B"]), ("t2", "S", 9, 1, ["C", "D", "E"]), ("t3", "T", 1, 1, ["A", "B"]), ("t4", "U", 1, 1, ["X"]), ("t5", "U", 5, 1, ["X"])], "id string, " + shape)
+    after = spark.createDataFrame([("S", 4, 2, ["a ", "b"]), ("S", 9, 1, ["C", "D2", "E"]), ("S", 1, 1, ["A", "B"]), ("T", 1, 1, ["Q", "R"]), ("U", 1, 1, ["X"])], shape)
+    got = {(r["sheet"], r["header_row"]): r["id"] for r in workbook.carry_ids(after, before).collect()}
+    # The first of two equal tables takes the id; two earlier tables that look alike are told apart by place.
+    assert got == {("S", 1): "t1", ("S", 4): "r:S:R4C2", ("S", 9): "t2", ("T", 1): "r:T:R1C1", ("U", 1): "t4"}
+    changed = workbook.renamed_columns(before, workbook.carry_ids(after, before)).collect()
+    assert [tuple(r) for r in changed] == [("t2", 1, "D", "D2")]
+    assert workbook.carry_ids(after, before.limit(0)).count() == 5 and workbook.carry_ids(after.limit(0), before).count() == 0
+
+
 def test_filters_reach_the_scan(spark, small):
     from plinth.queries import environment
 
