@@ -58,6 +58,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def class_shares(counts: dict[int, int], most: int) -> dict[int, int]:
+    """How many rows of class 0 and 1 to learn from, ``most`` in all: half each, and what one class leaves goes to the other."""
+    n0, n1 = counts.get(0, 0), counts.get(1, 0)
+    of_1 = min(n1, max(most // 2, most - n0))
+    return {0: min(n0, most - of_1), 1: of_1}
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the least node reachable.
 

@@ -8,9 +8,10 @@ their Cholesky factors are computed once and kept.  A text's score is the
 logistic function of the difference of the two log densities, each from a
 Mahalanobis distance by one triangular product, plus the log prior odds.
 
-Training uses at most ``MAX_TRAIN`` labelled rows (those with the least hashes of
-their ids); their number is bounded, so their ids are broadcast and no text is
-shuffled.  Scoring is a narrow pass over whole texts.
+Training uses at most ``MAX_TRAIN`` labelled rows, half of each class (those with
+the least hashes of their ids) and a rarer class whole; each class is weighted by
+how many labels it has in all.  Their number is bounded, so their ids are broadcast
+and no text is shuffled.  Scoring is a narrow pass over whole texts.
 
 Defined results: a null or blank text is scored from the statistics of an empty
 one.  Labels that are null or neither 0 nor 1 are not learned from; a doc_id that
@@ -30,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import class_shares
+
 MAX_TRAIN = 20_000
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _CAPITALS = bytes(range(65, 91))
@@ -98,15 +101,16 @@ class QuadraticModel:
         return 1.0 / (1.0 + np.exp(np.clip(-(density[1] - density[0] + self.log_odds), -500, 500)))
 
 
-def fit_model(count: np.ndarray, total: np.ndarray, product: np.ndarray, pooled: float = 0.5, diagonal: float = 0.05) -> QuadraticModel:
-    """The model from the counts, sums and sums of outer products of the two classes."""
+def fit_model(count: np.ndarray, total: np.ndarray, product: np.ndarray, pooled: float = 0.5, diagonal: float = 0.05, weight: tuple[float, float] = (1.0, 1.0)) -> QuadraticModel:
+    """The model from the counts, sums and sums of outer products of the two classes; each row stands for ``weight`` rows of its class."""
     if count.sum() == 0:
         return QuadraticModel(0.5)
     if count.min() == 0:
         return QuadraticModel(float(count[1] > 0))
     mean = total / count[:, None]
     cov = product / count[:, None, None] - mean[:, :, None] * mean[:, None, :]
-    common = (cov * count[:, None, None]).sum(0) / count.sum()
+    whole = count * np.array(weight)
+    common = (cov * whole[:, None, None]).sum(0) / whole.sum()
     size, factor, log_det = mean.shape[1], [], []
     for c in (0, 1):
         own = min(1.0, pooled + size / (size + count[c]))  # few rows lean on the pooled one
@@ -115,7 +119,7 @@ def fit_model(count: np.ndarray, total: np.ndarray, product: np.ndarray, pooled:
         low = np.linalg.cholesky(s)
         factor.append(np.linalg.inv(low))
         log_det.append(2 * np.log(np.diag(low)).sum())
-    return QuadraticModel(None, mean, np.array(factor), np.array(log_det), float(np.log(count[1] / count[0])))
+    return QuadraticModel(None, mean, np.array(factor), np.array(log_det), float(np.log(whole[1] / whole[0])))
 
 
 def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,10 +144,13 @@ def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> QuadraticModel:
     """Learn from the labelled rows of ``docs``, ``max_train`` of them at most."""
-    few = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("long").alias("_label"))
-    few = few.orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_train)
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("long").alias("_label"))
+    counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    take = class_shares(counts, max_train)
+    few = [known.where(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(n) for c, n in take.items()]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("_text"))
-    return fit_model(*_moments(rows.join(F.broadcast(few), "_id").select("_text", "_label")))
+    moments = _moments(rows.join(F.broadcast(few[0].unionByName(few[1])), "_id").select("_text", "_label"))
+    return fit_model(*moments, weight=tuple(counts.get(c, 0) / max(1, n) for c, n in take.items()))
 
 
 def score_quality(docs: DataFrame, model: QuadraticModel, text: str = "text", score_col: str = "score") -> DataFrame:

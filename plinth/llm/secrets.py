@@ -3,10 +3,14 @@
 Candidates are long runs of key-like characters in whole texts.  Each has
 features of its length, its character transitions, the share of it that corpus
 words cover (the dictionary: the ``DICTIONARY`` most frequent words, counted over
-all texts), path-like surroundings and the neighbouring words.  The forest is
-trained by Spark from labelled findings, on at most ``MAX_TRAIN`` of them, and
-gives each candidate a probability; the secret itself is never returned, only
-its place, length and hash.
+all texts), path-like surroundings and the neighbouring words.
+
+The trees are grown by Spark on at most ``MAX_TRAIN`` labelled findings: half of
+each class (the least hashes), a rarer class whole, both of the same weight, so
+that a rare class counts in every split however many findings there are.  What a
+leaf says is then counted over all labelled findings: the share of class 1 in it.
+A candidate's probability is the mean of its leaves; the secret itself is never
+returned, only its place, length and hash.
 
 Defined results: null or blank texts have no findings.  Places are in characters
 of the text.  Repeated rows give repeated findings.  With labels of one class only
@@ -27,6 +31,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import class_shares
+
 MAX_TRAIN, DICTIONARY, LEAST = 20_000, 3000, 16
 _RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{%d,}" % LEAST)
 _WORDISH = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -132,13 +138,23 @@ def rule_labels(found: DataFrame) -> DataFrame:
 
 def remove_false_positives(found: DataFrame, labelled: DataFrame, trees: int = 20, depth: int = 6, max_train: int = MAX_TRAIN) -> DataFrame:
     """``found`` with probability (that it is a secret); ``labelled``: features and label (0, 1 or null)."""
-    rows = labelled.where(F.col("label").isin(0, 1)).orderBy(F.xxhash64("features", "label"), "features", "label").limit(max_train)
-    rows = rows.select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("label")).persist()
+    rows = labelled.where(F.col("label").isin(0, 1)).select("features", F.col("label").cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return found.withColumn("probability", F.lit(float(next(iter(counts), 0.5))))
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=11)
-    model = forest.fit(rows)
-    rows.unpersist()
-    scored = model.transform(found.withColumn("x", array_to_vector("features")))
-    return scored.withColumn("probability", F.element_at(vector_to_array("probability"), 2)).drop("x", "rawPrediction", "prediction")
+    take = class_shares(counts, max_train)
+    few = [rows.where(F.col("label") == c).orderBy(F.xxhash64("features"), "features").limit(n).withColumn("weight", F.lit(max_train / 2 / n)) for c, n in take.items()]
+    sample = few[0].unionByName(few[1]).select(array_to_vector("features").alias("x"), F.col("label").cast("double").alias("label"), "weight").persist()
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", leafCol="leaves", numTrees=trees, maxDepth=depth, seed=11)
+    model = forest.fit(sample)
+    sample.unpersist()
+    leaves = lambda df: model.transform(df.withColumn("x", array_to_vector("features"))).withColumn("leaves", vector_to_array("leaves"))
+    placed = leaves(rows.withColumnRenamed("label", "own")).select("own", F.posexplode("leaves").alias("tree", "leaf"))
+    shares = [{} for _ in range(trees)]
+    for tree, leaf, share in placed.groupBy("tree", "leaf").agg(F.avg("own")).collect():  # at most trees x 2^depth
+        shares[tree][leaf] = share
+    # Each leaf holds findings of the sample, so none is without a share.
+    table = F.array(*[F.create_map(*[F.lit(v) for pair in each.items() for v in pair]) for each in shares])
+    own = F.transform("leaves", lambda leaf, tree: F.try_element_at(F.get(table, tree), leaf))
+    mean = F.aggregate(own, F.lit(0.0), lambda total, share: total + share) / trees
+    return leaves(found).withColumn("probability", mean).drop("x", "rawPrediction", "prediction", "leaves")

@@ -93,6 +93,17 @@ def test_quality_learns_and_keeps_odd_rows(spark):
     assert quality.train(df, labels.where("quality = 1")).constant == 1.0
 
 
+def test_quality_learns_a_rare_class(spark):
+    texts = [" ".join(words(40, i)) + "." for i in range(300)] + [" | ".join(words(40, i)) for i in range(8)]
+    df = docs(spark, texts)
+    labels = df.select("doc_id", (F.col("doc_id") < 300).cast("int").alias("quality"))
+    copies = labels.where("quality = 1").crossJoin(spark.range(100)).select("doc_id", "quality").unionByName(labels.where("quality = 0"))
+    model = quality.train(df, copies, max_train=100)  # 8 of 30,008 labels are 0
+    assert model.constant is None and model.log_odds == pytest.approx(np.log(30_000 / 8), rel=0.5)
+    scored = {r["doc_id"]: r["score"] for r in quality.score_quality(df, model).collect()}
+    assert all((s >= 0.5) == (i < 300) for i, s in scored.items())
+
+
 def test_quality_held_out(spark):
     df = QUERIES["op2_quality"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     right, n = df.where("held_out").agg(F.count_if(F.col("predicted") == F.col("quality")), F.count("*")).first()
@@ -400,6 +411,18 @@ def test_secrets(spark):
     assert secrets.dictionary(df, size=4) == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:4]]
 
 
+def test_secrets_learn_a_rare_class(spark):
+    """10 of 1,000,000 labelled findings are secrets, above all others in one feature."""
+    x = F.rand(3)
+    rows = spark.range(1_000_000, numPartitions=8).withColumn("label", (F.col("id") % 100_000 == 7).cast("int"))
+    value = F.when(F.col("label") == 1, 1.2 + x / 10).otherwise(x)
+    found = rows.select("id", F.array(F.rand(1), value, *[F.rand(k) for k in range(5, 20)]).alias("features"), "label")
+    got = secrets.remove_false_positives(found, found).where("probability >= 0.5 or label = 1").collect()
+    assert len(got) == 10 and all(r["label"] == 1 and r["probability"] >= 0.5 for r in got)
+    shares = secrets.class_shares({0: 1_000_000, 1: 10}, 20_000)
+    assert shares == {0: 19_990, 1: 10} and secrets.class_shares({0: 30, 1: 50}, 20_000) == {0: 30, 1: 50} and secrets.class_shares({0: 90, 1: 90}, 100) == {0: 50, 1: 50}
+
+
 # Queries and the pipeline
 
 
