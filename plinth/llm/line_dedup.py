@@ -6,6 +6,11 @@ corpus.  An occurrence is later if the same window stands at a smaller
 being merged into one covered stretch.  So each removed line still stands at an
 earlier place, and what a document shares with none stays untouched.
 
+With ``piece_words`` lines are also cut after sentence ends, and three consecutive
+pieces of so many words in all are a window too, wherever the lines break: so a
+passage inside one or two lines, or one that begins inside a line, is seen.  The
+pieces of later occurrences go; a line goes when nothing is left of it.
+
 Everything is DataFrame functions: windows are made inside the row, first places
 are a grouped minimum with map-side combining, and a frequent window is a skewed
 key of a plain equi-join only, which Spark splits.
@@ -24,8 +29,14 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
+#: Sentence ends, after the blanks that follow them.
+PIECE_END = r"(?<=[.!?。！？]\s)(?=\S)"
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3, piece_words: int | None = None) -> DataFrame:
     """``docs`` with the text's kept lines, and n_lines and n_removed."""
+    if piece_words is not None:
+        return _dedup_pieces(docs, id_col, text, window, piece_words)
     body = F.col(text).cast("string")
     lines, state = F.split(body, "\n"), F.xxhash64(body)
 
@@ -54,3 +65,54 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
         }
     )
     return out.withColumn(text, F.col("__line_text")).drop("__line_own", "__line_id", "__line_state", "__line_starts", "__line_kept", "__line_text")
+
+
+def _dedup_pieces(docs: DataFrame, id_col: str, text: str, window: int, least: int) -> DataFrame:
+    """Windows of lines and of pieces; both are stretches of the text's pieces, ``at`` to ``upto``."""
+    body = F.col(text).cast("string")
+    lines, state = F.split(body, "\n"), F.xxhash64(body)
+    pieces = F.flatten(F.transform(lines, lambda line, i: F.transform(F.split(line, PIECE_END), lambda p, j: F.struct(i.alias("line"), j.alias("nth"), p.alias("p")))))
+
+    def stretch(salt, at, upto, own, counts):
+        return F.struct(at.alias("at"), upto.alias("upto"), F.xxhash64(F.lit(salt), *own).alias("h1"), F.xxhash64(F.lit(salt + 1), *own).alias("h2"), counts.alias("counts"))
+
+    def of_lines(i):
+        own = [F.get("lines", i + k) for k in range(window)]
+        end = F.coalesce(F.get("starts", i + window), F.size("pieces")) - 1
+        return stretch(1, F.get("starts", i), end, own, F.length(F.trim(F.concat(*own))) > 0)
+
+    def of_pieces(k):
+        own = [F.rtrim(F.get("pieces", k + n)["p"]) for n in range(window)]
+        return stretch(3, k, k + (window - 1), own, F.size(F.split(F.trim(F.concat_ws(" ", *own)), r"\s+")) >= least)
+
+    def each(column, of):
+        return F.when(F.size(column) >= window, F.transform(F.sequence(F.lit(0), F.size(column) - window), of)).otherwise(F.array())
+
+    split = docs.where(F.col(id_col).isNotNull() & body.isNotNull()).select(F.col(id_col).alias("id"), state.alias("state"), lines.alias("lines"), pieces.alias("pieces"))
+    split = split.withColumn("starts", F.filter(F.transform("pieces", lambda x, k: F.when(x["nth"] == 0, k)), lambda k: k.isNotNull()))
+    windows = split.select("id", "state", F.explode(F.concat(each("lines", of_lines), each("pieces", of_pieces))).alias("w"))
+    windows = cut(windows.where("w.counts").select("id", "state", "w.at", "w.upto", "w.h1", "w.h2"), "pieces")
+    first = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first")).where("n > 1").select("h1", "h2", "first")
+    later = windows.join(first, ["h1", "h2"]).where(F.struct("id", "at") > F.col("first"))
+    covered = later.groupBy(F.col("id").alias("__line_id"), F.col("state").alias("__line_state")).agg(F.collect_set(F.struct("at", "upto")).alias("__line_gone"))
+
+    joined = docs.withColumn("__line_own", state).join(covered, (F.col(id_col) == F.col("__line_id")) & (F.col("__line_own") == F.col("__line_state")), "left")
+    joined = joined.withColumn("__line_pieces", F.when(F.col("__line_gone").isNotNull(), pieces))
+    gone = F.flatten(F.transform("__line_gone", lambda g: F.sequence(g["at"], g["upto"])))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__line_pieces") - 1), gone)
+    joined = joined.withColumn("__line_left", F.when(F.col("__line_gone").isNotNull(), F.transform(left, lambda k: F.get("__line_pieces", k))))
+
+    def shown(x, n):
+        after = F.get("__line_left", n + 1)["line"]
+        return F.concat(x["p"], F.when(after != x["line"], "\n").otherwise(""))
+
+    n_lines = F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    kept_lines = F.size(F.array_distinct(F.transform("__line_left", lambda x: x["line"])))
+    out = joined.withColumns(
+        {
+            "n_lines": n_lines,
+            "n_removed": F.when(F.col("__line_gone").isNull(), F.lit(0)).otherwise(n_lines - kept_lines).cast("long"),
+            "__line_text": F.when(F.col("__line_gone").isNull(), body).otherwise(F.array_join(F.transform("__line_left", shown), "")),
+        }
+    )
+    return out.withColumn(text, F.col("__line_text")).drop("__line_own", "__line_id", "__line_state", "__line_gone", "__line_pieces", "__line_left", "__line_text")

@@ -11,7 +11,7 @@ from . import decontaminate, lang_id, line_dedup, mixing, near_dup, quality, sec
 from .common import cut, table
 
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
-KEEP_SCORE = 0.3
+KEEP_SCORE, PIECE_WORDS = 0.3, 20
 #: The tools that the turns of ``conversations`` stand for: see ``calls_of``.
 SCHEMAS = {
     "reply": {
@@ -94,6 +94,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like op8_line_dedup, and passages inside lines: three sentences of ``PIECE_WORDS`` words or more."""
+    clean = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), piece_words=PIECE_WORDS)
+    return clean.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = lang_id.train(docs.where(part_of_ids("doc_id", 4) != 2))
@@ -109,5 +115,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_quality, op3_near_dup, op4_top_k, op5_decontaminate, op6_tool_calls, op7_mix, op8_line_dedup, op9_language, op10_secrets)
+    f.__name__: f for f in (op1_url_filter, op2_quality, op3_near_dup, op4_top_k, op5_decontaminate, op6_tool_calls, op7_mix, op8_line_dedup, op8_passage_dedup, op9_language, op10_secrets)
 }

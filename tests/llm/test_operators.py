@@ -353,6 +353,23 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(odd(spark).limit(0)).count() == 0
 
 
+def test_passages_inside_lines(spark):
+    """A passage in one line, in two lines and begun inside a line; what is too short stays; lines go as without pieces."""
+    said = ["The first of these sentences has some words.", "A second one follows it and is as long.", "Here the third ends what both texts say."]
+    whole = " ".join(said)
+    texts = [f"Own start here. {whole} Own end.", f"Other begin.\nIt says so. {whole} And goes on.\nLast line", f"{said[0]} {said[1]}\n{said[2]}", "Yes. No. Maybe. So.", "Yes. No. Maybe. Then.", "a. b.\nc\nd\ne", "x\na. b.\nc\nd"]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(docs(spark, texts), piece_words=20).collect()}
+    assert got[0] == (texts[0], 1, 0) and got[1] == ("Other begin.\nIt says so. And goes on.\nLast line", 3, 0) and got[2] == ("", 2, 2)
+    assert got[3][0] == texts[3] and got[4][0] == texts[4] and got[6] == ("x", 4, 3)
+    r = random.Random(6)
+    plain = ["\n".join(r.choice(["a", "b", "", "long line", " "]) for _ in range(r.randint(1, 14))) for _ in range(120)] + [None, "", "\n", "a\na\na\na\na", "\n\n\n\n"]
+    expected = brute_lines(dict(enumerate(plain)))
+    for x in line_dedup.dedup_lines(docs(spark, plain), piece_words=20).collect():
+        assert x["text"] == expected[x["doc_id"]]
+    strange = line_dedup.dedup_lines(odd(spark), piece_words=20).collect()
+    assert len(strange) == odd(spark).count() and all(x["host"] == "kept" for x in strange)
+
+
 # 9
 
 
