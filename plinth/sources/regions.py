@@ -1,9 +1,16 @@
-"""Table regions in sheets of cells, by window functions over rows.
+"""Table regions in sheets of cells, by window functions over rows and columns.
 
-A sheet's rows that hold something form blocks, which empty rows part; a block
-goes on after at most two of them if what follows looks like data.  The first row
-that fills most of a block is its header, rows above it are titles; rows with a
-single cell are labels of sections, and rows that begin with a total are totals.
+A sheet's rows that hold something form bands, which empty rows part, and a band's
+columns that hold something form blocks, which empty columns part.  A block goes on
+with one below it after at most two empty rows if that one is no wider and has
+totals or looks like data; small blocks that no table takes are titles or notes.
+A table's header is one of its first five rows: all text, and half of the width.
+A sparse row of texts above it has labels of groups.  Without a header the table's
+first row is data and its header_row the row above.  Totals fill at most 70 % of
+the width, rounded up (all of three columns); a single text in a table of three
+columns or more labels a section.
+
+Blocks of one sheet (not its cells) are put together in one array.
 """
 
 from __future__ import annotations
@@ -14,42 +21,90 @@ from pyspark.sql.window import Window
 
 from .profile import cell_class
 
-TOTAL = r"(?i)^\s*(grand\s+total|sub\s*-?\s*total|total)s?\b"
+TOTAL = r"(?i)\b(grand\s*total|sub-?\s*total|total)s?\b"
 MAX_GAP = 2
+_NO_BOXES = "cast(array() as array<struct<top:bigint,left:bigint,bottom:bigint,right:bigint>>)"
+
+
+def _islands(cells: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
+    """``cells`` with the number of the run of consecutive ``at`` that each is in."""
+    along = Window.partitionBy(*keys).orderBy(at)
+    places = cells.select(*keys, at).distinct().withColumn("_new", F.coalesce(F.col(at) - F.lag(at).over(along) > 1, F.lit(False)).cast("int"))
+    return cells.join(places.withColumn(name, F.sum("_new").over(along)).drop("_new"), [*keys, at])
+
+
+def _header_like(width):
+    least = F.when(width == 1, 1).otherwise(F.greatest(F.lit(2), F.ceil(width * 0.5)))
+    return (F.col("texts") == F.col("filled")) & (F.col("filled") >= least)
+
+
+def _box(x):
+    return F.struct(*[x[k].alias(k) for k in ("top", "left", "bottom", "right")])
+
+
+def _holds(o, x):
+    return (o["top"] <= x["top"]) & (o["left"] <= x["left"]) & (o["bottom"] >= x["bottom"]) & (o["right"] >= x["right"])
+
+
+def _merged(found, b):
+    """The tables so far with the next block: taken by the first that it goes on with, or a table of its own."""
+
+    def takes(r):
+        dense = (b["bottom"] - b["top"] >= 2) | (b["filled"] > (r["right"] - r["left"] + 1) * 0.5)
+        near = (b["top"] > r["bottom"]) & (b["top"] - r["bottom"] - 1 <= MAX_GAP) & (b["left"] >= r["left"]) & (b["right"] <= r["right"])
+        return near & (b["totals"] | (dense & ~b["fresh"]))
+
+    by = F.array_position(F.transform(found, takes), True)
+    longer = F.transform(found, lambda r, k: F.struct(r["top"].alias("top"), r["left"].alias("left"), F.when(k + 1 == by, b["bottom"]).otherwise(r["bottom"]).alias("bottom"), r["right"].alias("right")))
+    return F.when(by > 0, longer).when(b["note"] | b["totals"], found).otherwise(F.concat(found, F.array(_box(b))))
 
 
 def rows_by_role(cells: DataFrame) -> DataFrame:
-    """sheet, row, region, role (title, header, data, totals or label) of rows that hold something.
+    """sheet, row, region, role (title, group, header, data, totals or label) of rows that hold something, and the region's box.
 
-    ``cells``: sheet, row, col, value (text).
+    ``cells``: sheet, row, col, value (text).  A row has one role in each region that it crosses; titles and notes
+    outside of regions have none (null).
     """
-    there = cells.where(F.trim("value") != "").withColumn("kind", cell_class(F.col("value")))
-    row = there.groupBy("sheet", "row").agg(
-        F.count(F.lit(1)).alias("filled"), F.min("col").alias("c0"), F.max("col").alias("c1"),
-        F.count_if(~F.col("kind").isin("string", "null")).alias("values"), F.min_by("value", "col").alias("lead"),
+    there = cells.where(F.trim("value") != "").select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value", cell_class(F.col("value")).alias("kind"))
+    placed = _islands(_islands(there, ["sheet"], "row", "band"), ["sheet", "band"], "col", "part")
+    row = placed.groupBy("sheet", "band", "part", "row").agg(
+        F.count(F.lit(1)).alias("filled"), F.count_if(F.col("kind") == "string").alias("texts"), F.max(F.col("value").rlike(TOTAL)).alias("total"), F.min("col").alias("c0"), F.max("col").alias("c1"),
+    )
+    block = Window.partitionBy("sheet", "band", "part")
+    boxed = row.withColumns({"top": F.min("row").over(block), "bottom": F.max("row").over(block), "left": F.min("c0").over(block), "right": F.max("c1").over(block)})
+    like = _header_like(F.col("right") - F.col("left") + 1)
+    at = lambda n, c: F.coalesce(F.max(F.when(F.col("row") == F.col("top") + n, c)), F.lit(False))
+    blocks = boxed.groupBy("sheet", "band", "part", "top", "left", "bottom", "right").agg(F.sum("filled").alias("filled"), at(0, F.col("total")).alias("total"), at(0, like).alias("first"), at(1, like).alias("second"))
+    short = F.col("bottom") - F.col("top") <= 1
+    told = F.struct(
+        "top", "left", "bottom", "right", "band", "part", "filled", (short & (F.col("filled") <= 2)).alias("note"), (short & F.col("total")).alias("totals"), (F.col("first") & ~F.col("second") & (F.col("bottom") > F.col("top"))).alias("fresh"),
+    )
+    sheets = blocks.groupBy("sheet").agg(F.array_sort(F.collect_list(told)).alias("blocks"))
+    sheets = sheets.withColumn("found", F.aggregate("blocks", F.expr(_NO_BOXES), _merged))
+    sheets = sheets.withColumn("found", F.filter("found", lambda r: ~F.exists("found", lambda o: (o != r) & _holds(o, r))))
+    region = F.array_position(F.transform("found", lambda o: _holds(o, F.col("b"))), True)
+    owner = sheets.select("sheet", "found", F.explode("blocks").alias("b")).withColumn("region", region).select("sheet", "b.band", "b.part", F.when(F.col("region") > 0, F.col("region")).alias("region"), F.get("found", (F.col("region") - 1).cast("int")).alias("box"))
+
+    rows = row.join(owner, ["sheet", "band", "part"]).groupBy("sheet", "region", "box", "row").agg(
+        F.sum("filled").alias("filled"), F.sum("texts").alias("texts"), F.max("total").alias("total"), F.min("c0").alias("c0"), F.max("c1").alias("c1"),
     )
-    down = Window.partitionBy("sheet").orderBy("row")
-    gap = F.col("row") - F.lag("row").over(down) - 1
-    starts = gap.isNull() | (gap > MAX_GAP) | ((gap > 0) & (F.col("values") == 0) & (F.col("filled") > 1) & ~F.col("lead").rlike(TOTAL))
-    placed = row.withColumn("start", starts.cast("int")).withColumn("region", F.sum("start").over(down))
-    block = Window.partitionBy("sheet", "region")
-    wide = placed.withColumn("width", F.max("filled").over(block))
-    full = (F.col("filled") >= 2) & (F.col("filled") >= 0.6 * F.col("width"))
-    headed = wide.withColumn("header", F.min(F.when(full, F.col("row"))).over(block))
+    width = F.col("box.right") - F.col("box.left") + 1
+    could = _header_like(width) & (F.col("row") <= F.least(F.col("box.top") + 4, F.col("box.bottom") - 1))
+    headed = rows.withColumn("header", F.min(F.when(could, F.col("row"))).over(Window.partitionBy("sheet", "region")))
+    title = (F.col("filled") == 1) & (F.col("c0") == F.col("box.left")) & (width > 2)
+    group = (F.col("row") == F.col("header") - 1) & (F.col("texts") == F.col("filled")) & (F.col("filled") < width) & ~title
     role = (
-        F.when(F.col("row") == F.col("header"), "header").when(F.col("header").isNull() | (F.col("row") < F.col("header")), "title")
-        .when(F.col("lead").rlike(TOTAL), "totals").when((F.col("filled") == 1) & (F.col("width") > 1), "label").otherwise("data")
+        F.when(F.col("region").isNull(), "title").when(F.col("row") == F.col("header"), "header").when(group, "group").when(F.col("row") < F.col("header"), "title")
+        .when(F.col("total") & (F.col("filled") <= F.ceil(width * 0.7)), "totals").when((F.col("filled") == 1) & (width >= 3) & (F.col("texts") == 1), "label").otherwise("data")
     )
-    return headed.select("sheet", "row", "region", role.alias("role"), "c0", "c1")
+    return headed.select("sheet", "row", "region", role.alias("role"), "c0", "c1", "box")
 
 
 def regions(cells: DataFrame) -> DataFrame:
-    """sheet, region, header_row, first_row, last_row, first_col, last_col, rows, skipped of each table."""
-    roles = rows_by_role(cells)
-    body = F.col("role").isin("header", "data")
-    found = roles.groupBy("sheet", "region").agg(
-        F.max(F.when(F.col("role") == "header", F.col("row"))).alias("header_row"), F.min(F.when(F.col("role") == "data", F.col("row"))).alias("first_row"),
-        F.max(F.when(F.col("role") == "data", F.col("row"))).alias("last_row"), F.min(F.when(body, F.col("c0"))).alias("first_col"), F.max(F.when(body, F.col("c1"))).alias("last_col"),
-        F.count_if(F.col("role") == "data").alias("rows"), F.count_if(F.col("role").isin("totals", "label", "title")).alias("skipped"),
+    """sheet, region, header_row, header_rows, first_row, last_row, first_col, last_col, rows, skipped of each table."""
+    is_ = lambda *roles: F.col("role").isin(*roles)
+    return rows_by_role(cells).where("region is not null").groupBy("sheet", "region").agg(
+        F.coalesce(F.max(F.when(is_("header"), F.col("row"))), F.first("box.top") - 1).alias("header_row"), F.count_if(is_("header", "group")).alias("header_rows"),
+        F.min(F.when(is_("data"), F.col("row"))).alias("first_row"), F.max(F.when(is_("data"), F.col("row"))).alias("last_row"), F.first("box.left").alias("first_col"), F.first("box.right").alias("last_col"),
+        F.count_if(is_("data")).alias("rows"), F.count_if(is_("totals", "label", "title")).alias("skipped"),
     )
-    return found.where("header_row is not null and rows > 0")

@@ -335,6 +335,17 @@ def test_regions(spark):
     assert roles[3] == "label" and roles[6] == "totals" and roles[10] == "totals" and roles[9] == "data" and roles[0] == "title"
 
 
+def test_regions_side_by_side(spark):
+    """Blocks parted by columns, a full row that begins with Total, group labels, and tables without a header."""
+    sheet = [
+        ["Firm", "Place", "Day", "Sales", "", "Code", "Name"], ["Total Energies", "Paris", "x", "7", "", "n", "North"], ["Other", "Rome", "y", "8", "", "s", "South"], ["Total", "", "", "15"], [], [], [],
+        ["", "Q1", "", "Q2", ""], ["Rep", "Jan", "Feb", "Apr", "May"], ["Ann", "1", "2", "3", "4"], [], [], [], ["1", "2", "3"], ["4", "5", "6"], [], [], [], ["one"], ["two"], ["three"],
+    ]
+    grid = spark.createDataFrame([("S", i, j, v) for i, row in enumerate(sheet) for j, v in enumerate(row)], "sheet string, row int, col int, value string")
+    got = [tuple(r) for r in regions.regions(grid).orderBy("region").select("header_row", "header_rows", "first_row", "last_row", "first_col", "last_col", "rows", "skipped").collect()]
+    assert got == [(0, 1, 1, 2, 0, 3, 2, 1), (0, 1, 1, 2, 5, 6, 2, 0), (8, 2, 9, 9, 0, 4, 1, 0), (12, 0, 13, 14, 0, 2, 2, 0), (18, 1, 19, 20, 0, 0, 2, 0)]
+
+
 @pytest.mark.parametrize(
     ("format", "kind", "unit"),
     [
