@@ -48,10 +48,38 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     Later steps read the files, so that a lost executor costs a re-read and not
     a recomputation, and iterative plans stay short.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/plinth/{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_folder(df.sparkSession)}/plinth/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables of one run by name, as in a loop: a table takes the place of the earlier one of its name.
+
+    The earlier files go once the later ones are written, so that a loop of any
+    number of rounds holds one version of each table.  Nothing may still read an
+    earlier version by then.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.root, self.paths, self.spark = f"{shared_folder(spark)}/plinth/{name}-{uuid.uuid4().hex}", {}, spark
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
+        out = _written(df, path)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            old = self.paths.pop(name, None)
+            if old is not None:
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +93,19 @@ def class_shares(counts: dict[int, int], most: int) -> dict[int, int]:
     return {0: min(n0, most - of_1), 1: of_1}
 
 
+def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``few`` (one row a key) in which no key's rows meet in one task.
+
+    Rows are dealt by key and a hash of ``by``; first the distinct pairs of both get what
+    the key has, at most as many for a key as there are shuffle partitions.  Written in
+    between: Spark would else deal the rows by key alone, to suit the first join.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    near = cut(dealt.select(key, "__part").distinct().join(few, key, how), "spread")
+    return dealt.join(near, [key, "__part"]).drop("__part")
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (columns a, b); root is the least node reachable.
 
@@ -73,31 +114,30 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     by a factor each time.  All of it is joins and grouped minima; the driver
     only learns whether edges are left.
     """
-    edges = cut(edges.select("a", "b").where("a <> b").distinct(), f"{name}-edges")
-    labels = None
+    scratch = Scratch(edges.sparkSession, name)
+    edges = scratch.cut(edges.select("a", "b").where("a <> b").distinct(), "edges")
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    labels = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("p"))
-        parent = cut(parent.select("node", F.least("node", "p").alias("p")), f"{name}-parent")
+        parent = scratch.cut(parent.select("node", F.least("node", "p").alias("p"), F.lit(True).alias("moved")), "parent")
         while True:
             up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            moved = cut(parent.join(up, "p").select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), f"{name}-jump")
-            parent = moved.select("node", "p")
-            if moved.where("moved").isEmpty():
+            parent = scratch.cut(parent.join(up, "p").select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")), "parent")
+            if parent.where("moved").isEmpty():
                 break
+        step = parent.select(F.col("node").alias("root"), "p")
         if labels is None:
             labels = parent.select("node", F.col("p").alias("root"))
         else:
-            step = parent.select(F.col("node").alias("root"), "p")
-            labels = cut(labels.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root")), f"{name}-labels")
+            labels = labels.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        labels = scratch.cut(labels, "labels")
         pa = parent.select(F.col("node").alias("a"), F.col("p").alias("ra"))
         pb = parent.select(F.col("node").alias("b"), F.col("p").alias("rb"))
-        edges = cut(
-            edges.join(pa, "a").join(pb, "b").where("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
-            f"{name}-edges",
-        )
+        met = edges.join(pa, "a").join(pb, "b").where("ra <> rb")
+        edges = scratch.cut(met.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         if edges.isEmpty():
+            scratch.drop("edges", "parent")
             return labels
