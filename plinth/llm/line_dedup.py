@@ -18,17 +18,19 @@ key of a plain equi-join only, which Spark splits.
 Defined results: a null text stays null and has no lines; a text of fewer lines
 than the window has no window; windows of blank lines don't count.  Rows of null
 id keep all of their lines.  Rows that share an id and a text are at one place,
-so they keep the same lines.  Other columns pass through.
+so they keep the same lines.  Other columns pass through; existing columns n_lines
+and n_removed are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-
 #: Sentence ends, after the blanks that follow them.
 PIECE_END = r"(?<=[.!?。！？]\s)(?=\S)"
 
@@ -54,17 +56,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", win
 
     joined = docs.withColumn("__line_own", state).join(covered, (F.col(id_col) == F.col("__line_id")) & (F.col("__line_own") == F.col("__line_state")), "left")
     gone = F.flatten(F.transform("__line_starts", lambda s: F.sequence(s, s + (window - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    joined = joined.withColumn("__line_kept", F.when(F.col("__line_starts").isNotNull(), kept))
+    told = F.struct(lines.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone).alias("kept"))
+    shorter = _once(told, lambda x: F.struct(F.size(x["kept"]).alias("n"), F.array_join(F.transform(x["kept"], lambda i: F.get(x["lines"], i)), "\n").alias("text")))
+    joined = joined.withColumn("__line_new", F.when(F.col("__line_starts").isNotNull(), shorter))
     n_lines = F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("long")
     out = joined.withColumns(
         {
-            "n_lines": n_lines,
-            "n_removed": F.when(F.col("__line_kept").isNull(), F.lit(0)).otherwise(n_lines - F.size("__line_kept")).cast("long"),
-            "__line_text": F.when(F.col("__line_kept").isNull(), body).otherwise(F.array_join(F.transform("__line_kept", lambda i: F.get(F.split(body, "\n"), i)), "\n")),
+            "n_lines": n_lines, "n_removed": F.when(F.col("__line_new").isNull(), F.lit(0)).otherwise(n_lines - F.col("__line_new.n")).cast("long"),
+            "__line_text": F.when(F.col("__line_new").isNull(), body).otherwise(F.col("__line_new.text")),
         }
-    )
-    return out.withColumn(text, F.col("__line_text")).drop("__line_own", "__line_id", "__line_state", "__line_starts", "__line_kept", "__line_text")
+    )
+    return out.withColumn(text, F.col("__line_text")).drop("__line_own", "__line_id", "__line_state", "__line_starts", "__line_new", "__line_text")
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once a row, however often ``then`` (or a function inside of it) names it."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def _dedup_pieces(docs: DataFrame, id_col: str, text: str, window: int, least: int) -> DataFrame:
@@ -97,22 +104,22 @@ def _dedup_pieces(docs: DataFrame, id_col: str, text: str, window: int, least: i
     covered = later.groupBy(F.col("id").alias("__line_id"), F.col("state").alias("__line_state")).agg(F.collect_set(F.struct("at", "upto")).alias("__line_gone"))
 
     joined = docs.withColumn("__line_own", state).join(covered, (F.col(id_col) == F.col("__line_id")) & (F.col("__line_own") == F.col("__line_state")), "left")
-    joined = joined.withColumn("__line_pieces", F.when(F.col("__line_gone").isNotNull(), pieces))
     gone = F.flatten(F.transform("__line_gone", lambda g: F.sequence(g["at"], g["upto"])))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__line_pieces") - 1), gone)
-    joined = joined.withColumn("__line_left", F.when(F.col("__line_gone").isNotNull(), F.transform(left, lambda k: F.get("__line_pieces", k))))
 
-    def shown(x, n):
-        after = F.get("__line_left", n + 1)["line"]
-        return F.concat(x["p"], F.when(after != x["line"], "\n").otherwise(""))
+    def left_over(x):
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["pieces"]) - 1), x["gone"]), lambda k: F.get(x["pieces"], k))
+
+    def shown(left):
+        each = lambda x, n: F.concat(x["p"], F.when(F.get(left, n + 1)["line"] != x["line"], "\n").otherwise(""))
+        return F.struct(F.size(F.array_distinct(F.transform(left, lambda x: x["line"]))).alias("n"), F.array_join(F.transform(left, each), "").alias("text"))
 
+    shorter = _once(F.struct(pieces.alias("pieces"), gone.alias("gone")), lambda x: _once(left_over(x), shown))
+    joined = joined.withColumn("__line_new", F.when(F.col("__line_gone").isNotNull(), shorter))
     n_lines = F.when(body.isNull(), 0).otherwise(F.size(lines)).cast("long")
-    kept_lines = F.size(F.array_distinct(F.transform("__line_left", lambda x: x["line"])))
     out = joined.withColumns(
         {
-            "n_lines": n_lines,
-            "n_removed": F.when(F.col("__line_gone").isNull(), F.lit(0)).otherwise(n_lines - kept_lines).cast("long"),
-            "__line_text": F.when(F.col("__line_gone").isNull(), body).otherwise(F.array_join(F.transform("__line_left", shown), "")),
+            "n_lines": n_lines, "n_removed": F.when(F.col("__line_new").isNull(), F.lit(0)).otherwise(n_lines - F.col("__line_new.n")).cast("long"),
+            "__line_text": F.when(F.col("__line_new").isNull(), body).otherwise(F.col("__line_new.text")),
         }
-    )
-    return out.withColumn(text, F.col("__line_text")).drop("__line_own", "__line_id", "__line_state", "__line_gone", "__line_pieces", "__line_left", "__line_text")
+    )
+    return out.withColumn(text, F.col("__line_text")).drop("__line_own", "__line_id", "__line_state", "__line_gone", "__line_new", "__line_text")
