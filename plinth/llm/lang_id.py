@@ -6,15 +6,16 @@ n-gram gives all languages that contain it, in one look-up.  A text is decided b
 the popcounts of its n-grams for each language, corrected for the expected false
 positives of that language's slice.
 
-Which n-grams a language contains is learned on Spark from at most
-``MAX_TRAIN`` documents a language: those with at least ``MIN_SHARE`` of its
-n-grams (so at most 1 / MIN_SHARE of them; the filter's size is bounded) and at
-least ``RATIO`` times the share of the language that uses it most.
+Which n-grams a language contains is learned on Spark from about ``MAX_TRAIN``
+documents a language (those of the least hashes): all that make up at least
+``MIN_SHARE`` of its n-grams, whatever other languages contain them.  So the filter
+holds, and the driver gets, at most 1 / MIN_SHARE of them a language.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter; a
 text without any known n-gram gets the most frequent language with score 0; ties
 go to the language first by name.  Without labelled rows all texts are ``und``.
-Other columns pass through.
+Repeated rows are judged alike.  Other columns pass through; existing columns
+lang_pred and score are replaced.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 4  # bytes
-MAX_LANGUAGES, MAX_TRAIN, MIN_SHARE, RATIO = 64, 2000, 2e-5, 0.6
+MAX_TRAIN, MIN_SHARE = 2000, 2e-5
+MASK = 64  # languages in one mask word
 SLOT_BITS, PIECE = 20, 1 << 21
 _CODES = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)  # odd multipliers
 _ALPHA = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -53,11 +55,18 @@ def slots(grams: np.ndarray) -> list[np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageFilter:
+    """``masks``: one mask word a slot for each 64 languages."""
+
     languages: list[str]
     default: int
-    masks: np.ndarray
+    masks: list[np.ndarray]
     wrong: np.ndarray  # false-positive rate by language
 
+    def containing(self, grams: np.ndarray) -> list[np.ndarray]:
+        """The languages that contain each n-gram, as bits."""
+        s = slots(grams)
+        return [m[s[0]] & m[s[1]] & m[s[2]] for m in self.masks]
+
     def counts(self, texts: list[bytes]) -> np.ndarray:
         """Corrected popcounts, texts by languages."""
         out, grams = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
@@ -71,13 +80,12 @@ class LanguageFilter:
             part = pieces[at:end]
             lengths = np.array([len(p) for _, p in part])
             stops = np.cumsum(lengths)
-            known = codes(b"".join(p for _, p in part))
-            s = slots(known)
-            mask = self.masks[s[0]] & self.masks[s[1]] & self.masks[s[2]]
+            found = self.containing(codes(b"".join(p for _, p in part)))
             first, last, own = stops - lengths, stops - (GRAM - 1), np.array([i for i, _ in part])
             np.add.at(grams, own, last - first)
             for c in range(len(self.languages)):
-                run = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(c)) & mask.dtype.type(1), dtype=np.int64)])
+                mask = found[c // MASK]
+                run = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(c % MASK)) & mask.dtype.type(1), dtype=np.int64)])
                 np.add.at(out[:, c], own, run[last] - run[first])
             at = end
         return np.maximum(0.0, (out - grams[:, None] * self.wrong) / (1 - self.wrong))
@@ -90,12 +98,24 @@ class LanguageFilter:
         return [self.languages[b] for b in best], np.where(total > 0, top / np.maximum(total, 1e-9), 0.0)
 
 
+def fill_filter(grams: dict[str, np.ndarray], default: str) -> LanguageFilter:
+    """The filter of the n-grams of each language."""
+    names = sorted(grams)
+    masks = [np.zeros(1 << SLOT_BITS, np.uint8 if len(names) <= 8 else np.uint64) for _ in range(0, len(names), MASK)]
+    wrong = np.zeros(len(names))
+    for c, name in enumerate(names):
+        mask = masks[c // MASK]
+        bit = mask.dtype.type(1 << c % MASK)
+        for s in slots(grams[name].astype(np.uint32)):
+            mask[s] |= bit
+        wrong[c] = (np.count_nonzero(mask & bit) / len(mask)) ** len(_CODES)
+    return LanguageFilter(names, names.index(default), masks, wrong)
+
+
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id", max_train: int = MAX_TRAIN) -> LanguageFilter | None:
     """The filter from rows with text and language; None without any."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t"), F.xxhash64(id_col, text).alias("h"))
-    known = sorted((r["l"], r["n"]) for r in rows.groupBy("l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect())
-    if len(known) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = sorted((r["l"], r["n"]) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect())  # one row a language
     if not known:
         return None
     pick = F.create_map(*[x for name, n in known for x in (F.lit(name), F.lit(min(1_000_000, -(-1_000_000 * max_train // n))))])
@@ -112,18 +132,11 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str =
 
     counted = sample.select("l", "t").mapInArrow(grams, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).persist()
     totals = {r["l"]: r["n"] for r in counted.groupBy("l").agg(F.sum("n").alias("n")).collect()}
-    share = F.col("n") / F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(float(n)))])[F.col("l")]
-    common = counted.withColumn("share", share).where(F.col("share") >= MIN_SHARE).groupBy("g").agg(F.max("share").alias("most"), F.collect_list(F.struct("l", "share")).alias("by"))
-    chosen = common.select("g", F.explode("by").alias("b"), "most").where(F.col("b.share") >= RATIO * F.col("most")).select("g", "b.l").toPandas()
+    least = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(MIN_SHARE * n))])[F.col("l")]
+    chosen = counted.where(F.col("n") >= least).select("l", "g").toPandas()
     counted.unpersist()
-
-    names = [name for name, _ in known]
-    masks = np.zeros(1 << SLOT_BITS, np.uint8 if len(names) <= 8 else np.uint64)
-    for c, name in enumerate(names):
-        for s in slots(chosen.loc[chosen["l"] == name, "g"].to_numpy().astype(np.uint32)):
-            masks[s] |= masks.dtype.type(1 << c)
-    fill = np.array([np.count_nonzero(masks & masks.dtype.type(1 << c)) / len(masks) for c in range(len(names))])
-    return LanguageFilter(names, max(range(len(names)), key=lambda c: (known[c][1], -c)), masks, fill ** len(_CODES))
+    by = {name: chosen.loc[chosen["l"] == name, "g"].to_numpy() for name, _ in known}
+    return fill_filter(by, max(known, key=lambda x: x[1])[0])
 
 
 def identify(docs: DataFrame, model: LanguageFilter | None, text: str = "text") -> DataFrame:
