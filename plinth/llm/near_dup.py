@@ -16,8 +16,10 @@
    blocks.  A pair that meets in several lists counts in the one of its lowest
    common prefix coordinate.  Only pairs above the match threshold are kept whose
    bitmaps allow the similarity: buckets that just one of two sets fills give a
-   sure lower bound of their difference, so no link is lost by that.  Every pair
-   left is confirmed on the full shingle sets.
+   sure lower bound of their difference, so no link is lost by that.  Bitmaps have
+   at most ``MOST_BITS`` buckets, whatever a text's length, so a task holds at most two
+   blocks of them; sets beyond are pruned less and confirmed more.  Every pair left
+   is confirmed on the full shingle sets.
 4. Links become components by hooking and pointer jumping, as joins.
 
 A pair with similarity 0.8 is missed with a chance of 3e-7 (fewer than 34 of 64
@@ -27,7 +29,8 @@ cut short, and no set of links is expanded within a component.
 Defined results: a null or blank text has an empty set and is its own component;
 a text with fewer words than a shingle is one shingle; repeated rows and equal
 texts share a component; a row with a null id keeps a null component and stays.
-An empty table gives an empty result.
+Ids keep their type.  An empty table gives an empty result.  Only the id and the text
+are read, so further columns never clash; ``keep_first`` passes them through.
 """
 
 from __future__ import annotations
@@ -41,11 +44,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, spread_join
 
 COORDS, MATCH = 64, 34  # at most 64 coordinates: prefixes are kept as bits of a long
 BLOCK = 1024
-LEAST_BITS = 4096
+LEAST_BITS, MOST_BITS = 4096, 1 << 18
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SHIFT = np.uint64(29)
 
@@ -78,8 +81,8 @@ def shingle_set(text: bytes, words_each: int, hashes: dict) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Filled buckets of a set, eight or more for each shingle."""
-    size = max(LEAST_BITS, 1 << (8 * max(1, len(shingles)) - 1).bit_length())
+    """Filled buckets of a set, eight or more for each shingle up to ``MOST_BITS`` in all."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * max(1, len(shingles)) - 1).bit_length()))
     bits = np.zeros(size, bool)
     bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -99,7 +102,7 @@ def signature(shingles: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.nda
 
 
 def _sketch(docs: DataFrame, id_col: str, text: str, words_each: int, coords: int) -> DataFrame:
-    """(doc, n, digest, sig) of every row; sig is null for an empty set."""
+    """(doc, state, n, digest, sig) of every row; state is a hash of the text, sig is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (mult, add) = _WordHashes(), _permutations(coords)
@@ -107,14 +110,16 @@ def _sketch(docs: DataFrame, id_col: str, text: str, words_each: int, coords: in
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n, digest, sig = [], [], []
-                for t in part.column(1).cast(pa.binary()).to_pylist():
+                for t in part.column(2).cast(pa.binary()).to_pylist():
                     s = shingle_set(t or b"", words_each, hashes)
                     n.append(len(s))
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sig.append(signature(s, mult, add) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc", "n", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int32()))], ["doc", "state", "n", "digest", "sig"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc long, n long, digest binary, sig array<int>")
+    body = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(body).alias("state"), body.alias("text"))
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, state long, n long, digest binary, sig array<int>")
 
 
 def _sets(docs: DataFrame, text: str, words_each: int) -> DataFrame:
@@ -128,7 +133,7 @@ def _sets(docs: DataFrame, text: str, words_each: int) -> DataFrame:
                 raw = [s.tobytes() for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in ([xxhash.xxh3_128_digest(s) for s in raw], raw, [bitmap(s).tobytes() for s in found])], ["digest", "shingles", "bits"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "digest binary, shingles binary, bits binary")
+    return docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "digest binary, shingles binary, bits binary")
 
 
 def _agree(pairs: DataFrame, members: DataFrame, match: int) -> DataFrame:
@@ -175,7 +180,10 @@ def _matches(group: pd.DataFrame, match: int, percent: int, best_only: bool) ->
     sig = np.stack(group["sig"].to_list())
     raw = [np.frombuffer(b, np.uint64) for b in group["bits"]]
     widths = np.array([len(b) for b in raw])
-    tables = {w: np.stack([_fold(b, w) if len(b) >= w else np.zeros(w, np.uint64) for b in raw]) for w in np.unique(widths).tolist()}
+    tables, row = {}, {}  # by width: the bitmaps of sets at least as wide, folded to it, and the place of each
+    for w in np.unique(widths).tolist():
+        has = widths >= w
+        tables[w], row[w] = np.stack([_fold(raw[i], w) for i in np.flatnonzero(has)]), np.cumsum(has) - 1
     lower = np.int64((1 << pos) - 1)
     found = []
     for k in range(len(ids)):
@@ -188,7 +196,7 @@ def _matches(group: pd.DataFrame, match: int, percent: int, best_only: bool) ->
         shared = np.zeros(len(at), np.int64)  # at most so many common shingles
         for w in np.unique(np.minimum(widths[at], widths[k])).tolist():
             own = np.minimum(widths[at], widths[k]) == w
-            apart = np.bitwise_count(tables[w][at[own]] ^ tables[w][k]).sum(axis=1, dtype=np.int64)
+            apart = np.bitwise_count(tables[w][row[w][at[own]]] ^ tables[w][row[w][k]]).sum(axis=1, dtype=np.int64)
             shared[own] = (n[at[own]] + n[k] - apart) // 2
         able = 100 * shared >= percent * (n[at] + n[k] - shared)
         at, shared = at[able], shared[able]
@@ -246,6 +254,29 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", words_each: int = 5, percent: int = 80, coords: int = COORDS, match: int = MATCH
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    return _grouped(docs, id_col, text, words_each, percent, coords, match).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words_each: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each group of near copies: that of the smallest id.
+
+    Rows that share the id count by their texts: of several texts of the group under the same
+    id one stays, of identical rows (id and text) one; a row without an id stays.
+    """
+    own, state = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text}`").cast("string"))
+    groups = cut(_grouped(docs, id_col, text, words_each, percent, COORDS, MATCH), "groups").where("kept and doc_id is not null")
+    # One row for each text that stays and how many rows have it; a group is told by its root, so equal ids of other groups don't meet.
+    first = groups.groupBy("doc_id", "root").agg(F.min("state").alias("state"))
+    stays = groups.join(first, ["doc_id", "root", "state"]).groupBy("doc_id", "state").agg(F.count(F.lit(1)).alias("__rows"))
+    stays = cut(stays.withColumnsRenamed({"doc_id": "__id", "state": "__state"}), "stays")
+    kept = docs.withColumn("__own", state).join(stays, (own == F.col("__id")) & (F.col("__own") == F.col("__state")), "left").where(F.col("__id").isNotNull() | own.isNull())
+    once = kept.where(F.coalesce("__rows", F.lit(1)) == 1)
+    often = kept.where(F.col("__rows") > 1)
+    return once.unionByName(often.dropDuplicates(["__id", "__state"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _grouped(docs: DataFrame, id_col: str, text: str, words_each: int, percent: int, coords: int, match: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, state (hash of the text) and root (the group's number or the own digest) of each row."""
     if coords > 64:
         raise ValueError("a signature has 64 coordinates at most")
     feats = cut(_sketch(docs, id_col, text, words_each, coords), "sketch")
@@ -264,8 +295,8 @@ def near_duplicates(
     postings = prefix.select("cid", F.explode("t.token").alias("token")).withColumn("pos", pos(F.col("token")))
     mask = F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), pos(x["token"]))))
     members = classes.join(prefix.select("cid", mask.alias("mask")), "cid")
-    wanted = members.select(F.col("rep").alias(id_col))
-    sets = _sets(docs.join(wanted, id_col, "left_semi"), text, words_each).dropDuplicates(["digest"])
+    wanted = members.select(F.col("rep").alias("__rep"))
+    sets = _sets(docs.join(wanted, F.col(f"`{id_col}`") == F.col("__rep"), "left_semi"), text, words_each).dropDuplicates(["digest"])
     members = cut(members.join(sets, "digest"), "members")
     sets = members.select("cid", "shingles")
 
@@ -285,10 +316,12 @@ def near_duplicates(
 
     named = roots.join(members.select("cid", "digest", "rep"), "cid")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = named.join(least, "root").select("digest", "component_id")
-    found = feats.select("doc", "n", "digest").join(classes.select("digest", "rep"), "digest", "left").join(ids, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component_id", "rep"))
-    out = found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), component).alias("component_id"))
+    ids = spread_join(named, least, "root", "cid").select("digest", "component_id", "root")
+    told = classes.select("digest", "rep", "cid").join(ids, "digest", "left")
+    told = told.select("digest", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "cid").alias("root"))
+    found = spread_join(feats.select("doc", "state", "n", "digest"), told, "digest", "doc", "left")
+    component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id"))
+    out = found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), component).alias("component_id"), "state", F.coalesce("root", F.lit(-1)).alias("root"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -298,4 +331,4 @@ def _merge(roots: DataFrame, links: DataFrame) -> DataFrame:
     rb = roots.select(F.col("cid").alias("b"), F.col("root").alias("rb"))
     edges = links.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     moved = connected_components(edges, "near").select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return cut(roots.join(moved, "root", "left").select("cid", F.coalesce("to", "root").alias("root")), "roots")
+    return cut(spread_join(roots, moved, "root", "cid", "left").select("cid", F.coalesce("to", "root").alias("root")), "roots")
