@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import count_words, cut
+from .common import Scratch, count_words, cut
 
 UNIT = 1_000_000  # fractions of a copy are counted in this unit
+ROWS_A_BLOCK = 8  # documents are dealt into sqrt(documents) / this many blocks a source
+STEPS_A_JOB = 4  # Newton steps between two looks at whether all sources are near enough
 REPAIRS = 3  # rounds that make up for what rounding left; each leaves less than one small document
 
 
@@ -58,29 +60,37 @@ def solve_tilts(sizes: DataFrame, sources: DataFrame, cap: float, tolerance: flo
     ``sizes``: key, size, n, the histogram of document sizes.
     """
     scale = sizes.groupBy("key").agg((F.sum((F.col("n") * F.col("size") * F.col("size")).cast("decimal(38,0)")) / F.sum(F.col("n") * F.col("size"))).cast("double").alias("scale"))
-    state = sources.join(scale, "key", "left").withColumns({"scale": F.coalesce("scale", F.lit(1.0)), "lambda": F.lit(0.0), "low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
     full = F.col("target") >= F.col("source_size") * F.lit(cap * (1 - 1e-12))
-    state = cut(state.withColumn("lambda", F.when(full, F.lit(float("inf"))).otherwise(F.col("lambda"))), "tilts")
-    for _ in range(max_steps):
-        rate = tilted_rate(cap)
-        exact = F.round(rate, 9).cast("decimal(12,9)")
-        words = F.sum((F.col("n") * F.col("size")).cast("decimal(25,0)") * exact)
-        slope = F.sum((F.col("n") * F.col("size") * F.col("size")).cast("decimal(25,0)") * F.when(rate < cap, exact).otherwise(F.lit(0).cast("decimal(12,9)")))
-        seen = sizes.join(state.select("key", "scale", "lambda"), "key").groupBy("key").agg(words.cast("double").alias("f"), slope.cast("double").alias("g"))
-        x = state.join(seen, "key", "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
-        miss = F.col("target") - F.col("f")
-        done = (F.abs(miss) <= tolerance * F.greatest(F.col("target"), F.lit(1.0))) | (F.col("lambda") == float("inf"))
-        x = x.withColumns({"low": F.when(miss > 0, F.col("lambda")).otherwise(F.col("low")), "high": F.when(miss < 0, F.col("lambda")).otherwise(F.col("high"))})
-        newton = F.col("lambda") + F.when(F.col("g") > 0, miss / (F.col("g") / F.col("scale"))).otherwise(F.signum(miss) * 8.0)
-        newton = F.greatest(F.least(newton, F.col("lambda") + 8.0), F.col("lambda") - 8.0)
-        inside = (newton > F.col("low")) & (newton < F.col("high"))
-        step = F.when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
-        x = x.withColumns({"done": done, "lambda": F.when(done, F.col("lambda")).otherwise(step)})
-        x = cut(x.select(*state.columns, "done"), "tilts")
-        state = x.drop("done")
-        if x.where("not done").isEmpty():
+    start = sources.join(scale, "key", "left").withColumns({"scale": F.coalesce("scale", F.lit(1.0)), "lambda": F.when(full, F.lit(float("inf"))).otherwise(0.0)})
+    scratch = Scratch(sizes.sparkSession, "tilts")
+    start = scratch.cut(start, "start")
+    state = start.where(F.col("lambda") == 0).withColumns({"low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
+    for _ in range(max_steps // STEPS_A_JOB):
+        for _ in range(STEPS_A_JOB):
+            state = _newton_step(state, sizes, cap, tolerance)
+        state = scratch.cut(state, "state")
+        if state.where("not done").isEmpty():
             break
-    return state.drop("low", "high")
+        state = state.drop("done")
+    return start.where(F.col("lambda") > 0).unionByName(state.select(*start.columns))
+
+
+def _newton_step(state: DataFrame, sizes: DataFrame, cap: float, tolerance: float) -> DataFrame:
+    """One step for all sources at once: a join with the histogram, two sums and the next lambda inside of its bracket."""
+    rate = tilted_rate(cap)
+    exact = F.round(rate, 9).cast("decimal(12,9)")
+    words = F.sum((F.col("n") * F.col("size")).cast("decimal(25,0)") * exact)
+    slope = F.sum((F.col("n") * F.col("size") * F.col("size")).cast("decimal(25,0)") * F.when(rate < cap, exact).otherwise(F.lit(0).cast("decimal(12,9)")))
+    own = [c for c in state.columns if c != "done"]
+    x = sizes.join(state.select(*own), "key").groupBy(*own).agg(words.cast("double").alias("f"), slope.cast("double").alias("g"))
+    miss = F.col("target") - F.col("f")
+    done = F.abs(miss) <= tolerance * F.greatest(F.col("target"), F.lit(1.0))
+    x = x.withColumns({"low": F.when(miss > 0, F.col("lambda")).otherwise(F.col("low")), "high": F.when(miss < 0, F.col("lambda")).otherwise(F.col("high"))})
+    newton = F.col("lambda") + F.when(F.col("g") > 0, miss / (F.col("g") / F.col("scale"))).otherwise(F.signum(miss) * 8.0)
+    newton = F.greatest(F.least(newton, F.col("lambda") + 8.0), F.col("lambda") - 8.0)
+    inside = (newton > F.col("low")) & (newton < F.col("high"))
+    step = F.when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+    return x.withColumns({"done": done, "lambda": F.when(done, F.col("lambda")).otherwise(step)}).select(*own, "done")
 
 
 def tilted_rate(cap: float):
@@ -100,7 +110,7 @@ def mix(
     sizes = cut(rows.where("size > 0").groupBy("key", "size").agg(F.count("*").alias("n")), "histogram")
     tilts = solve_tilts(sizes, sources, float(cap))
 
-    blocks = max(1, round((sources.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]) ** 0.5 / 8))
+    blocks = max(1, round((sources.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]) ** 0.5 / ROWS_A_BLOCK))
     rated = rows.join(tilts, "key").withColumn("rate", F.when(F.col("size") > 0, tilted_rate(cap)).otherwise(F.lit(0.0)))
     rated = rated.withColumn("whole", F.floor("rate").cast("long")).withColumn("part", F.round((F.col("rate") - F.col("whole")) * UNIT).cast("long"))
     rated = cut(rated.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")), "rated")
