@@ -16,7 +16,9 @@ and no text is shuffled.  Scoring is a narrow pass over whole texts.
 Defined results: a null or blank text is scored from the statistics of an empty
 one.  Labels that are null or neither 0 nor 1 are not learned from; a doc_id that
 is labelled twice counts twice.  With labels of one class only every score is that
-label, without any it is 0.5.  Other columns pass through.
+label, without any it is 0.5.  Equal texts have equal scores, and repeated rows stay.
+Other columns pass through; an existing column of the score's name is replaced.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +40,6 @@ _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _CAPITALS = bytes(range(65, 91))
 _DIGITS = b"0123456789"
 _PLAIN = b".,"
-_ENDINGS = b".!?"
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in b".,'\"-:;()?")
 STATISTICS = (
     "log words", "word length", "letters and digits", "capitals", "digits", "plain marks", "symbols", "distinct words", "repeated neighbours",
