@@ -64,19 +64,21 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     A user turn calls ``reply`` with its text and number, a system turn calls
     ``configure``; the id of a call is its turn.  An assistant turn is the result
     of the call in the turn before.  A call depends on the last call at most two
-    turns before it.
+    turns before it, but one of a turn divisible by six on the next call at most
+    two turns after it, and those one or two turns later on none.
     """
-    turns = conversations.dropDuplicates(["conv_id", "turn", "role", "text"])
-    asks = turns.where(F.col("role").isin("user", "system"))
+    asks = conversations.where(F.col("role").isin("user", "system"))
     arguments = F.when(
         F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))
     ).otherwise(F.to_json(F.struct(F.col("text").alias("instructions"))))
     calls = asks.select("conv_id", F.col("turn").cast("string").alias("call_id"), "turn", F.when(F.col("role") == "user", "reply").otherwise("configure").alias("name"), arguments.alias("arguments"))
     there = calls.select("conv_id", F.col("turn").alias("_dep")).distinct()
-    near = calls.select("conv_id", "turn").distinct().withColumn("_dep", F.explode(F.array(F.col("turn") - 1, F.col("turn") - 2))).join(there, ["conv_id", "_dep"])
-    last = near.groupBy("conv_id", "turn").agg(F.array(F.max("_dep").cast("string")).alias("after"))
-    results = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), "turn", F.col("text").alias("content"))
-    return calls.join(last, ["conv_id", "turn"], "left"), results
+    ahead, place = F.col("turn") % 6 == 0, F.col("turn") % 6
+    near = calls.select("conv_id", "turn").distinct().where(~place.isin(1, 2)).withColumn("_sign", F.when(ahead, 1).otherwise(-1))
+    near = near.withColumn("_dep", F.explode(F.array(F.col("turn") + F.col("_sign"), F.col("turn") + 2 * F.col("_sign")))).join(there, ["conv_id", "_dep"])
+    nearest = near.groupBy("conv_id", "turn").agg(F.array(F.min_by("_dep", F.abs(F.col("_dep") - F.col("turn"))).cast("string")).alias("after"))
+    results = conversations.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls.join(nearest, ["conv_id", "turn"], "left"), results
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +110,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels by published shapes in documents whose crc32(doc_id as text) mod 5 is not 0; the others are held out."""
     docs = table(spark, sf_dir, "documents")
-    found = cut(secrets.rule_labels(secrets.candidates(docs, secrets.dictionary(docs))), "findings")
-    scored = secrets.remove_false_positives(found, found)
-    return scored.select("doc_id", "begin", "length", "sha256", "probability", (F.col("probability") >= 0.5).alias("is_secret"))
+    found = cut(secrets.shape_labels(secrets.candidates(docs, secrets.dictionary(docs))), "findings")
+    scored = secrets.remove_false_positives(found, found.where(part_of_ids("doc_id", 5) != 0))
+    held_out = part_of_ids("doc_id", 5) == 0
+    return scored.select("doc_id", "begin", "length", "sha256", "probability", (F.col("probability") >= 0.5).alias("is_secret"), "label", held_out.alias("held_out"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -63,13 +63,23 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 TOOL_CALLS = """
-WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-c AS (SELECT *, turn::VARCHAR AS call_id, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name FROM t WHERE role IN ('user', 'system')),
-r AS (SELECT conv_id, (turn - 1)::VARCHAR AS call_id, turn, text FROM t WHERE role = 'assistant'),
+WITH RECURSIVE asked AS (
+  SELECT conv_id, turn, text, turn::VARCHAR AS call_id, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name FROM conversations WHERE role IN ('user', 'system')),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, call_id ORDER BY turn, name, text) AS nth FROM asked),
+r AS (
+  SELECT conv_id, (turn - 1)::VARCHAR AS call_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) AS nth FROM conversations WHERE role = 'assistant'),
+first AS (SELECT conv_id, turn FROM c WHERE nth = 1),
+near AS (
+  SELECT a.conv_id, a.turn, arg_min(b.turn, abs(b.turn - a.turn)) AS dep FROM first a JOIN first b ON a.conv_id = b.conv_id
+  WHERE CASE WHEN a.turn % 6 = 0 THEN b.turn - a.turn IN (1, 2) WHEN a.turn % 6 IN (1, 2) THEN false ELSE a.turn - b.turn IN (1, 2) END GROUP BY ALL),
+path(conv_id, turn, dep, depth) AS (
+  SELECT conv_id, turn, dep, 1 FROM near UNION ALL SELECT p.conv_id, p.turn, n.dep, p.depth + 1 FROM path p JOIN near n ON p.conv_id = n.conv_id AND p.dep = n.turn),
+layer AS (SELECT f.conv_id, f.turn, coalesce(max(depth), 0) AS layer FROM first f LEFT JOIN path USING (conv_id, turn) GROUP BY ALL),
+placed AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY layer, turn) - 1 AS position FROM layer),
 j AS (
   SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, coalesce(c.turn, r.turn) AS turn, c.name, c.text AS asked, r.text AS content,
-    CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status, c.turn AS position
-  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
+    CASE WHEN coalesce(c.nth, r.nth) > 1 THEN 'duplicate' WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CASE WHEN c.nth = 1 THEN p.position END AS position
+  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND c.nth = 1 AND r.nth = 1 LEFT JOIN placed p ON c.conv_id = p.conv_id AND c.turn = p.turn),
 w AS (
   SELECT *, CASE name WHEN 'reply' THEN '{"prompt":' || to_json(asked) || ',"turn":' || turn || '}' WHEN 'configure' THEN '{"instructions":' || to_json(asked) || '}' ELSE 'null' END AS arguments FROM j)
 SELECT conv_id, call_id, turn, name, status, position,
