@@ -15,19 +15,15 @@ from plinth.llm.common import cut, table
 from plinth.llm.queries import KEEP_SCORE, part_of_ids
 
 
-#: Columns that operators add; documents that have columns of these names keep their own.
-_ADDED = ("n_lines", "n_removed", "n_words", "n_hit", "items", "ranges")
+#: Columns that line dedup adds; documents that have columns of these names keep their own.
+_ADDED = ("n_lines", "n_removed")
 
 
-def _aside(docs: DataFrame) -> DataFrame:
-    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c.lower() in _ADDED})
-
-
-def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
+def _recounted(docs: DataFrame, out: DataFrame) -> DataFrame:
     """``out`` with the columns of ``docs``; n_chars follows the text."""
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`__own_{c}`").alias(c) if c.lower() in _ADDED else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,23 +34,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows removed; a document of which nothing else is left goes."""
-    clean = line_dedup.dedup_lines(_aside(docs))
-    return _like(docs, clean.where("n_removed = 0 or length(trim(text)) > 0"))
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in _ADDED}
+    clean = line_dedup.dedup_lines(docs.withColumnsRenamed(own)).where("n_removed = 0 or length(trim(text)) > 0")
+    return _recounted(docs, clean.drop(*_ADDED).withColumnsRenamed({new: c for c, new in own.items()}))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8 or more.
-
-    Rows that share an id stand and fall together; a row without an id stays.
-    """
-    groups = near_dup.near_duplicates(docs, words_each=5, percent=80)
-    gone = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
+    return near_dup.keep_first(docs, words_each=5, percent=80)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages cut out; documents that are half benchmark go."""
-    return _like(docs, decontaminate.decontaminate(_aside(docs), table(spark, sf_dir, "benchmark"), 10, 0.5))
+    return _recounted(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), 10, 0.5))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
