@@ -12,12 +12,54 @@ RID, ERROR = "__rid", "__e$"
 MAX_PIVOT = 50
 
 
+def _distance(a: str, b: str) -> int:
+    """Least number of letters to change, add or leave out."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+class Diagnostic:
+    """One thing that is wrong or odd: code, JSON pointer, message, and up to five names that may have been meant."""
+
+    def __init__(self, code: str, at: str, message: str, names=(), wanted: str | None = None, hint: str = ""):
+        self.code, self.at, self.message, self.wanted = code, at, message, wanted
+        near = sorted(((_distance((wanted or "").lower(), n.lower()), n) for n in names)) if wanted is not None else []
+        self.candidates = [n for _, n in near[:5]]
+        close = near and near[0][0] <= max(2, len(wanted) // 3)
+        self.hint = hint or (f"did you mean {near[0][1]!r}?" if close else f"known: {', '.join(names)}" if names else "")
+
+    def __repr__(self) -> str:
+        return f"{self.code}: {self.message}" + (f" (at {self.at})" if self.at else "") + (f"; {self.hint}" if self.hint else "")
+
+
 class PlanError(Exception):
-    """A plan that can't be checked or run; ``code`` says why."""
+    """A plan that can't be checked or run; ``code`` says why, ``diagnostics`` holds all that was found."""
 
-    def __init__(self, code: str, message: str, at: str = ""):
-        super().__init__(f"{code}: {message}" + (f" (at {at})" if at else ""))
-        self.code, self.at, self.message = code, at, message
+    def __init__(self, code: str, message: str, at: str = "", names=(), wanted: str | None = None):
+        self.diagnostics, self.node = [Diagnostic(code, at, message, list(names), wanted)], None
+        super().__init__(repr(self.diagnostics[0]))
+
+    @classmethod
+    def of(cls, found: list[Diagnostic]) -> PlanError:
+        out = cls(found[0].code, found[0].message, found[0].at)
+        out.diagnostics = found
+        return out
+
+    @property
+    def code(self) -> str:
+        return self.diagnostics[0].code
+
+    @property
+    def at(self) -> str:
+        return self.diagnostics[0].at
+
+    @property
+    def message(self) -> str:
+        return self.diagnostics[0].message
 
 
 @dataclass(frozen=True)
@@ -67,7 +109,11 @@ def kind_of(t: T.DataType) -> Kind:
 class Entity:
     """A named table.  ``kinds`` overrides what the schema says of a column; ``unique``: key columns;
     ``formulas``: columns that are computed where they live; ``dependents``: (column, what needs it);
-    ``text_numbers``: number columns that are stored as text where they live."""
+    ``text_numbers``: number columns that are stored as text where they live; ``row_dependents``: what
+    names fixed rows; ``order``: columns that say the order of rows; ``notes``: (what loading met, how often).
+
+    Without ``order`` rows are in the order of Spark's partitions, which follows how files are split: what is
+    first among equals (a spelling, a row of a limit without sort) can then differ between clusters."""
 
     name: str
     df: DataFrame
@@ -76,6 +122,10 @@ class Entity:
     formulas: frozenset[str] = frozenset()
     dependents: tuple[tuple[str, str], ...] = ()
     text_numbers: frozenset[str] = frozenset()
+    row_dependents: tuple[str, ...] = ()
+    order: tuple[str, ...] = ()
+    notes: tuple[tuple[str, int], ...] = ()
+    id: str = ""
 
     def columns(self) -> dict[str, Kind]:
         given = {k.lower(): v for k, v in self.kinds.items()}
@@ -131,7 +181,7 @@ class Environment:
         for known, e in self.entities.items():
             if known.lower() == name.lower():
                 return e
-        raise PlanError(code, f"there is no table {name!r}; known: {', '.join(sorted(self.entities))}")
+        raise PlanError(code, f"there is no table {name!r}", names=sorted(self.entities), wanted=name)
 
 
 @dataclass(frozen=True)
@@ -145,24 +195,30 @@ class Frame:
     gone: frozenset[str] = frozenset()
     measures: frozenset[str] = frozenset()  # of an aggregate just before
     sorted: bool = False
+    seen: tuple = ()  # (code, Observation) of what running the plan meets
 
     @staticmethod
-    def of(entity: Entity, ordered: bool) -> Frame:
+    def of(entity: Entity) -> Frame:
+        """All columns.  An order of the entity's own is there from the start; any other is added by ``in_order`` where a
+        step first needs it, above the filters, which so reach the scan."""
         kinds = entity.columns()
         shadows = [ERROR + c for c in kinds if ERROR + c in entity.df.columns]
-        df = entity.df.select(*kinds, *shadows)
-        if ordered:
-            df = df.withColumn(RID, F.monotonically_increasing_id())
+        df = entity.df.select(*[f"`{c}`" for c in kinds], *[f"`{s}`" for s in shadows])
+        if entity.order:
+            df = df.withColumn(RID, F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(entity.order)]))
         return Frame(df, kinds, frozenset(c.removeprefix(ERROR) for c in shadows), {c: (entity.name, c) for c in kinds})
 
+    def in_order(self) -> Frame:
+        return self if RID in self.df.columns else replace(self, df=self.df.withColumn(RID, F.monotonically_increasing_id()))
+
     def name(self, column: str, code: str = "E_UNKNOWN_COLUMN") -> str:
         """The column's own spelling."""
         for c in self.kinds:
             if c.lower() == column.lower():
                 return c
         if column.lower() in self.gone and code == "E_UNKNOWN_COLUMN":
-            raise PlanError("E_COLUMN_NOT_IN_OUTPUT", f"column {column!r} is gone after an earlier step")
-        raise PlanError(code, f"there is no column {column!r}; known: {', '.join(self.kinds)}")
+            raise PlanError("E_COLUMN_NOT_IN_OUTPUT", f"column {column!r} is gone after an earlier step", names=list(self.kinds), wanted=column)
+        raise PlanError(code, f"there is no column {column!r}", names=list(self.kinds), wanted=column)
 
     def error(self, column: str):
         return F.col(f"`{ERROR}{column}`") if column in self.errors else None

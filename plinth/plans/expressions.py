@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import cells, text
 from ..model import Frame, Kind, PlanError
@@ -64,13 +65,16 @@ class Compiler:
         own = self.frame.name(name)
         return Val(F.col(f"`{own}`"), self.frame.kinds[own], self.frame.error(own))
 
+    def _at(self, node: dict, compile_it):
+        """What ``compile_it`` makes of a node; an error remembers the innermost one."""
+        try:
+            return compile_it(node)
+        except PlanError as e:
+            e.node = e.node if e.node is not None else node
+            raise
+
     def expr(self, e: dict) -> Val:
-        method = getattr(self, "_" + e["type"], None)
-        if e["type"] in DATE_PARTS:
-            return self._date_part(e)
-        if method is None:
-            raise PlanError("E_PARSE_UNKNOWN_VARIANT", f"unknown expression {e['type']!r}")
-        return method(e)
+        return self._at(e, self._date_part if e["type"] in DATE_PARTS else getattr(self, "_" + e["type"]))
 
     def _col(self, e):
         return self.column(e["col"])
@@ -80,7 +84,7 @@ class Compiler:
 
     def _param(self, e):
         if e["name"].lower() not in self.params:
-            raise PlanError("E_UNKNOWN_PARAM", f"parameter {e['name']!r} is not declared")
+            raise PlanError("E_UNKNOWN_PARAM", f"parameter {e['name']!r} is not declared", names=list(self.params), wanted=e["name"])
         value_type, value = self.params[e["name"].lower()]
         if value is None:
             base = {"string": "text", "boolean": "bool"}.get(value_type, value_type)
@@ -179,8 +183,6 @@ class Compiler:
         return Val(value, kind, error)
 
     def _case(self, e):
-        if "else" not in e:
-            raise PlanError("E_CASE_NO_ELSE", "a case needs an else")
         branches = [(self.predicate(w["if"]), self.expr(w["then"])) for w in e["when"]]
         other = self.expr(e["else"])
         vals = [*[v for _, v in branches], other]
@@ -208,8 +210,9 @@ class Compiler:
             raise PlanError("E_SUMALL_INVALID_PLACEMENT", "sumAll is for the step right after an aggregate")
         own = next((c for c in self.frame.measures if c.lower() == e["col"].lower()), None)
         if own is None:
-            raise PlanError("E_SUMALL_UNKNOWN_COLUMN", f"{e['col']!r} is not a measure of the aggregate before")
-        total = self.frame.df.select(F.sum(F.col(f"`{own}`").cast("double"))).scalar()  # one row: no rows move for it
+            raise PlanError("E_SUMALL_UNKNOWN_COLUMN", f"{e['col']!r} is not a measure of the aggregate before", names=sorted(self.frame.measures), wanted=e["col"])
+        # The groups, not their rows, meet for their sum; a second run of the aggregate would read the table again.
+        total = F.sum(F.col(f"`{own}`").cast("double")).over(Window.partitionBy())
         return Val(total, replace(self.frame.kinds[own], nullable=False))
 
     def _display(self, e: dict) -> tuple[Column, Val]:
@@ -251,13 +254,16 @@ class Compiler:
         v = self.expr(e["arg"])
         known = text.DATE_PATTERNS if family(v.kind) == "temporal" else text.NUMBER_PATTERNS if v.kind.base == "number" else {}
         if e["pattern"] not in known:
-            raise PlanError("E_INVALID_ARGUMENT", f"no pattern {e['pattern']!r} for {v.kind.base}")
+            raise PlanError("E_INVALID_ARGUMENT", f"no pattern {e['pattern']!r} for {v.kind.base}", names=list(known), wanted=e["pattern"])
         return Val(text.pattern_text(v.value, e["pattern"], v.kind.base), replace(TEXT, nullable=v.kind.nullable), v.error)
 
     # Predicates: a boolean column, null where an error was met.  Where a null counts as false anyhow
     # (``positive``), comparisons stay bare, so that they reach the scan.
 
     def predicate(self, p: dict, positive: bool = True) -> Column:
+        return self._at(p, lambda node: self._predicate(node, positive))
+
+    def _predicate(self, p: dict, positive: bool) -> Column:
         op = p["op"]
         if op in ("and", "or"):
             parts = [self.predicate(c, positive) for c in p["clauses"]]
@@ -271,8 +277,6 @@ class Compiler:
             return empty if op == "isNull" else ~empty
         if op in ("in", "notIn"):
             return self._membership(p, positive)
-        if op not in COMPARISONS and op not in ("eq", "ne"):
-            raise PlanError("E_PARSE_UNKNOWN_VARIANT", f"unknown predicate {op!r}")
         a, b = self._alike(self.expr(p["left"]), self.expr(p["right"]))
         if op in ("eq", "ne"):
             same = self._equal(a, b)
@@ -298,7 +302,7 @@ class Compiler:
     @staticmethod
     def _key(v: Val) -> Column:
         if v.literal and v.kind.text:
-            return F.lit(v.raw.lower() if v.raw.strip() else None)
+            return F.lit(v.raw.lower() if v.raw.strip(cells.WHITE) else None)
         return cells.key(v.value, v.kind.text)
 
     def _spelled(self, column: Val, value: Val) -> Val | None:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import json
 import re
 from dataclasses import dataclass, field
 from urllib.parse import unquote, urlparse
@@ -17,23 +16,20 @@ from urllib.parse import unquote, urlparse
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..model import ERROR, RID, Entity, Environment, Frame, PlanError
+from ..functions.canonical import canonical_json
+from ..model import ERROR, RID, Diagnostic, Entity, Environment, Frame, PlanError
 from ..operators.edits import EDITS, Impact
 from ..operators.steps import STEPS, Context
+from .shape import parse, pointer_to
 
-#: The fields of plans, steps and edits: required, then optional ones (fixed names).
-FIELDS = {
-    "query": ("kind source steps sink", "params"), "edit": ("kind target ops", "params"),
-    "filter": ("op predicate", ""), "derive": ("op as expr", ""), "project": ("op columns", ""), "aggregate": ("op groupBy measures", ""),
-    "sort": ("op by", ""), "limit": ("op n", ""), "join": ("op with on", "kind"), "lookup": ("op with on", "take"),
-    "pivot": ("op rows cols values", ""), "periodCompare": ("op metric timeDim grain current prior", "groupBy"),
-    "addColumn": ("op as expr position", ""), "setColumn": ("op col expr", "where"), "dropColumn": ("op col", ""),
-    "renameColumn": ("op col to", ""), "moveColumn": ("op col position", ""), "dropRows": ("op where", ""),
-    "newSheet": ("mode", "name"), "anchor": ("mode", ""), "template": ("mode templateId", ""),
-}
 #: What sheet names may not have, and cells (fixed values).
 NAME_LENGTH, FORBIDDEN, RESERVED, CELL = 31, r"[\[\]:*?/\\]", "history", r"[A-Za-z]{1,3}[1-9]\d{0,6}"
 ORDER_NEEDED = {"limit", "sort", "aggregate", "pivot", "periodCompare"}
+#: Steps that keep rows and their order, so that the order can be told after them as well; periodCompare sees to itself.
+ROW_BY_ROW = {"filter", "derive", "project", "periodCompare"}
+#: Lists of steps whose elements are checked one by one when a step fails.
+ELEMENTS = {"project": ("columns",), "aggregate": ("groupBy", "measures"), "sort": ("by",)}
+BLOCKING = {"ERROR_CELLS", "LOOKUP_KEY_NOT_UNIQUE", "OVERWRITES_SOURCE"}
 
 
 @dataclass
@@ -46,6 +42,8 @@ class Result:
     impact: Impact | None = None
     params: dict | None = None
     target: str | None = None  # the new sheet's name
+    bindings: dict[str, dict] = field(default_factory=dict)  # table: its id and the ids of the columns that the plan can read
+    notes: list[tuple[str, int]] = field(default_factory=list)  # what loading the tables met
 
     @property
     def df(self) -> DataFrame:
@@ -57,46 +55,55 @@ class Result:
 
 
 def plan_hash(plan: dict) -> str:
-    """SHA-256 of the plan's canonical JSON: sorted keys, no spaces, no nulls."""
+    """SHA-256 of the plan's canonical JSON without nulls: equal for plans that say the same, however they are written."""
     bare = lambda x: {k: bare(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [bare(v) for v in x] if isinstance(x, list) else x
-    body = json.dumps({"irVersion": "1.2", "plan": bare(plan)}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return "sha256:" + hashlib.sha256(body.encode()).hexdigest()
+    return "sha256:" + hashlib.sha256(canonical_json({"irVersion": "1.2", "plan": bare(plan)}).encode()).hexdigest()
 
 
-def _fields(x, name: str, at: str) -> None:
-    if name not in FIELDS:
-        raise PlanError("E_PARSE_UNKNOWN_VARIANT", f"unknown: {name!r}", at)
-    needed, more = (set(f.split()) for f in FIELDS[name])
-    if missing := needed - x.keys() - ({"kind"} if name in ("join",) else set()):
-        raise PlanError("E_PARSE_MISSING_FIELD", f"{', '.join(sorted(missing))} missing", at)
-    if unknown := x.keys() - needed - more:
-        raise PlanError("E_PARSE_UNKNOWN_FIELD", f"unknown field {', '.join(sorted(unknown))}", at)
+@dataclass
+class Report:
+    """What checking found: errors and warnings, and the compiled plan if there are no errors."""
+
+    errors: list[Diagnostic]
+    warnings: list[str]
+    result: Result | None
+
+
+def check(plan: str | dict, env: Environment, params: dict | None = None) -> Report:
+    """All that is wrong with a plan's shape, or with the first step that fails."""
+    try:
+        result = compile_plan(plan, env, params)
+    except PlanError as e:
+        return Report(e.diagnostics, [], None)
+    return Report([], result.warnings, result)
 
 
-def parse(text: str | dict) -> dict:
-    """A plan from JSON, with all fields that belong there and no others."""
-    if isinstance(text, str):
+def _step_error(e: PlanError, step: dict, at: str, alone) -> PlanError:
+    """The error with pointers to the parts that are wrong; ``alone`` runs the step with one element of a list."""
+    found = []
+    for name in ELEMENTS.get(step["op"], ()):
+        for i, element in enumerate(step[name]):
+            rest = {n: [] for n in ELEMENTS[step["op"]]} | {name: [element]}
+            try:
+                alone({**step, **rest})
+            except PlanError as x:
+                found.append(_placed(x, element, f"{at}/{name}/{i}"))
+    clauses = step["predicate"].get("clauses", []) if step["op"] == "filter" else []
+    for i, clause in enumerate(clauses):
         try:
-            text = json.loads(text)
-        except ValueError as e:
-            raise PlanError("E_PARSE_INVALID_JSON", str(e)) from e
-    kind = text.get("kind") if isinstance(text, dict) else None
-    if kind not in ("query", "edit"):
-        raise PlanError("E_PARSE_UNKNOWN_VARIANT", f"a plan is a query or an edit, not {kind!r}")
-    plan = {**text}
-    if kind == "query":
-        _fields(plan, kind, "/")
-        unsaid = [s for s in plan["steps"] if s.get("op") == "aggregate" and "groupby" in s]
-        if unsaid:
-            raise PlanError("E_PARSE_UNKNOWN_FIELD", "unknown field groupby", "/steps")
-        for i, s in enumerate(plan["steps"]):
-            _fields(s, s.get("op"), f"/steps/{i}")
-        _fields(plan["sink"], plan["sink"].get("mode"), "/sink")
-    else:
-        _fields(plan, kind, "/")
-        for i, o in enumerate(plan["ops"]):
-            _fields(o, o.get("op"), f"/ops/{i}")
-    return plan
+            alone({**step, "predicate": clause})
+        except PlanError as x:
+            found.append(_placed(x, clause, f"{at}/predicate/clauses/{i}"))
+    return PlanError.of([*found] or [_placed(e, step, at)])
+
+
+def _placed(e: PlanError, part, at: str) -> Diagnostic:
+    d = e.diagnostics[0]
+    where = pointer_to(part, e.node, at) if e.node is not None else None
+    if d.wanted is not None:
+        where = pointer_to(e.node if where is not None else part, d.wanted, where or at) or where
+    d.at = d.at or where or at
+    return d
 
 
 def _parameters(plan: dict, values: dict | None) -> dict[str, tuple[str, object]]:
@@ -105,32 +112,45 @@ def _parameters(plan: dict, values: dict | None) -> dict[str, tuple[str, object]
 
 
 def compile_plan(plan: str | dict, env: Environment, params: dict | None = None, exclude_error_cells: bool = False) -> Result:
-    """The lazy result of a plan; raises PlanError with the first thing that is wrong."""
+    """The lazy result of a plan; raises PlanError with what is wrong."""
     plan = parse(plan)
-    if plan["kind"] == "edit":
-        return _compile_edit(plan, env, params)
-    entity = env.entity(plan["source"])
+    result = _compile_edit(plan, env, params) if plan["kind"] == "edit" else _compile_query(plan, env, params, exclude_error_cells)
+    sources = [env.entity(n) for n in sorted(_sources(plan))]
+    result.bindings = {e.name: _binding(e, plan) for e in sources}
+    result.notes = [n for e in sources for n in e.notes if n[1]]
+    return result
+
+
+def _compile_query(plan: dict, env: Environment, params: dict | None, exclude_error_cells: bool) -> Result:
+    try:
+        entity = env.entity(plan["source"])
+    except PlanError as e:
+        raise PlanError.of([_placed(e, plan, "")]) from None
     steps, ops = plan["steps"], [s["op"] for s in plan["steps"]]
     ordered = bool(ORDER_NEEDED & {*ops}) or any(ERROR in c for c in entity.df.columns)
-    frame = Frame.of(entity, ordered)
+    frame = Frame.of(entity)
     ctx = Context(env, _parameters(plan, params), exclude_error_cells, ordered)
     warnings = []
     if "pivot" in ops[:-1]:
         raise PlanError("E_PIVOT_NOT_TERMINAL", "nothing follows a pivot", f"/steps/{ops.index('pivot') + 1}")
     if "periodCompare" in ops and set(ops[: ops.index("periodCompare")]) - {"filter"}:
-        raise PlanError("E_PERIOD_COMPARE_PLACEMENT", "only filters come before a period comparison")
+        raise PlanError("E_PERIOD_COMPARE_PLACEMENT", "only filters come before a period comparison", f"/steps/{ops.index('periodCompare')}")
     for i, step in enumerate(steps):
         if step["op"] == "limit" and "sort" not in ops[:i]:
             warnings.append("W_LIMIT_WITHOUT_SORT")
         warnings += _unlikely(step, frame) + _text_numbers(step, frame, env)
         text_ok = step["op"] == "project" and plan["sink"]["mode"] == "template" and i == len(steps) - 1
+        told = {"_text": True} if text_ok else {}
+        if ordered and step["op"] not in ROW_BY_ROW:
+            frame = frame.in_order()
+        run = lambda s, now=frame, more=told: STEPS[s["op"]](now, s | more, ctx)
         try:
-            frame = STEPS[step["op"]](frame, step | {"_text": True} if text_ok else step, ctx)
+            frame = run(step)
         except PlanError as e:
-            raise PlanError(e.code, e.message, e.at or f"/steps/{i}") from None
+            raise _step_error(e, step, f"/steps/{i}", run) from None
     if not steps:
         if plan["sink"]["mode"] != "newSheet":
-            raise PlanError("E_EMPTY_PIPELINE_WRITE", "a plan without steps writes to a new table only")
+            raise PlanError("E_EMPTY_PIPELINE_WRITE", "a plan without steps writes to a new table only", "/sink")
         warnings.append("W_TRIVIAL_PLAN")
     if plan["sink"]["mode"] == "template":
         warnings += _fit_template(frame, plan, env)
@@ -140,6 +160,47 @@ def compile_plan(plan: str | dict, env: Environment, params: dict | None = None,
     return Result(frame, plan, list(dict.fromkeys(warnings)), params=params, target=sheet_name(plan["sink"].get("name"), env.sheets) if new else None)
 
 
+def _texts(x) -> set[str]:
+    if isinstance(x, str):
+        return {x.lower()}
+    inner = x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
+    return set().union(*map(_texts, inner))
+
+
+def table_id(entity: Entity) -> str:
+    return entity.id or f"t:{entity.name}"
+
+
+def column_ids(names) -> list[str]:
+    """Ids that columns keep while their names stay: a hash of the name, numbered where names repeat."""
+    seen: dict[str, int] = {}
+    out = []
+    for n in names:
+        own = "h:" + hashlib.sha256(n.strip().lower().encode()).hexdigest()[:14]
+        seen[own] = seen.get(own, 0) + 1
+        out.append(own if seen[own] == 1 else f"{own}~{seen[own]}")
+    return out
+
+
+def _binding(entity: Entity, plan: dict) -> dict:
+    """The ids that the plan depends on: of the columns that it names, or of all where it gives out the table's own."""
+    columns = dict(zip(entity.columns(), column_ids(entity.columns()), strict=True))
+    shaped = any(s["op"] in ("project", "aggregate", "pivot", "periodCompare") for s in plan.get("steps", []))
+    said = _texts(plan)
+    read = {c: i for c, i in columns.items() if c.lower() in said} if shaped else columns
+    return {"id": table_id(entity), "columns": read}
+
+
+def refuse_changed(result: Result, env: Environment) -> None:
+    """A plan runs only where the tables and columns that it was bound to still are."""
+    for name, bound in result.bindings.items():
+        now = next((e for e in env.entities.values() if table_id(e) == bound["id"]), None)
+        if now is None:
+            raise PlanError("PREVIEW_REFUSED", f"the table {name!r} is gone")
+        if gone := set(bound["columns"].values()) - set(column_ids(now.columns())):
+            raise PlanError("PREVIEW_REFUSED", f"{name!r} has lost {', '.join(c for c, i in bound['columns'].items() if i in gone)}")
+
+
 def _unlikely(node, frame: Frame) -> list[str]:
     """Warns of literals that a column with known members is compared with but has not."""
     if isinstance(node, list):
@@ -166,7 +227,7 @@ def _fit_template(frame: Frame, plan: dict, env: Environment) -> list[str]:
     """The result's columns must be the template's writable ones, in order and of their types."""
     template = env.templates.get(plan["sink"]["templateId"])
     if template is None:
-        raise PlanError("E_TEMPLATE_UNKNOWN", f"there is no template {plan['sink']['templateId']!r}", "/sink")
+        raise PlanError("E_TEMPLATE_UNKNOWN", f"there is no template {plan['sink']['templateId']!r}", "/sink/templateId", list(env.templates), plan["sink"]["templateId"])
     if plan["steps"] and plan["steps"][-1]["op"] == "pivot":
         raise PlanError("E_TEMPLATE_DYNAMIC_COLUMNS", "a pivot's columns are not known before it runs", "/sink")
     wanted, have = [c for c in template if not c.formula], list(frame.kinds)
@@ -194,46 +255,82 @@ def _fit_template(frame: Frame, plan: dict, env: Environment) -> list[str]:
 
 
 def _compile_edit(plan: dict, env: Environment, params: dict | None) -> Result:
-    entity = env.entity(plan["target"])
+    try:
+        entity = env.entity(plan["target"])
+    except PlanError as e:
+        raise PlanError.of([_placed(e, plan, "")]) from None
     if not plan["ops"]:
         raise PlanError("E_EDIT_EMPTY", "an edit has one operation at least", "/ops")
-    frame, impact = Frame.of(entity, False), Impact()
+    frame, impact = Frame.of(entity), Impact(untraceable=env.untraceable)
     values = _parameters(plan, params)
     for i, op in enumerate(plan["ops"]):
         try:
             frame = EDITS[op["op"]](frame, op, values, entity, impact)
         except PlanError as e:
-            raise PlanError(e.code, e.message, e.at or f"/ops/{i}") from None
+            raise PlanError.of([_placed(e, op, f"/ops/{i}")]) from None
     warnings = (["W_DEPENDENTS_NEED_CONSENT"] if impact.needs_consent else []) + (["W_OVERWRITES_FORMULAS"] if impact.formulas_overwritten else [])
     if env.untraceable and (impact.removed or impact.removes_rows):
         warnings.append("W_UNTRACEABLE_REFERENCES")
     return Result(frame, plan, warnings, impact, params)
 
 
+@dataclass
+class Issue:
+    """Something met while the plan ran; a blocking one stops the commit."""
+
+    code: str
+    count: int
+    message: str = ""
+
+    @property
+    def blocking(self) -> bool:
+        return self.code in BLOCKING
+
+
 @dataclass
 class Preview:
-    """The first rows, the whole result's size and its error cells by column, from one job each."""
+    """The first rows, the whole result's size and what the run met, all from one job.
+
+    extent: rows and columns with the header; errors: error cells of the result by column.
+    """
 
     rows: list
     count: int
+    extent: tuple[int, int]
     errors: dict[str, int]
+    issues: list[Issue]
     plan_hash: str
 
 
-def preview(result: Result, rows: int = 50) -> Preview:
-    frame = result.frame
-    seen = Observation("plinth preview")
+def preview(result: Result, rows: int = 50, path: str | None = None, env: Environment | None = None) -> Preview:
+    """Run the plan once; with ``path`` and ``env`` also tell which tables the result would replace there."""
+    frame, seen, place = result.frame, Observation(), "__at"
     counts = [F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{ERROR}{c}`")).alias(c) for c in sorted(frame.errors)]]
-    frame.df.observe(seen, *counts).write.format("noop").mode("overwrite").save()
+    # Numbered in the result's own order; the first rows by that number need a look at all of them, so all are counted.
+    numbered = frame.df.observe(seen, *counts).withColumn(place, F.monotonically_increasing_id())
+    first = numbered.orderBy(place).limit(max(1, rows)).select(*[f"`{c}`" for c in frame.kinds]).collect()[:rows]
     got = dict(seen.get)
-    return Preview(result.df.limit(rows).collect(), got.pop("rows"), {k: v for k, v in got.items() if v}, result.plan_hash)
+    count, errors = got.pop("rows"), {k: v for k, v in got.items() if v}
+    issues = [Issue("LOAD_NOTE", n, note) for note, n in result.notes]
+    met: dict[str, int] = {}
+    for code, observed in frame.seen:
+        met[code] = met.get(code, 0) + (observed.get["n"] or 0)
+    issues += [Issue(code, n) for code, n in met.items() if n]
+    issues += [Issue("ERRORS_IN_OUTPUT", sum(errors.values()), ", ".join(errors))] if errors else []
+    issues += _replaced(result, path, env) if path and env else []
+    return Preview(first, count, (count + 1, len(frame.kinds)), errors, issues, result.plan_hash)
 
 
 def content_hash(df: DataFrame) -> str:
-    """A hash of the rows whatever their order, in one pass: row count, sum and xor of row hashes."""
-    row = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])
-    n, total, xor = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)).first()
-    return f"{n}:{total or 0}:{xor or 0}"
+    """A hash of the table whatever the order of its rows, in one pass: names and types, row count, sum and xor of row hashes.
+
+    A row's hash is of each column's place, of whether it is null, and of its value, so nothing can change places unseen.
+    """
+    parts = [x for i, c in enumerate(df.columns) for x in (F.lit(i), F.col(f"`{c}`").isNull(), F.col(f"`{c}`").cast("string"))]
+    row = F.xxhash64(*parts)
+    n, total, xor = df.agg(F.count(F.lit(1)), F.sum(row.cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), *parts))).first()
+    shape = hashlib.sha256(repr([(f.name, f.dataType.simpleString()) for f in df.schema]).encode()).hexdigest()[:16]
+    return f"{shape}:{n}:{total or 0}:{xor or 0}"
 
 
 def guards(env: Environment, names: list[str]) -> dict[str, str]:
@@ -243,7 +340,7 @@ def guards(env: Environment, names: list[str]) -> dict[str, str]:
 def consent(result: Result, on_dependents: str = "block") -> None:
     """Edits that others depend on need their user's word."""
     if result.impact and result.impact.needs_consent and on_dependents != "convertToValues":
-        raise PlanError("E_DROP_HAS_DEPENDENTS", f"others depend on: {', '.join(sorted({c for c, _ in result.impact.needs_consent}))}")
+        raise PlanError("E_DROP_HAS_DEPENDENTS", f"others depend on: {', '.join(sorted({c or 'rows' for c, *_ in result.impact.needs_consent}))}")
 
 
 def check_params(declared: list[dict], given: dict | None) -> None:
@@ -292,14 +389,23 @@ def _place(path: str) -> str:
     return unquote(urlparse(path).path).rstrip("/") + "/"
 
 
+def _replaced(result: Result, path: str, env: Environment) -> list[Issue]:
+    """The tables with files where the result would go: those that it reads stop it, others are told."""
+    if (result.plan.get("sink") or {}).get("mode") == "newSheet":
+        return []
+    target, read = _place(path), {n.lower() for n in _sources(result.plan)}
+    out = []
+    for name, e in env.entities.items():
+        if any(_place(f).startswith(target) or target.startswith(_place(f)) for f in e.df.inputFiles()):
+            out.append(Issue("OVERWRITES_SOURCE" if name.lower() in read else "OVERWRITES_TABLE", 0, name))
+    return out
+
+
 def refuse_sources(result: Result, path: str, env: Environment) -> None:
     """A result never replaces files that it is read from: they would be gone before they are read."""
-    target = _place(path)
-    for name in _sources(result.plan):
-        for file in env.entity(name).df.inputFiles():
-            own = _place(file)
-            if own.startswith(target) or target.startswith(own):
-                raise PlanError("OVERWRITES_SOURCE", f"{path!r} holds rows of {name!r}")
+    for issue in _replaced(result, path, env):
+        if issue.blocking:
+            raise PlanError(issue.code, f"{path!r} holds rows of {issue.message!r}")
 
 
 def commit(result: Result, path: str | None, env: Environment, expected_hash: str, seen: dict[str, str] | None = None, on_dependents: str = "block", format: str = "parquet") -> None:
@@ -314,6 +420,11 @@ def commit(result: Result, path: str | None, env: Environment, expected_hash: st
         raise PlanError("E_SINK_ANCHOR_MISSING", "no place was chosen for the result")
     consent(result, on_dependents)
     check_params(result.plan.get("params") or [], result.params)
+    refuse_changed(result, env)
+    if result.frame.seen:  # only plans that may meet something need to be run before they are written
+        for issue in preview(result, 0).issues:
+            if issue.blocking:
+                raise PlanError(issue.code, f"met {issue.count} times; see the preview")
     if seen is not None and guards(env, list(seen)) != seen:
         raise PlanError("E_COMMIT_SOURCE_CHANGED", "a source has changed since the preview")
     mode = "errorifexists" if result.plan.get("sink", {}).get("mode") == "newSheet" else "overwrite"
@@ -338,4 +449,4 @@ def entity(name: str, df: DataFrame, **more) -> Entity:
     return Entity(name, df, **more)
 
 
-__all__ = ["RID", "Preview", "Result", "check_anchor", "check_new_sheet", "check_params", "commit", "compile_plan", "consent", "content_hash", "entity", "guards", "parse", "plan_hash", "preview", "sheet_name"]
+__all__ = ["RID", "Issue", "Preview", "Report", "Result", "check", "check_anchor", "check_new_sheet", "check_params", "commit", "compile_plan", "consent", "content_hash", "entity", "guards", "parse", "plan_hash", "preview", "sheet_name"]
