@@ -1,6 +1,6 @@
 """Blank, equality, order and error rules of cells.
 
-A blank is a null or a text of spaces.  Text is equal ignoring case, and a blank
+A blank is a null or a text of white space.  Text is equal ignoring case, and a blank
 equals a blank only.  A predicate is true, false or, when it met an error, null;
 a filter keeps what is true.
 """
@@ -13,15 +13,22 @@ from pyspark.sql import functions as F
 #: Characters that text order leaves out at first (fixed values).
 IGNORED_IN_ORDER = "['’-]"
 BEYOND = 1_000_000_000
+#: White space (fixed values): ASCII, no-break, line and paragraph ends, wide spaces, byte order mark.
+WHITE = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def bare(c: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.trim(c, F.lit(WHITE))
 
 
 def blank(c: Column, text: bool) -> Column:
-    return (c.isNull() | (F.trim(c) == "")) if text else c.isNull()
+    return (c.isNull() | (bare(c) == "")) if text else c.isNull()
 
 
 def key(c: Column, text: bool) -> Column:
     """Value by which cells are equal; null for a blank."""
-    return F.when(F.trim(c) != "", F.lower(c)) if text else c
+    return F.when(bare(c) != "", F.lower(c)) if text else c
 
 
 def total(p: Column) -> Column:
@@ -37,10 +44,10 @@ def order_by(c: Column, direction: str, text: bool, order: list[str] | None = No
         keys += [(c.isNull() & error.isNull()).asc(), way(error.isNotNull()), way(error)]
     if not text:
         return [*keys, way(c)]
-    shown = F.when(F.trim(c) != "", c)
+    shown = F.when(bare(c) != "", c)
     if order:
         place = F.array_position(F.array(*[F.lit(o.lower()) for o in order]), F.lower(shown))
         keys.append(way(F.when(place > 0, place).when(shown.isNotNull(), BEYOND)))
-    bare = F.regexp_replace(shown, IGNORED_IN_ORDER, "")
+    main = F.regexp_replace(shown, IGNORED_IN_ORDER, "")
     loose = lambda x: F.collate(x, "UNICODE_CI_AI")
-    return [*keys, way(loose(bare)), way(F.length(shown) - F.length(bare)), way(loose(shown))]
+    return [*keys, way(loose(main)), way(F.length(shown) - F.length(main)), way(loose(shown))]

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .cells import blank
+
 #: Patterns that toText knows (fixed values), with Spark's date patterns or digits and scale.
 DATE_PATTERNS = {"yyyy-mm-dd": "yyyy-MM-dd", "dd/mm/yyyy": "dd/MM/yyyy", "mm/dd/yyyy": "MM/dd/yyyy", "yyyy-mm": "yyyy-MM", "mmm yyyy": "MMM yyyy", "yyyy": "yyyy"}
 NUMBER_PATTERNS = {"0": (0, False, 1), "0.00": (2, False, 1), "#,##0": (0, True, 1), "#,##0.00": (2, True, 1), "0%": (0, False, 100), "0.0%": (1, False, 100)}
@@ -60,7 +62,7 @@ def split_part(c: Column, sep: str, index: int) -> Column:
 
 def concat(parts: list[Column], sep: str, skip_blanks: bool) -> Column:
     if skip_blanks:
-        shown = [F.when(F.trim(p) != "", p) for p in parts]
+        shown = [F.when(~blank(p, True), p) for p in parts]
         joined = F.concat_ws(sep, *shown)
     else:
         shown = parts

@@ -1,15 +1,17 @@
 """Grouping with measures.
 
-Text keys group ignoring case and show the spelling met first.  Where all
-measures can be merged, rows are first grouped by the raw keys (a hash
-aggregation with map-side combining), and only those few groups are folded.
+Text keys group ignoring case and show the spelling met first.  Rows are first
+grouped by the raw keys, and by the values of distinct counts (a hash aggregation
+with map-side combining), and only those groups are folded, so that one scan gives
+counts and spellings.  Measures that may meet errors need rows in order and are
+folded at once.
 """
 
 from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import cells
@@ -38,7 +40,8 @@ def _kind(frame: Frame, m: dict) -> Kind:
     return replace(kind, bound=None, nullable=kind.nullable or bool(m.get("where")))
 
 
-def aggregate(frame: Frame, step: dict, params: dict, skip_errors: bool = False) -> Frame:
+def aggregate(frame: Frame, step: dict, params: dict, skip_errors: bool = False) -> tuple[Frame, Column | None]:
+    """The groups, and a column that sums up the error cells met (None where there can't be any)."""
     groups: list[str] = []
     for g in step["groupBy"]:
         own = frame.name(g, "E_AGGREGATE_GROUPBY_UNKNOWN") if g.lower() not in frame.gone else frame.name(g)
@@ -52,49 +55,40 @@ def aggregate(frame: Frame, step: dict, params: dict, skip_errors: bool = False)
     kinds = {m["as"]: _kind(frame, m) for m in measures}
     folded = [g for g in groups if frame.kinds[g].text and not frame.kinds[g].canonical]
     shadows = [g for g in groups if g in frame.errors]
-    hard = any(m["fn"] == "countDistinct" or (m["of"] != "*" and frame.name(m["of"]) in frame.errors) for m in measures)
+    failing = [m for m in measures if m["of"] != "*" and frame.name(m["of"]) in frame.errors]
 
     rid = F.col(RID) if RID in frame.df.columns else None
     raw_key = {g: F.col(f"`{g}`") for g in groups}
     shadow_key = {ERROR + g: frame.error(g) for g in shadows}
     fold_key = {f"__k{i}": cells.key(raw_key[g], True) for i, g in enumerate(groups) if g in folded}
-    if folded and not hard:
-        partial = [p for i, m in enumerate(measures) for p in _partials(compiler, m, i)]
-        df = frame.df.groupBy(*[c.alias(n) for n, c in {**raw_key, **shadow_key}.items()]).agg(F.min(rid).alias(RID), *partial)
+    if folded and not failing:
+        partial = [p for i, m in enumerate(measures) if m["fn"] != "countDistinct" for p in _partials(compiler, m, i)]
+        values = {f"__d{i}": _distinct_key(compiler, m) for i, m in enumerate(measures) if m["fn"] == "countDistinct"}
+        df = frame.df.groupBy(*[c.alias(n) for n, c in {**raw_key, **shadow_key, **values}.items()]).agg(F.min(rid).alias(RID), *partial)
         merged = [_merge(m, i).alias(m["as"]) for i, m in enumerate(measures)]
     else:
         df = frame.df
         merged = [x for m in measures for x in _direct(frame, compiler, m, skip_errors)]
+        merged += [F.count(_subject(compiler, m)[1]).alias(f"__errors{i}") for i, m in enumerate(failing)]
     plain = [*[raw_key[g].alias(g) for g in groups if g not in folded], *[F.col(f"`{s}`") for s in shadow_key]]
     if folded:
         first = [F.min_by(raw_key[g], F.col(RID)).alias(g) for g in folded]
-        if hard:
-            # Distinct counts can't be merged: rows are grouped by the folded keys, and the spellings, which
-            # come from a pass over the keys alone, are joined to the few groups.
-            spelled = df.groupBy(*[c.alias(n) for n, c in {**raw_key, **shadow_key}.items()]).agg(F.min(rid).alias(RID))
-            spelled = spelled.withColumns(fold_key).groupBy(*plain, *fold_key).agg(*first)
-            main = df.withColumns(fold_key).groupBy(*plain, *fold_key).agg(*merged, F.min(RID).alias(RID))
-            by = [c for c in spelled.columns if c not in folded]
-            df = _join_groups(main, spelled, by).drop(*fold_key)
-        else:
-            df = df.withColumns(fold_key).groupBy(*plain, *fold_key).agg(*first, *merged, F.min(RID).alias(RID)).drop(*fold_key)
+        df = df.withColumns(fold_key).groupBy(*plain, *fold_key).agg(*first, *merged, F.min(RID).alias(RID)).drop(*fold_key)
     else:
         out = [*merged, *([F.min(rid).alias(RID)] if rid is not None else [])]
         df = (df.groupBy(*plain).agg(*out) if out else df.select(*plain).distinct()) if plain else df.agg(*(out or [F.count("*").alias("__n")]))
     kinds = {**{g: frame.kinds[g] for g in groups}, **kinds}
     errors = {*shadows, *[m["as"] for m in measures if ERROR + m["as"] in df.columns]}
-    hidden = [c for c in df.columns if c.startswith(ERROR) or c == RID]
+    hidden = [c for c in df.columns if c.startswith((ERROR, "__errors")) or c == RID]
     gone = frozenset({*frame.gone, *[c.lower() for c in frame.kinds]} - {n.lower() for n in names})
-    return Frame(df.select(*[f"`{n}`" for n in kinds], *[f"`{h}`" for h in hidden]), kinds, frozenset(errors), {g: frame.origin[g] for g in groups if g in frame.origin}, gone, frozenset(m["as"] for m in measures))
+    df = df.select(*[f"`{n}`" for n in kinds], *[f"`{h}`" for h in hidden])
+    met = sum((F.sum(f"__errors{i}") for i in range(len(failing))), F.lit(0)) if failing else None
+    return Frame(df, kinds, frozenset(errors), {g: frame.origin[g] for g in groups if g in frame.origin}, gone, frozenset(m["as"] for m in measures), seen=frame.seen), met
 
 
-def _join_groups(main: DataFrame, spelled: DataFrame, by: list[str]) -> DataFrame:
-    """Both have one row for each group; null keys are groups too."""
-    other = spelled.withColumnsRenamed({c: f"__j{i}" for i, c in enumerate(by)})
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"__j{i}"))
-    return main.join(other, same).drop(*[f"__j{i}" for i in range(len(by))])
+def _distinct_key(compiler: Compiler, m: dict) -> Column:
+    c, _, text = _subject(compiler, m)
+    return cells.key(c, text)
 
 
 def _subject(compiler: Compiler, m: dict) -> tuple[Column, Column | None, bool]:
@@ -119,6 +113,8 @@ def _partials(compiler: Compiler, m: dict, i: int) -> list[Column]:
 
 
 def _merge(m: dict, i: int) -> Column:
+    if m["fn"] == "countDistinct":
+        return F.count_distinct(F.col(f"__d{i}"))
     part = F.col(f"__m{i}")
     if m["fn"] in ("count", "countIf", "sum"):
         return F.sum(part)

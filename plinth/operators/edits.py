@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import ERROR, Entity, Frame, PlanError
@@ -12,7 +13,8 @@ from ..plans.expressions import Compiler, Val, family
 
 @dataclass
 class Impact:
-    """Names are those that columns had before the edits."""
+    """Names are those that columns had before the edits; ``needs_consent``: (column or "", who depends on it, cause);
+    ``untraceable``: something refers to tables in a way that can't be followed, so there may be more dependents."""
 
     added: list[str] = field(default_factory=list)
     removed: list[str] = field(default_factory=list)
@@ -21,7 +23,13 @@ class Impact:
     moved: list[str] = field(default_factory=list)
     removes_rows: bool = False
     formulas_overwritten: list[str] = field(default_factory=list)
-    needs_consent: list[tuple[str, str]] = field(default_factory=list)
+    needs_consent: list[tuple[str, str, str]] = field(default_factory=list)
+    untraceable: bool = False
+    removed_rows: DataFrame | None = None  # one row: n, how many rows go (lazy)
+
+    def rows_removed(self) -> int:
+        """How many rows go, by a job of its own."""
+        return self.removed_rows.first()["n"] if self.removed_rows is not None else 0
 
 
 def _reorder(frame: Frame, names: list[str]) -> Frame:
@@ -34,13 +42,11 @@ def _placed(frame: Frame, column: str, position: dict) -> Frame:
         at = 0
     elif position["at"] == "last":
         at = len(rest)
-    elif position["at"] == "after":
+    else:
         after = frame.name(position["column"], "E_EDIT_UNKNOWN_COLUMN")
         if after == column:
             raise PlanError("E_INVALID_ARGUMENT", "a column can't move behind itself")
         at = rest.index(after) + 1
-    else:
-        raise PlanError("E_PARSE_UNKNOWN_VARIANT", f"unknown position {position['at']!r}")
     return _reorder(frame, [*rest[:at], column, *rest[at:]])
 
 
@@ -90,7 +96,7 @@ def drop_column(frame: Frame, op: dict, params: dict, entity: Entity, impact: Im
         impact.added.remove(name)
     else:
         impact.removed.append(name)
-        impact.needs_consent += [(c, d) for c, d in entity.dependents if c.lower() == name.lower()]
+        impact.needs_consent += [(c, d, "columnRemoved") for c, d in entity.dependents if c.lower() == name.lower()]
     return replace(frame, df=frame.df.drop(own, ERROR + own), kinds={c: k for c, k in frame.kinds.items() if c != own}, errors=frame.errors - {own}, origin={c: o for c, o in frame.origin.items() if c != own})
 
 
@@ -113,6 +119,10 @@ def move_column(frame: Frame, op: dict, params: dict, entity: Entity, impact: Im
 def drop_rows(frame: Frame, op: dict, params: dict, entity: Entity, impact: Impact) -> Frame:
     impact.removes_rows = True
     keep = ~F.coalesce(Compiler(frame, params).predicate(op["where"]), F.lit(False))  # an unknown answer keeps the row
+    # What reads whole columns is meant to change with the rows; what names fixed rows could break.
+    impact.needs_consent += [x for d in entity.row_dependents if (x := ("", d, "rowsRemoved")) not in impact.needs_consent]
+    gone = frame.df.agg(F.count_if(~keep).alias("n"))
+    impact.removed_rows = gone if impact.removed_rows is None else impact.removed_rows.unionByName(gone).agg(F.sum("n").alias("n"))
     return replace(frame, df=frame.df.filter(keep))
 
 

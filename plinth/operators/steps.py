@@ -6,7 +6,7 @@ import datetime as dt
 import re
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Observation
 from pyspark.sql import functions as F
 
 from ..functions import cells, text
@@ -40,8 +40,18 @@ def put(frame: Frame, name: str, v: Val) -> Frame:
     return replace(frame, df=df, kinds={**frame.kinds, name: kind}, errors=frozenset(errors))
 
 
+def met(frame: Frame, code: str, count: Column) -> Frame:
+    """``frame`` that counts something while it runs; no job of its own."""
+    seen = Observation()
+    return replace(frame, df=frame.df.observe(seen, count.alias("n")), seen=(*frame.seen, (code, seen)))
+
+
 def filter_rows(frame: Frame, step: dict, ctx: Context) -> Frame:
-    return replace(frame, df=frame.df.filter(Compiler(frame, ctx.params).predicate(step["predicate"])), measures=frozenset())
+    keep = Compiler(frame, ctx.params).predicate(step["predicate"])
+    if frame.errors:  # an answer is unknown where an error was met
+        unknown = Compiler(frame, ctx.params).predicate(step["predicate"], positive=False).isNull()
+        frame = met(frame, "ERROR_CELLS", F.count_if(unknown))
+    return replace(frame, df=frame.df.filter(keep), measures=frozenset())
 
 
 def derive(frame: Frame, step: dict, ctx: Context) -> Frame:
@@ -66,11 +76,19 @@ def project(frame: Frame, step: dict, ctx: Context) -> Frame:
             origin[c["as"]] = frame.origin[frame.name(c["expr"]["col"])]
     gone = frozenset({*frame.gone, *[c.lower() for c in frame.kinds]} - {n.lower() for n in names})
     rid = [RID] if RID in frame.df.columns else []
-    return Frame(frame.df.select(*out, *rid), kinds, frozenset(errors), origin, gone, frozenset(), frame.sorted)
+    return Frame(frame.df.select(*out, *rid), kinds, frozenset(errors), origin, gone, frozenset(), frame.sorted, frame.seen)
 
 
 def aggregate_rows(frame: Frame, step: dict, ctx: Context) -> Frame:
-    return aggregate(frame, step, ctx.params, ctx.skip_errors)
+    out, found = aggregate(frame, step, ctx.params, ctx.skip_errors)
+    return _counted(out, found, ctx)
+
+
+def _counted(out: Frame, found: Column | None, ctx: Context) -> Frame:
+    """An aggregate that tells how many error cells its measures met."""
+    if found is None:
+        return out
+    return met(out, "ERROR_CELLS_EXCLUDED" if ctx.skip_errors else "ERROR_CELLS", found)
 
 
 def sort(frame: Frame, step: dict, ctx: Context) -> Frame:
@@ -99,7 +117,7 @@ def _link(frame: Frame, step: dict, ctx: Context) -> tuple[str, Entity, str]:
     left, columns = frame.name(step["on"]["left"]), {c.lower(): c for c in other.columns()}
     right = columns.get(step["on"]["right"].lower())
     if right is None:
-        raise PlanError("E_UNKNOWN_COLUMN", f"{other.name!r} has no column {step['on']['right']!r}")
+        raise PlanError("E_UNKNOWN_COLUMN", f"{other.name!r} has no column {step['on']['right']!r}", names=list(columns.values()), wanted=step["on"]["right"])
     ends = {(*(x.lower() for x in frame.origin.get(left, ("", ""))), other.name.lower(), right.lower())}
     for link in ctx.env.links:
         way = (link.left.lower(), link.left_column.lower(), link.right.lower(), link.right_column.lower())
@@ -139,31 +157,45 @@ def _beside(frame: Frame, other: Frame, entity: str, take: list[str]) -> tuple[l
     return cols, kinds, origin, errors
 
 
+def _keyed(frame: Frame, left: str) -> tuple[Frame, Column]:
+    """The left side with its key, and how it is met: rows of a blank key, which meet nothing, are dealt by all of
+    their values, so that an outer join doesn't send them to one task."""
+    spread = F.when(F.col("__kl").isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in frame.kinds])).otherwise(F.xxhash64("__kl"))
+    df = frame.df.withColumn("__kl", _key(left, frame.kinds[left])).withColumn("__hl", spread)
+    return replace(frame, df=df), (F.col("__kl") == F.col("__kr")) & (F.col("__hl") == F.col("__hr"))
+
+
 def join(frame: Frame, step: dict, ctx: Context) -> Frame:
     left, other, right = _link(frame, step, ctx)
-    side = Frame.of(other, False)
+    side = Frame.of(other)
     cols, kinds, origin, errors = _beside(frame, side, other.name, list(side.kinds))
-    b = side.df.select(_key(right, side.kinds[right]).alias("__kr"), *cols)
-    a = frame.df.withColumn("__kl", _key(left, frame.kinds[left]))
-    df = a.join(b, F.col("__kl") == F.col("__kr"), step.get("kind", "inner")).drop("__kl", "__kr")
-    return Frame(df, {**frame.kinds, **kinds}, frame.errors | errors, {**frame.origin, **origin}, frame.gone, frozenset(), False)
+    b = side.df.select(_key(right, side.kinds[right]).alias("__kr"), *cols).withColumn("__hr", F.xxhash64("__kr"))
+    if step.get("kind") == "left":
+        a, same = _keyed(frame, left)
+        df = a.df.join(b, same, "left")
+    else:
+        df = frame.df.withColumn("__kl", _key(left, frame.kinds[left])).join(b, F.col("__kl") == F.col("__kr"))
+    return Frame(df.drop("__kl", "__kr", "__hl", "__hr"), {**frame.kinds, **kinds}, frame.errors | errors, {**frame.origin, **origin}, frame.gone, frozenset(), False, frame.seen)
 
 
 def lookup(frame: Frame, step: dict, ctx: Context) -> Frame:
     left, other, right = _link(frame, step, ctx)
     if right not in other.unique:
         raise PlanError("E_LOOKUP_KEY_NOT_UNIQUE", f"{other.name}.{right} repeats")
-    side = Frame.of(other, True)
+    side = Frame.of(other).in_order()
     take = [c for c in side.kinds if c != right]
     if step.get("take") is not None:
         take = [side.name(c) for c in step["take"]]
     cols, kinds, origin, errors = _beside(frame, side, other.name, take)
-    # The first row of a key counts, should it repeat after all; a unique key costs one grouping of the small side.
-    picked = side.df.withColumn("__kr", _key(right, side.kinds[right])).where("__kr is not null").groupBy("__kr").agg(F.min_by(F.struct(*cols), F.col(RID)).alias("__take"))
-    b = picked.select("__kr", *[F.col(f"__take.`{c}`") for c in [*kinds, *[ERROR + e for e in errors]]])
-    a = frame.df.withColumn("__kl", _key(left, frame.kinds[left]))
-    df = a.join(b, F.col("__kl") == F.col("__kr"), "left").drop("__kl", "__kr")
-    return replace(frame, df=df, kinds={**frame.kinds, **kinds}, errors=frame.errors | errors, origin={**frame.origin, **origin}, measures=frozenset(), sorted=False)
+    # The first row of a key counts, should it repeat after all, and the other rows are counted: they stop a commit.
+    keyed = side.df.withColumn("__kr", _key(right, side.kinds[right])).where("__kr is not null")
+    picked = keyed.groupBy("__kr").agg(F.min_by(F.struct(*cols, F.lit(1).alias("__one")), F.col(RID)).alias("__take"), F.count(F.lit(1)).alias("__rows"))
+    repeats = Observation()
+    picked = picked.observe(repeats, F.sum(F.col("__rows") - 1).alias("n"))
+    b = picked.select("__kr", F.xxhash64("__kr").alias("__hr"), *[F.col(f"__take.`{c}`") for c in [*kinds, *[ERROR + e for e in errors]]])
+    a, same = _keyed(frame, left)
+    df = a.df.join(b, same, "left").drop("__kl", "__kr", "__hl", "__hr")
+    return replace(frame, df=df, kinds={**frame.kinds, **kinds}, errors=frame.errors | errors, origin={**frame.origin, **origin}, measures=frozenset(), sorted=False, seen=(*frame.seen, ("LOOKUP_KEY_NOT_UNIQUE", repeats)))
 
 
 def pivot(frame: Frame, step: dict, ctx: Context) -> Frame:
@@ -203,10 +235,10 @@ def pivot(frame: Frame, step: dict, ctx: Context) -> Frame:
         marked = put(marked, f"__v{i}", Val(F.when(same, F.col(f"`{values}`")), frame.kinds[values]))
     for i, g in enumerate(grouped):
         g["of"] = f"__v{i}"
-    out = aggregate(marked, {"groupBy": rows, "measures": grouped}, ctx.params, ctx.skip_errors)
+    out, _ = aggregate(marked, {"groupBy": rows, "measures": grouped}, ctx.params, ctx.skip_errors)
     df = out.df.withColumnsRenamed({f"__p{i}": name for i, name in enumerate(names)})
     value_kind = replace(frame.kinds[values], nullable=True)
-    return Frame(df, {**{r: frame.kinds[r] for r in rows}, **dict.fromkeys(names, value_kind)}, frozenset(), {}, out.gone, frozenset())
+    return Frame(df, {**{r: frame.kinds[r] for r in rows}, **dict.fromkeys(names, value_kind)}, frozenset(), {}, out.gone, frozenset(), seen=out.seen)
 
 
 #: Literals of periods by grain (fixed formats).
@@ -239,7 +271,7 @@ def period_range(grain: str, literal: str, week_start: str | None = "monday") ->
 def period_compare(frame: Frame, step: dict, ctx: Context) -> Frame:
     metric = next((m for m in ctx.env.metrics if m.name.lower() == step["metric"].lower()), None)
     if metric is None:
-        raise PlanError("E_UNKNOWN_METRIC", f"there is no metric {step['metric']!r}")
+        raise PlanError("E_UNKNOWN_METRIC", f"there is no metric {step['metric']!r}", names=[m.name for m in ctx.env.metrics], wanted=step["metric"])
     dim = next((t for t in ctx.env.time_dimensions if t.name.lower() == step["timeDim"].lower()), None)
     if dim is None or dim.entity.lower() != metric.entity.lower():
         raise PlanError("E_PERIOD_COMPARE_NO_TIME_DIM", f"{step['timeDim']!r} is no time dimension of {metric.entity}")
@@ -255,6 +287,7 @@ def period_compare(frame: Frame, step: dict, ctx: Context) -> Frame:
     rows = replace(frame, df=frame.df.filter(inside["current"] | inside["prior"]))
     if metric.where:
         rows = filter_rows(rows, {"predicate": metric.where}, ctx)
+    rows = rows.in_order() if ctx.ordered else rows  # above the filters, which so reach the scan
     measures = []
     for side in names:  # one pass: each side's measure sees its own rows only
         rows = put(rows, f"__in_{side}", Val(inside[side], Kind("bool")))
@@ -263,7 +296,8 @@ def period_compare(frame: Frame, step: dict, ctx: Context) -> Frame:
         if RID in rows.df.columns:
             measures.append({"fn": "min", "of": f"__r_{side}", "as": f"__first_{side}"})
             rows = put(rows, f"__r_{side}", Val(F.when(F.col(f"__in_{side}"), F.col(RID)), Kind("number")))
-    out = aggregate(rows, {"groupBy": groups, "measures": measures}, ctx.params, ctx.skip_errors)
+    out, found = aggregate(rows, {"groupBy": groups, "measures": measures}, ctx.params, ctx.skip_errors)
+    out = _counted(out, found, ctx)
     df = out.df
     if groups:  # a side without rows is null, even if the metric counts
         df = df.withColumns({n: F.when(F.col(f"__n_{side}") > 0, F.col(n)) for side, n in names.items()})
@@ -271,12 +305,13 @@ def period_compare(frame: Frame, step: dict, ctx: Context) -> Frame:
     delta = now - before
     df = df.withColumns({"delta": delta, "delta_pct": F.when(before != 0, F.try_divide(delta.cast("double"), before.cast("double")))})
     if RID in df.columns:  # groups of the current period come first
-        df = df.withColumn(RID, F.coalesce(F.col("__first_current"), F.col("__first_prior") + F.lit(1 << 62)))
+        first, then = (F.when(F.col(f"__first_{side}").isNotNull(), F.struct(F.lit(i).alias("side"), F.col(f"__first_{side}").alias("at"))) for i, side in enumerate(names))
+        df = df.withColumn(RID, F.coalesce(first, then))
     kind = replace(out.kinds[names["current"]], nullable=True)
     kinds = {**{g: out.kinds[g] for g in out.kinds if g.lower() in [x.lower() for x in groups]}, names["current"]: kind, names["prior"]: kind, "delta": kind, "delta_pct": Kind("number", "percent")}
     errors = frozenset(c for c in out.errors if c in kinds)
     keep = [*kinds, *[ERROR + e for e in errors], *([RID] if RID in df.columns else [])]
-    return Frame(df.select(*[f"`{c}`" for c in keep]), kinds, errors, out.origin, out.gone, frozenset(list(names.values())))
+    return Frame(df.select(*[f"`{c}`" for c in keep]), kinds, errors, out.origin, out.gone, frozenset(list(names.values())), seen=out.seen)
 
 
 STEPS = {
