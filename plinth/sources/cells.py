@@ -1,10 +1,13 @@
-"""Values from text cells: numbers, percents, money, dates and error codes, all as column expressions."""
+"""Values from cells: numbers, percents, money, dates and error codes, all as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import text
+from ..functions.cells import bare, blank
 from ..model import ERROR
 
 #: Texts that stand for nothing (fixed values).
@@ -13,21 +16,16 @@ NULL_TOKENS = ("", "n/a", "#n/a", "-", "—", "–", "null")
 ERROR_CODES = ("#N/A", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#NULL!", "#SPILL!", "#CALC!", "#GETTING_DATA", "#FIELD!", "#BUSY!", "#BLOCKED!", "#CONNECT!", "#UNKNOWN!")
 #: Currency signs and codes (fixed values).
 CURRENCY_UNITS = {"$": "USD", "us$": "USD", "usd": "USD", "₹": "INR", "rs": "INR", "rs.": "INR", "inr": "INR", "€": "EUR", "eur": "EUR", "£": "GBP", "gbp": "GBP", "¥": "JPY", "jpy": "JPY"}
-_NUMBER = r"(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?|\.\d+)"
-_SIGN = r"(?:US\$|\$|₹|Rs\.?|INR|USD|€|EUR|£|GBP|¥|JPY)"
-NUMBER = rf"^[-+]?{_NUMBER}$"
-SCIENTIFIC = r"^[-+]?\d+(?:\.\d+)?[eE][-+]?\d+$"
-ACCOUNTING = rf"^\({_NUMBER}\)$"
-PERCENT = rf"^[-+]?{_NUMBER}\s*%$"
-CURRENCY = rf"(?i)^(?:[-+]?\s*{_SIGN}\s*[-+]?{_NUMBER}|[-+]?{_NUMBER}\s*{_SIGN})$"
-LEADING_ZERO = r"^[-+]?0\d"
-#: Spark's patterns of dates in text, month first; days first are added where a column shows them.
-DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d-MMM-yy", "d MMM yyyy", "d-MMM-yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "yyyy-MMM-d")
-MONTH_FIRST, DAY_FIRST = ("M/d/yyyy", "M/d/yy", "M-d-yyyy"), ("d/M/yyyy", "d/M/yy", "d-M-yyyy")
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+YEARS = (1900, 2200)  # of dates in text
+
+#: One pattern takes a numeric cell apart: what is before the digits, the digits, and what is after them.
+_AROUND = r"(?s)^((?:[Rr][Ss]\.|[^0-9.])*)([0-9][0-9,]*(?:\.[0-9]+)?|\.[0-9]+)(.*)$"
+_GROUPED = r"[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?"
 
 
 def clean(c: Column) -> Column:
-    return F.trim(c.cast("string"))
+    return bare(c.cast("string"))
 
 
 def error_code(c: Column) -> Column:
@@ -39,36 +37,145 @@ def is_null_token(c: Column) -> Column:
     return c.isNull() | F.lower(clean(c)).isin(*NULL_TOKENS)
 
 
-def number(c: Column) -> Column:
-    """1,299 and (123) and 12% and $5 and 1e3; null for other text, as for numbers with leading zeros."""
+def _number_parts(c: Column) -> dict[str, Column]:
+    """kind (number, percent, currency or null), value and unit of a text cell.
+
+    The digits are read once; what stands around them says what they are: a sign, one currency sign (before
+    or after), a percent sign, or parentheses for a negative.
+    """
     t = clean(c)
-    digits = F.regexp_replace(F.regexp_replace(t, rf"(?i){_SIGN}|[,()%\s]", ""), r"^\+", "")
-    value = digits.try_cast("double")
-    plain = t.rlike(NUMBER) & ~t.rlike(LEADING_ZERO)
-    return (
-        F.when(plain | t.rlike(SCIENTIFIC) | t.rlike(CURRENCY), value)
-        .when(t.rlike(ACCOUNTING), -value).when(t.rlike(PERCENT), value / 100)
+    part = lambda i: F.regexp_extract(t, _AROUND, i)
+    digits, before, after = part(2), F.lower(F.regexp_replace(part(1), r"\s", "")), F.lower(F.regexp_replace(part(3), r"\s", ""))
+    right = (digits != "") & (~digits.contains(",") | digits.rlike(f"^{_GROUPED}$"))
+    size = F.regexp_replace(digits, ",", "").try_cast("double")
+    minus, sign = before.contains("-"), F.regexp_replace(before, "[-+]", "")
+    few = F.length(before) - F.length(sign)
+    exponent = F.regexp_extract(t, r"^[-+]?[0-9]+(?:\.[0-9]+)?[eE][-+]?[0-9]+$", 0)
+    known = F.create_map(*[F.lit(x) for pair in CURRENCY_UNITS.items() for x in pair])
+    coded = [x for x in CURRENCY_UNITS if x not in ("$", "us$", "rs", "rs.", "¥")]  # those that may stand behind
+    unit = F.when((after == "") & (few <= 2), known[sign]).when((sign == "") & (few <= 1) & after.isin(*coded), known[after])
+    number_sign = (sign == "") & (few <= 1) & ~part(1).rlike(r"\s")
+    zero = F.regexp_extract(t, r"^[-+]?0[0-9]", 0) != ""  # an identifier or a postcode
+    tight = ~part(3).rlike(r"\s\S*\s|%\s")
+    kind = (
+        F.when(exponent != "", F.when(~zero, "number")).when(~right, None).when(number_sign & (after == "%") & tight, "percent").when(unit.isNotNull(), "currency")
+        .when(zero, None).when(number_sign & (part(3) == ""), "number").when((part(1) == "(") & (part(3) == ")"), "number")
     )
+    signed = F.when(minus | (part(1) == "("), -size).otherwise(size)
+    value = F.when(exponent != "", exponent.try_cast("double")).when(kind == "percent", signed / 100).otherwise(signed)
+    return {"kind": kind, "value": F.when(kind.isNotNull(), value), "unit": F.when(kind == "currency", unit)}
+
+
+def number_kind(c: Column) -> Column:
+    """number, percent or currency, or null for other text (as for numbers with leading zeros)."""
+    return _number_parts(c)["kind"]
+
+
+def number(c: Column) -> Column:
+    """1,299 and (123) and 12% and $5 and 1e3; null for other text."""
+    return _number_parts(c)["value"]
 
 
 def unit(c: Column) -> Column:
     """The currency code of a money text."""
-    sign = F.lower(F.regexp_extract(clean(c), rf"(?i)({_SIGN})", 1))
-    known = F.create_map(*[F.lit(x) for pair in CURRENCY_UNITS.items() for x in pair])
-    return F.when(clean(c).rlike(CURRENCY), known[sign])
+    return _number_parts(c)["unit"]
+
 
+# Dates.  Each layout gives the places of year, month and day in a pattern of its own, and a label.
 
-def date(c: Column, day_first: bool = False) -> Column:
-    """Dates in the usual spellings; digits-only ones month first unless the column shows otherwise."""
-    t = F.regexp_replace(clean(c), r"\s+", " ")
-    formats = [*DATE_FORMATS, *(DAY_FIRST if day_first else MONTH_FIRST)]
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("date")
+
+_WORD = "(" + "|".join(f"{m}|{m[:3]}" if len(m) > 3 else m for m in MONTHS) + "|sept)"
+_NAMED = {
+    "month day": (rf"(?i)^{_WORD}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})$", (3, 1, 2)),
+    "day month": (rf"(?i)^(\d{{1,2}})[-\s]{_WORD}\.?[-\s,]+(\d{{4}}|\d{{2}})$", (3, 2, 1)),
+    "year month": (rf"(?i)^(\d{{4}})[-\s]{_WORD}[-\s](\d{{1,2}})$", (1, 2, 3)),
+}
+_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"
+_WITH_TIME = r"^(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{2})(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?$"
+_DIGITS = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})$"
+
+
+def _part(t: Column, pattern: str, i: int) -> Column:
+    return F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
+
+
+def _month(word: Column) -> Column:
+    first = F.lower(F.substring(word, 1, 3))
+    return F.when(word.isNotNull(), (F.position(first, F.lit("".join(m[:3] for m in MONTHS))) + 2) / 3).cast("int").cast("string")
+
+
+def _full_year(y: Column) -> Column:
+    return F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+
+
+def _day(y: Column, m: Column, d: Column) -> Column:
+    """A date from texts; null if there is no such day, or its year isn't one of ``YEARS``."""
+    there = F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-M-d")).cast("date")
+    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull() & y.cast("int").between(*YEARS), there)
+
+
+def _layouts(c: Column, day_first: bool | None) -> list[Column]:
+    t = clean(c)
+    a, b, y = (_part(t, _DIGITS, i) for i in (1, 3, 4))
+    a_day, b_day = _day(_full_year(y), b, a), _day(_full_year(y), a, b)
+    if day_first is None:
+        digits = F.when(a.cast("int") > 12, a_day).when(b.cast("int") > 12, b_day)  # else nothing says which is which
+    else:
+        digits = a_day if day_first else b_day
+    named = []
+    for pattern, at in _NAMED.values():
+        y, m, d = (_part(t, pattern, i) for i in at)
+        named.append(_day(_full_year(y), _month(m), d))
+    return [_day(*(_part(t, _YEAR_FIRST, i) for i in (1, 3, 4))), digits, *named]
+
+
+def _timed(c: Column) -> tuple[Column, Column]:
+    """Day and minute of a text with a time of day; seconds and zones are read over."""
+    t = clean(c)
+    hour, minute = (_part(t, _WITH_TIME, i).cast("int") for i in (4, 5))
+    fits = (hour < 24) & (minute < 60)
+    return F.when(fits, _day(*(_part(t, _WITH_TIME, i) for i in (1, 2, 3)))), hour * 60 + minute
+
+
+def date(c: Column, day_first: bool | None = None) -> Column:
+    """The day that a text shows; digits-only ones by ``day_first`` or, if that is None, where just one reading is possible."""
+    return F.coalesce(*_layouts(c, day_first), _timed(c)[0])
+
+
+def datetime(c: Column, day_first: bool | None = None) -> Column:
+    """The day and, if there is one, the time that a text shows."""
+    day, minute = _timed(c)
+    at = day.cast("timestamp_ntz") + F.make_dt_interval(mins=minute)
+    return F.coalesce(at, *[d.cast("timestamp_ntz") for d in _layouts(c, day_first)])
+
+
+def is_datetime(c: Column) -> Column:
+    return _timed(c)[0].isNotNull()
+
+
+def date_layout(c: Column) -> Column:
+    """A label of how a text shows a date: yyyy-mm-dd, numeric (digits only), Mon d yyyy, d-Month-yy and so on; null for no date."""
+    t = clean(c)
+    a, b, y = (_part(t, _DIGITS, i) for i in (1, 3, 4))
+    either = F.coalesce(_day(_full_year(y), b, a), _day(_full_year(y), a, b)).isNotNull()
+    gap = F.when(t.contains("-"), "-").otherwise(" ")
+    named = {}
+    for name, (pattern, at) in _NAMED.items():
+        y, m, d = (_part(t, pattern, i) for i in at)
+        word = F.when((F.length(m) > 3) & (F.lower(m) != "sept"), "Month").otherwise("Mon")
+        year = F.when(F.length(y) == 2, "yy").otherwise("yyyy")
+        label = {"month day": F.concat(word, F.lit(" d yyyy")), "day month": F.concat(F.lit("d"), gap, word, gap, year), "year month": F.concat(F.lit("yyyy"), gap, word, gap, F.lit("dd"))}
+        named[name] = F.when(_day(_full_year(y), _month(m), d).isNotNull(), label[name])
+    first = _day(*(_part(t, _YEAR_FIRST, i) for i in (1, 3, 4))).isNotNull()
+    shown = F.when(first, F.when(t.contains("/"), "yyyy/mm/dd").otherwise("yyyy-mm-dd"))
+    return F.coalesce(shown, F.when(is_datetime(c), "yyyy-mm-dd hh:mm"), F.when(either, "numeric"), *named.values())
 
 
 def day_first_evidence(c: Column) -> Column:
     """True if the first part of a/b/yyyy can't be a month, false if the second can't be."""
-    a, b = (F.regexp_extract(clean(c), r"^(\d{1,2})[/-](\d{1,2})[/-]\d{2,4}$", i).try_cast("int") for i in (1, 2))
-    return F.when(a > 12, True).when(b > 12, False)
+    t = clean(c)
+    a, b = (_part(t, _DIGITS, i).cast("int") for i in (1, 3))
+    return F.when((a > 12) & (b <= 12), True).when((b > 12) & (a <= 12), False)
 
 
 def serial_date(serial: Column, system: int = 1900) -> Column:
@@ -79,29 +186,76 @@ def serial_date(serial: Column, system: int = 1900) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.when(day < 60, day - 25568).otherwise(day - 25569))
 
 
-def load(df: DataFrame, kinds: dict[str, str], percent_scale: dict[str, int] | None = None, day_first: frozenset[str] = frozenset()) -> DataFrame:
-    """A table of text cells with typed columns: number, percent, currency, date, boolean or text.
+def serial_datetime(serial: Column, system: int = 1900) -> Column:
+    """A day number with its fraction as the time of day, to the millisecond."""
+    seconds = F.round((serial - F.floor(serial)) * 86400, 3).cast("decimal(18,6)")
+    return serial_date(serial, system).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
+def _converted(df: DataFrame, c: str, kind: str, scale: int, day_first: bool | None, system: int) -> tuple[Column, Column, Column]:
+    """Value, error code and whether a number was stored as text, of a column read as a kind."""
+    cell, stored = F.col(f"`{c}`"), df.schema[c].dataType
+    numeric, flag, never = isinstance(stored, T.NumericType), isinstance(stored, T.BooleanType), F.lit(False)
+    misfit, none = F.lit("#VALUE!"), F.lit(None).cast("string")
+    is_text = isinstance(stored, T.StringType)
+    code = error_code(cell) if is_text else none
+    if kind == "text":
+        shown = text.display(cell, "number" if numeric else "bool" if flag else "text" if is_text else "date" if isinstance(stored, T.DateType) else "datetime")
+        return F.when(~blank(shown, True) & code.isNull(), shown), code, never
+    if kind == "boolean":
+        value = cell if flag else F.when(F.lower(clean(cell)) == "true", True).when(F.lower(clean(cell)) == "false", False)
+        left = ~blank(cell.cast("string"), True)
+    elif kind in ("date", "datetime"):
+        if isinstance(stored, T.DateType | T.TimestampNTZType | T.TimestampType):
+            value = cell.cast("date" if kind == "date" else "timestamp_ntz")
+        elif numeric:
+            value = (serial_date if kind == "date" else serial_datetime)(cell.cast("double"), system)
+        else:
+            value = F.lit(None).cast("date" if kind == "date" else "timestamp_ntz") if flag else (date if kind == "date" else datetime)(cell, day_first)
+        left = ~is_null_token(cell)
+    else:
+        if numeric:
+            return cell.cast("double") / scale, none, never
+        parts = _number_parts(cell)
+        value = F.lit(None).cast("double") if not is_text else F.when(parts["kind"] == "percent", parts["value"]).otherwise(parts["value"] / scale)
+        left = ~is_null_token(cell)
+    code = F.coalesce(code, F.when(value.isNull() & left, misfit))
+    read = value.isNotNull() & code.isNull() if is_text and kind in ("number", "currency", "percent") else never
+    return F.when(code.isNull(), value), code, read
+
+
+def load(
+    df: DataFrame, kinds: dict[str, str], percent_scale: dict[str, int] | None = None, day_first: dict[str, bool] | None = None, date_system: int = 1900
+) -> DataFrame:
+    """A table of cells with typed columns: number, percent, currency, date, datetime, boolean or text.
 
-    A cell that doesn't fit becomes an error (#VALUE!) in the column beside.
+    Cells are texts, or values of the column's type; numbers in a date column are days of ``date_system``.  Error codes
+    are errors in any column.  A cell that doesn't fit becomes an error (#VALUE!).  Errors stand in a column beside.
     """
     out = []
     for c, kind in kinds.items():
-        cell = F.col(f"`{c}`")
-        if kind == "text":
-            out.append(F.when(clean(cell) != "", cell.cast("string")).alias(c))
-            continue
-        if kind == "date":
-            value = date(cell, c in day_first)
-        elif kind == "boolean":
-            value = F.when(F.lower(clean(cell)).isin("true", "yes"), True).when(F.lower(clean(cell)).isin("false", "no"), False)
-        else:
-            value = number(cell)
-            scale = (percent_scale or {}).get(c, 1)
-            if kind == "percent" and scale != 1:
-                value = F.when(clean(cell).rlike(PERCENT), value).otherwise(value / scale)
-        code = F.coalesce(error_code(cell), F.when(value.isNull() & ~is_null_token(cell), F.lit("#VALUE!")))
-        out += [F.when(code.isNull(), value).alias(c), code.alias(ERROR + c)]
+        value, code, _ = _converted(df, c, kind, (percent_scale or {}).get(c, 1), (day_first or {}).get(c), date_system)
+        out += [value.alias(c), code.alias(ERROR + c)]
     return df.select(*out)
 
 
-__all__ = ["date", "day_first_evidence", "error_code", "load", "number", "serial_date", "unit"]
+def load_notes(
+    df: DataFrame, kinds: dict[str, str], percent_scale: dict[str, int] | None = None, day_first: dict[str, bool] | None = None, date_system: int = 1900
+) -> DataFrame:
+    """column, text_numbers (stored as text and read as numbers), unreadable (cells that don't fit) of what ``load`` reads; one pass."""
+    asked, names = [], []
+    for i, (c, kind) in enumerate(kinds.items()):
+        _, code, read = _converted(df, c, kind, (percent_scale or {}).get(c, 1), (day_first or {}).get(c), date_system)
+        own = error_code(F.col(f"`{c}`")) if isinstance(df.schema[c].dataType, T.StringType) else F.lit(None)
+        asked += [F.count_if(read).alias(f"t{i}"), F.count_if((code == "#VALUE!") & own.isNull()).alias(f"u{i}")]
+        names.append(F.struct(F.lit(c).alias("column"), F.col(f"t{i}").alias("text_numbers"), F.col(f"u{i}").alias("unreadable")))
+    return df.agg(*asked).select(F.explode(F.array(*names)).alias("x")).select("x.*")
+
+
+def notes(counted: DataFrame) -> tuple[tuple[str, int], ...]:
+    """What an entity says of its loading, from ``load_notes``."""
+    text_numbers, unreadable = counted.agg(F.coalesce(F.sum("text_numbers"), F.lit(0)), F.coalesce(F.sum("unreadable"), F.lit(0))).first()
+    return (("numbers stored as text were read as numbers", text_numbers), ("cells that don't fit their column count as #VALUE!", unreadable))
+
+
+__all__ = ["date", "date_layout", "datetime", "day_first_evidence", "error_code", "load", "load_notes", "notes", "number", "number_kind", "serial_date", "serial_datetime", "unit"]

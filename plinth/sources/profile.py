@@ -15,11 +15,19 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import cells as rules
-from . import cells
+from . import cells, workbook
 
 MAX_CATEGORIES, EXEMPLARS, EXEMPLAR_LENGTH = 50, 5, 64
-PERCENT_NAME = re.compile(r"(^|_|\b)(pct|percent|percentage|rate|share)(_|\b|$)|%", re.IGNORECASE)
-CURRENCY_NAME = re.compile(r"amount|price|cost|revenue|salary|budget|value|total", re.IGNORECASE)
+#: Names of columns that hold percents or money (fixed words).
+PERCENT_WORDS, MONEY_WORDS = ("pct", "percent", "percentage", "rate"), ("amount", "price", "cost", "revenue", "budget", "spend", "salary", "fee", "sales", "payment")
+
+
+def percent_name(name: str) -> bool:
+    return "%" in name or any(w in PERCENT_WORDS for w in re.split(r"[\s_\-()]+", name.lower()))
+
+
+def money_name(name: str) -> bool:
+    return any(w in name.lower() for w in MONEY_WORDS)
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,68 +44,160 @@ def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return _long(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _typed(df: DataFrame, c: str) -> Column:
+    """A cell as text if it is neither a null nor an error."""
+    cell = F.col(f"`{c}`")
+    if isinstance(df.schema[c].dataType, T.StringType):
+        return F.when(~cells.is_null_token(cell) & cells.error_code(cell).isNull(), F.lower(cells.clean(cell)))
+    whole = isinstance(df.schema[c].dataType, T.FractionalType)
+    shown = F.when(cell == F.floor(cell.cast("double")), cell.cast("decimal(38,0)").cast("string")).otherwise(cell.cast("string")) if whole else cell.cast("string")
+    return F.lower(shown)
+
+
+def typed_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n): how often each value occurs that is neither a null nor an error."""
+    keyed = [F.struct(F.lit(c).alias("column"), _typed(df, c).alias("value")) for c in columns]
+    rows = df.select(F.explode(F.array(*keyed)).alias("x")).select("x.column", "x.value").where("value is not null")
+    return rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _fraction(df: DataFrame, columns: list[str]) -> Column:
+    """The columns that hold a number with a fraction."""
+    some = [F.when(F.max(F.col(f"`{c}`").cast("double") != F.floor(F.col(f"`{c}`").cast("double"))), F.lit(c)) for c in columns if isinstance(df.schema[c].dataType, T.FractionalType)]
+    return F.array_compact(F.array(*some)) if some else F.array().cast("array<string>")
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """column, type, rows, nulls, distinct, categorical, key (a candidate) of each column, as a DataFrame."""
+    """column, type, rows, nulls, errors, distinct, categorical, key (a candidate) of each column of a typed table.
+
+    A key has two values at least, no nulls, no errors, no repeats, and is text or whole numbers.
+    """
     columns = [f.name for f in df.schema if not f.name.startswith("__") and isinstance(f.dataType, T.AtomicType)]
-    counts = distinct_values(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("typed"))
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    types = [F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type")) for c in columns]
-    named = rows.select("rows", F.explode(F.array(*types)).alias("x")).select("x.column", "x.type", "rows")
+    counts = typed_values(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("typed"))
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    wrong = [F.count_if(cells.error_code(F.col(f"`{c}`")).isNotNull()).alias(f"e{i}") for i, c in enumerate(texts)]
+    rows = df.agg(F.count(F.lit(1)).alias("rows"), _fraction(df, columns).alias("fractions"), *wrong)
+    errors = {c: F.col(f"e{i}") for i, c in enumerate(texts)}
+    types = [F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"), F.lit(isinstance(df.schema[c].dataType, T.NumericType)).alias("number"), errors.get(c, F.lit(0).cast("long")).alias("errors")) for c in columns]
+    named = rows.select("rows", "fractions", F.explode(F.array(*types)).alias("x")).select("x.*", "rows", "fractions")
     joined = named.join(counts, "column", "left").fillna(0, ["distinct", "typed"])
-    whole = F.col("type").isin("string", "int", "bigint", "smallint", "tinyint")
+    is_text = F.col("type") == "string"
+    whole = F.col("number") & ~F.array_contains("fractions", F.col("column"))
     return joined.select(
-        "column", "type", "rows", (F.col("rows") - F.col("typed")).alias("nulls"), "distinct",
-        ((F.col("type") == "string") & (F.col("distinct") <= MAX_CATEGORIES) & (F.col("distinct") <= F.greatest(F.lit(2.0), 0.6 * F.col("typed")))).alias("categorical"),
-        (whole & (F.col("rows") >= 2) & (F.col("typed") == F.col("rows")) & (F.col("distinct") == F.col("rows"))).alias("key"),
+        "column", "type", "rows", (F.col("rows") - F.col("typed") - F.col("errors")).alias("nulls"), "errors", "distinct",
+        (is_text & (F.col("distinct") <= MAX_CATEGORIES) & (F.col("distinct") <= F.greatest(F.lit(2.0), 0.6 * F.col("typed")))).alias("categorical"),
+        ((is_text | whole) & (F.col("typed") >= 2) & (F.col("typed") == F.col("rows")) & (F.col("distinct") == F.col("typed"))).alias("key"), whole.alias("whole"),
     )
 
 
 def cell_class(c: Column) -> Column:
-    """null, error, boolean, percent, currency, number, date or string, of a text cell."""
+    """null, error, boolean, percent, currency, number, date, datetime or string, of a text cell."""
     t = cells.clean(c)
-    return (
-        F.when(cells.error_code(c).isNotNull(), "error").when(cells.is_null_token(c), "null").when(F.lower(t).isin("true", "false"), "boolean")
-        .when(t.rlike(cells.PERCENT), "percent").when(t.rlike(cells.CURRENCY), "currency").when(cells.number(c).isNotNull(), "number")
-        .when(F.coalesce(cells.date(c), cells.date(c, True)).isNotNull(), "date").otherwise("string")
-    )
+    first = F.when(cells.error_code(c).isNotNull(), "error").when(cells.is_null_token(c), "null").when(F.lower(t).isin("true", "false"), "boolean")
+    layout = cells.date_layout(c)
+    return F.coalesce(first, cells.number_kind(c), F.when(layout == "yyyy-mm-dd hh:mm", "datetime").when(layout.isNotNull(), "date"), F.lit("string"))
 
 
-def infer(df: DataFrame) -> list[dict]:
-    """What kind each text column of an untyped table is, with its flags; one pass over all columns."""
-    classes = ("null", "error", "boolean", "percent", "currency", "number", "date", "string")
-    asked = []
-    for i, c in enumerate(df.columns):
-        cell = F.col(f"`{c}`")
-        kind = cell_class(cell)
-        asked += [F.count_if(kind == k).alias(f"{k}{i}") for k in classes]
-        asked += [F.count_if(cells.day_first_evidence(cell)).alias(f"day{i}"), F.count_if(~cells.day_first_evidence(cell)).alias(f"month{i}")]
-        asked += [F.max(cells.number(cell)).alias(f"max{i}"), F.max(cells.unit(cell)).alias(f"unit{i}")]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *asked).first()
-    distinct = {r["column"]: r for r in profile(df).collect()}
-    out = []
+CLASSES = ("null", "error", "boolean", "percent", "currency", "number", "date", "datetime", "string")
+
+
+def _classes(df: DataFrame, c: str, format_kind: str) -> Column:
+    """The class of each cell: of texts by what they show, of other values by their type and the column's number format."""
+    kind, cell = df.schema[c].dataType, F.col(f"`{c}`")
+    if isinstance(kind, T.StringType):
+        return cell_class(cell)
+    if isinstance(kind, T.NumericType):
+        own = format_kind if format_kind in ("percent", "currency", "date", "datetime") else "number"
+    else:
+        own = "boolean" if isinstance(kind, T.BooleanType) else "date" if isinstance(kind, T.DateType) else "datetime"
+    return F.when(cell.isNull(), "null").otherwise(own)
+
+
+def infer(df: DataFrame, formats: dict[str, str] | None = None, formulas: dict[str, float] | None = None) -> list[dict]:
+    """What kind each column of an untyped table is, with its flags and warnings; one pass over all columns.
+
+    ``formats``: number formats of columns; ``formulas``: the share of a column's cells that are computed.  Cells are
+    texts, or values of the column's type.
+    """
+    formats, asked = formats or {}, []
+    spark, told = df.sparkSession, {c: ("general", None) for c in df.columns}
+    if formats:
+        said = spark.range(1).select(*[x for f in formats.values() for x in (workbook.format_class(F.lit(f)), workbook.format_unit(F.lit(f)))]).first()
+        told |= {c: (said[2 * i], said[2 * i + 1]) for i, c in enumerate(formats)}
+    read = []  # what each cell says, once; the counts refer to it
     for i, c in enumerate(df.columns):
-        n = {k: row[f"{k}{i}"] for k in classes}
-        typed = row["rows"] - n["null"] - n["error"]
-        numeric = n["percent"] + n["currency"] + n["number"]
-        few = distinct[c]["distinct"]
-        if not typed:
-            kind = "empty"
-        elif n["date"] >= 0.8 * typed:
-            kind = "date"
-        elif n["boolean"] >= 0.9 * typed:
-            kind = "boolean"
-        elif numeric >= 0.8 * typed:
-            named = "percent" if PERCENT_NAME.search(c) else "currency" if CURRENCY_NAME.search(c) else "number"
-            kind = "percent" if n["percent"] > numeric / 2 else "currency" if n["currency"] > numeric / 2 else named
+        cell, is_text = F.col(f"`{c}`"), isinstance(df.schema[c].dataType, T.StringType)
+        number = cell.cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None).cast("double")
+        none = F.lit(None).cast("string")
+        way, layout, units = (cells.day_first_evidence(cell), cells.date_layout(cell), cells.unit(cell)) if is_text else (F.lit(None).cast("boolean"), none, none)
+        read.append(F.struct(_classes(df, c, told[c][0]).alias("kind"), (cells.number(cell) if is_text else number).alias("value"), way.alias("way"), layout.alias("layout"), units.alias("unit")).alias(f"c{i}"))
+        kind, way, layout, units = (F.col(f"c{i}.{x}") for x in ("kind", "way", "layout", "unit"))
+        asked += [F.count_if(kind == k).alias(f"{k}{i}") for k in CLASSES]
+        dated = kind.isin("date", "datetime")
+        asked += [F.count_if(dated & way).alias(f"day{i}"), F.count_if(dated & ~way).alias(f"month{i}"), F.count_if(dated & (layout == "numeric") & way.isNull()).alias(f"either{i}"), F.collect_set(F.when(dated, layout)).alias(f"layouts{i}")]
+        counted = F.when(kind.isin("number", "percent", "currency"), F.col(f"c{i}.value"))
+        asked += [F.min(counted).alias(f"min{i}"), F.max(counted).alias(f"max{i}"), F.count_if(counted != F.floor(counted)).alias(f"fractions{i}")]
+        asked += [F.count_if(units == u).alias(f"{u}{i}") for u in UNITS]
+    row = df.select(*read).agg(F.count(F.lit(1)).alias("rows"), *asked).first()
+    distinct = {r["column"]: r["distinct"] for r in typed_values(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct")).collect()}
+    return [_inferred(df, c, {k[: -len(str(i))]: v for k, v in row.asDict().items() if re.fullmatch(rf"[A-Za-z]+{i}", k)}, row["rows"], distinct.get(c, 0), told[c], formats.get(c), (formulas or {}).get(c, 0.0)) for i, c in enumerate(df.columns)]
+
+
+UNITS = tuple(dict.fromkeys(cells.CURRENCY_UNITS.values()))
+
+
+def _inferred(df: DataFrame, c: str, n: dict, rows: int, few: int, told: tuple[str, str | None], format: str | None, computed: float) -> dict:
+    typed, numeric, dates = rows - n["null"] - n["error"], n["percent"] + n["currency"] + n["number"], n["date"] + n["datetime"]
+    is_text = isinstance(df.schema[c].dataType, T.StringType)
+    unit = scale = None
+    warnings = []
+    if not typed:
+        kind = "empty"
+    elif dates >= 0.8 * typed:
+        kind = "datetime" if n["datetime"] and n["datetime"] >= n["date"] else "date"
+        if n["day"] and n["month"]:
+            warnings.append("some dates have the day first and some the month")
+        elif n["either"] and not n["day"] and not n["month"]:
+            warnings.append("dates could have the day or the month first")
+        if len(n["layouts"]) > 1:
+            warnings.append("dates in several layouts")
+        if typed > dates:
+            warnings.append("values that are no dates")
+    elif n["boolean"] >= 0.9 * typed:
+        kind = "boolean"
+    elif numeric >= 0.8 * typed:
+        if 2 * n["percent"] >= numeric:
+            kind, scale = "percent", 1
+        elif percent_name(c) and n["min"] >= 0 and n["max"] <= 100:
+            kind, scale = "percent", 1 if n["max"] <= 1 else 100
+        elif 2 * n["currency"] >= numeric:
+            most = max(n[u] for u in UNITS)
+            kind, unit = "currency", next(u for u in UNITS if n[u] == most) if most else told[1]
+        elif money_name(c):
+            kind, unit = "currency", told[1]
+            if unit is None:
+                warnings.append("money without a unit")
         else:
-            kind = "categorical" if few <= MAX_CATEGORIES and few <= max(2, 0.6 * typed) else "string"
-        out.append({
-            "column": c, "kind": kind, "rows": row["rows"], "null_rate": round(n["null"] / row["rows"], 4) if row["rows"] else 0.0, "distinct": few,
-            "unit": row[f"unit{i}"] if kind == "currency" else None, "percent_scale": (100 if (row[f"max{i}"] or 0) > 1 and not n["percent"] else 1) if kind == "percent" else None,
-            "day_first": row[f"day{i}"] > 0 and row[f"month{i}"] == 0 if kind == "date" else None, "mixed_date_order": kind == "date" and row[f"day{i}"] > 0 and row[f"month{i}"] > 0,
-            "may_contain_errors": n["error"] > 0, "numbers_as_text": kind in ("string", "categorical") and numeric > 0, "key": distinct[c]["key"] and n["error"] == 0,
-        })
-    return out
+            kind = "number"
+        if n["currency"] and 2 * n["currency"] < numeric:
+            warnings.append("currency signs on a few values")
+        if typed > numeric:
+            warnings.append("values that are no numbers")
+    else:
+        kind = "categorical" if few <= MAX_CATEGORIES and few <= max(2, 0.6 * typed) else "string"
+        if dates and dates >= 0.2 * typed:
+            warnings.append("dates among text")
+    as_text = kind in ("number", "currency", "percent") and is_text and format == "@"
+    warnings += ["error cells"] * (n["error"] > 0) + ["numbers stored as text"] * as_text
+    label = "dd/mm and mm/dd" if n["day"] and n["month"] else "dd/mm" if n["day"] else "mm/dd" if n["month"] else "dd/mm or mm/dd"
+    key = typed >= 2 and not n["null"] and not n["error"] and few == typed and (kind in ("string", "categorical") or (kind == "number" and not n["fractions"]))
+    return {
+        "column": c, "kind": kind, "rows": rows, "null_rate": round((n["null"] + n["error"]) / rows, 4) if rows else 0.0, "distinct": few, "unit": unit, "percent_scale": scale,
+        "day_first": (n["day"] > 0 if bool(n["day"]) != bool(n["month"]) else None) if kind in ("date", "datetime") else None,
+        "mixed_date_order": kind in ("date", "datetime") and n["day"] > 0 and n["month"] > 0,
+        "date_formats": sorted(label if f == "numeric" else f for f in n["layouts"]) if kind in ("date", "datetime") else None,
+        "may_contain_errors": n["error"] > 0, "numbers_as_text": as_text, "formula": computed >= 0.5, "key": key, "warnings": warnings,
+    }
 
 
 def exemplars(df: DataFrame) -> DataFrame:
@@ -108,30 +208,35 @@ def exemplars(df: DataFrame) -> DataFrame:
     return ranked.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
 
 
+def _tokens(name: Column) -> Column:
+    return F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & (t != "id"))
+
+
 def join_candidates(tables: dict[str, DataFrame], least: float = 0.8, most: int = 50) -> DataFrame:
-    """from_table, from_column, to_table, to_column, overlap, confidence: columns whose values lie in a key of another table.
+    """from_table, from_column, to_table, to_column, cardinality, overlap, confidence: columns whose values lie in a key of another table.
 
-    All columns go into one long table of distinct values, which is joined with itself on the value.  Numbers
-    need related names, which is checked before rows meet.
+    All columns of text and of whole numbers go into one long table of distinct values, which is joined with itself on the
+    value; both sides have two values at least.  Numbers need related names (a word in common), which is checked before
+    rows meet; texts with unrelated names count for 0.9.  Of a pair that fits both ways the surer one is kept.
     """
-    parts, keys = [], []
+    values = about = None
     for name, df in tables.items():
-        found = profile(df).where(F.col("type").isin("string", "int", "bigint")).select(F.lit(name).alias("table"), "column", "type", "distinct", "key")
-        keys.append(found)
-        columns = [f.name for f in df.schema if f.dataType.simpleString() in ("string", "int", "bigint")]
-        parts.append(distinct_values(df, columns).select(F.lit(name).alias("table"), "column", "value"))
-    values, about = parts[0], keys[0]
-    for p, k in zip(parts[1:], keys[1:], strict=True):
-        values, about = values.unionByName(p), about.unionByName(k)
-    text = F.col("type") == "string"
-    stem = F.regexp_replace(F.lower("column"), r"^[a-z]{1,2}_|_?(id|key|code|no)$", "")
-    about = about.withColumns({"text": text, "stem": stem})
-    left = values.join(about, ["table", "column"]).select(*[F.col(c).alias(f"from_{c}") for c in ("table", "column", "distinct", "text", "stem")], "value")
-    right = values.join(about.where("key"), ["table", "column"]).select(*[F.col(c).alias(f"to_{c}") for c in ("table", "column", "text", "stem")], "value")
-    related = (F.col("from_text") & F.col("to_text")) | (~F.col("from_text") & ~F.col("to_text") & (F.col("from_stem") == F.col("to_stem")))
-    met = left.join(right, "value").where(F.col("from_table") != F.col("to_table")).where(related)
-    counted = met.groupBy("from_table", "from_column", "to_table", "to_column", "from_distinct").agg(F.count(F.lit(1)).alias("common"))
+        columns = [f.name for f in df.schema if isinstance(f.dataType, T.StringType | T.NumericType)]
+        found = profile(df).where((F.col("type") == "string") | F.col("whole")).where("distinct >= 2").select(F.lit(name).alias("table"), "column", (F.col("type") == "string").alias("text"), "distinct", "key")
+        part = typed_values(df, columns).select(F.lit(name).alias("table"), "column", "value")
+        values, about = (part, found) if values is None else (values.unionByName(part), about.unionByName(found))
+    about = about.withColumns({"tokens": _tokens(F.col("column")), "plain": F.regexp_replace(F.lower("column"), "[^a-z0-9]", "")})
+    side = lambda way, rows: values.join(F.broadcast(rows), ["table", "column"]).select(*[F.col(c).alias(f"{way}_{c}") for c in rows.columns], "value")  # noqa: E731  one row a column
+    left, right = side("from", about), side("to", about.where("key"))
+    related = F.arrays_overlap("from_tokens", "to_tokens") | (F.col("from_plain") == F.col("to_plain"))
+    pairs = left.join(right, "value").where((F.col("from_table") != F.col("to_table")) & (F.col("from_text") == F.col("to_text")) & (F.col("from_text") | related))
+    by = ["from_table", "from_column", "to_table", "to_column", "from_distinct", "from_key", related.alias("related")]
+    counted = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("common"))
     overlap = F.col("common") / F.col("from_distinct")
-    confidence = overlap * (0.6 + 0.4 * F.least(F.lit(1.0), F.col("from_distinct") / 5))
-    out = counted.withColumns({"overlap": overlap, "confidence": confidence}).where(F.col("overlap") >= least)
-    return out.select("from_table", "from_column", "to_table", "to_column", "overlap", "confidence").orderBy(F.desc("confidence"), "from_table", "from_column", "to_table", "to_column").limit(most)
+    confidence = overlap * (0.6 + 0.4 * F.least(F.lit(1.0), F.col("from_distinct") / 5)) * F.when(F.col("related"), 1.0).otherwise(0.9)
+    out = counted.withColumns({"overlap": F.round(overlap, 2), "confidence": F.round(confidence, 2)}).where(overlap >= least)
+    ends = F.array_sort(F.array(F.concat_ws(".", "from_table", "from_column"), F.concat_ws(".", "to_table", "to_column")))
+    order = [F.desc("confidence"), "from_table", "from_column", "to_table", "to_column"]
+    once = out.withColumn("_nth", F.row_number().over(Window.partitionBy(ends).orderBy(*order))).where("_nth = 1")
+    cardinality = F.when(F.col("from_key"), "one-to-one").otherwise("many-to-one")
+    return once.select("from_table", "from_column", "to_table", "to_column", cardinality.alias("cardinality"), "overlap", "confidence").orderBy(*order).limit(most)

@@ -15,10 +15,11 @@ Blocks of one sheet (not its cells) are put together in one array.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.cells import bare, blank
 from .profile import cell_class
 
 TOTAL = r"(?i)\b(grand\s*total|sub-?\s*total|total)s?\b"
@@ -65,7 +66,7 @@ def rows_by_role(cells: DataFrame) -> DataFrame:
     ``cells``: sheet, row, col, value (text).  A row has one role in each region that it crosses; titles and notes
     outside of regions have none (null).
     """
-    there = cells.where(F.trim("value") != "").select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value", cell_class(F.col("value")).alias("kind"))
+    there = cells.where(~blank(F.col("value"), True)).select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value", cell_class(F.col("value")).alias("kind"))
     placed = _islands(_islands(there, ["sheet"], "row", "band"), ["sheet", "band"], "col", "part")
     row = placed.groupBy("sheet", "band", "part", "row").agg(
         F.count(F.lit(1)).alias("filled"), F.count_if(F.col("kind") == "string").alias("texts"), F.max(F.col("value").rlike(TOTAL)).alias("total"), F.min("col").alias("c0"), F.max("col").alias("c1"),
@@ -108,3 +109,29 @@ def regions(cells: DataFrame) -> DataFrame:
         F.min(F.when(is_("data"), F.col("row"))).alias("first_row"), F.max(F.when(is_("data"), F.col("row"))).alias("last_row"), F.first("box.left").alias("first_col"), F.first("box.right").alias("last_col"),
         F.count_if(is_("data")).alias("rows"), F.count_if(is_("totals", "label", "title")).alias("skipped"),
     )
+
+
+def _letters(col: Column) -> Column:
+    """The letters of a column, the first one being 1: A, Z, AA, ..."""
+    n = col.cast("int")
+    digit = lambda x: F.chr(F.lit(65) + x)
+    two = F.concat(F.when(n > 26, digit(F.floor((n - 27) / 26) % 26)).otherwise(""), digit((n - 1) % 26))
+    return F.concat(F.when(n > 702, digit(F.floor((n - 703) / 676))).otherwise(""), two)
+
+
+def headers(cells: DataFrame) -> DataFrame:
+    """sheet, region, col, name of the columns of each table: the header's text, after the label of its group if there is one.
+
+    A blank one is named by the column's letters; of equal names (ignoring case) the later ones are numbered.
+    """
+    roles = rows_by_role(cells).where("region is not null")
+    text = cells.where(~blank(F.col("value"), True)).select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), bare(F.col("value")).alias("value"))
+    box = roles.select("sheet", "region", "box").distinct()
+    wide = box.select("sheet", "region", F.explode(F.sequence("box.left", "box.right")).alias("col"))
+    of = lambda role, name: roles.where(F.col("role") == role).select("sheet", "region", "row", "box").join(text, ["sheet", "row"]).where(F.col("col").between(F.col("box.left"), F.col("box.right"))).select("sheet", "region", "col", F.col("value").alias(name))
+    named = wide.join(of("header", "own"), ["sheet", "region", "col"], "left").join(of("group", "label"), ["sheet", "region", "col"], "left")
+    along = Window.partitionBy("sheet", "region").orderBy("col")
+    own = F.coalesce("own", F.concat(F.lit("Column "), _letters(F.col("col"))))
+    full = named.withColumn("name", F.concat_ws(" ", F.last("label", ignorenulls=True).over(along), own))
+    nth = F.row_number().over(Window.partitionBy("sheet", "region", F.lower("name")).orderBy("col"))
+    return full.withColumn("_nth", nth).select("sheet", "region", "col", F.when(F.col("_nth") > 1, F.concat("name", F.lit(" ("), "_nth", F.lit(")"))).otherwise(F.col("name")).alias("name"))
