@@ -7,6 +7,8 @@ a filter keeps what is true.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ BEYOND = 1_000_000_000
 WHITE = "\t\n\x0b\x0c\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once a row, however often ``then`` names it: large expressions stay small."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def bare(c: Column) -> Column:
     """Text without white space at its ends."""
     return F.trim(c, F.lit(WHITE))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.cells import bare, blank
+from ..functions.cells import bare, blank, once
 from ..model import ERROR
 
 #: Texts that stand for nothing (fixed values).
@@ -37,145 +37,132 @@ def is_null_token(c: Column) -> Column:
     return c.isNull() | F.lower(clean(c)).isin(*NULL_TOKENS)
 
 
-def _number_parts(c: Column) -> dict[str, Column]:
-    """kind (number, percent, currency or null), value and unit of a text cell.
+def number_parts(c: Column) -> Column:
+    """kind (number, percent, currency or null), value and unit of a text cell, as a struct.
 
     The digits are read once; what stands around them says what they are: a sign, one currency sign (before
     or after), a percent sign, or parentheses for a negative.
     """
-    t = clean(c)
-    part = lambda i: F.regexp_extract(t, _AROUND, i)
-    digits, before, after = part(2), F.lower(F.regexp_replace(part(1), r"\s", "")), F.lower(F.regexp_replace(part(3), r"\s", ""))
-    right = (digits != "") & (~digits.contains(",") | digits.rlike(f"^{_GROUPED}$"))
-    size = F.regexp_replace(digits, ",", "").try_cast("double")
-    minus, sign = before.contains("-"), F.regexp_replace(before, "[-+]", "")
-    few = F.length(before) - F.length(sign)
-    exponent = F.regexp_extract(t, r"^[-+]?[0-9]+(?:\.[0-9]+)?[eE][-+]?[0-9]+$", 0)
     known = F.create_map(*[F.lit(x) for pair in CURRENCY_UNITS.items() for x in pair])
     coded = [x for x in CURRENCY_UNITS if x not in ("$", "us$", "rs", "rs.", "¥")]  # those that may stand behind
-    unit = F.when((after == "") & (few <= 2), known[sign]).when((sign == "") & (few <= 1) & after.isin(*coded), known[after])
-    number_sign = (sign == "") & (few <= 1) & ~part(1).rlike(r"\s")
-    zero = F.regexp_extract(t, r"^[-+]?0[0-9]", 0) != ""  # an identifier or a postcode
-    tight = ~part(3).rlike(r"\s\S*\s|%\s")
-    kind = (
-        F.when(exponent != "", F.when(~zero, "number")).when(~right, None).when(number_sign & (after == "%") & tight, "percent").when(unit.isNotNull(), "currency")
-        .when(zero, None).when(number_sign & (part(3) == ""), "number").when((part(1) == "(") & (part(3) == ")"), "number")
-    )
-    signed = F.when(minus | (part(1) == "("), -size).otherwise(size)
-    value = F.when(exponent != "", exponent.try_cast("double")).when(kind == "percent", signed / 100).otherwise(signed)
-    return {"kind": kind, "value": F.when(kind.isNotNull(), value), "unit": F.when(kind == "currency", unit)}
-
 
-def number_kind(c: Column) -> Column:
-    """number, percent or currency, or null for other text (as for numbers with leading zeros)."""
-    return _number_parts(c)["kind"]
+    def around(t: Column) -> Column:
+        part = lambda i: F.regexp_extract(t, _AROUND, i)
+        return F.struct(t.alias("t"), part(1).alias("left"), part(2).alias("digits"), part(3).alias("right"), F.regexp_extract(t, r"^[-+]?[0-9]+(?:\.[0-9]+)?[eE][-+]?[0-9]+$", 0).alias("power"))
+
+    def marks(x: Column) -> Column:
+        before, after = (F.lower(F.regexp_replace(x[side], r"\s", "")) for side in ("left", "right"))
+        sign = F.regexp_replace(before, "[-+]", "")
+        return F.struct(
+            x.alias("x"), sign.alias("sign"), (F.length(before) - F.length(sign)).alias("few"), after.alias("after"), before.contains("-").alias("minus"), F.regexp_replace(x["digits"], ",", "").try_cast("double").alias("size"),
+            ((x["digits"] != "") & (~x["digits"].contains(",") | x["digits"].rlike(f"^{_GROUPED}$"))).alias("fine"), x["t"].rlike(r"^[-+]?0[0-9]").alias("zero"),  # an identifier or a postcode
+        )
+
+    def told(m: Column) -> Column:
+        x = m["x"]
+        unit = F.when((m["after"] == "") & (m["few"] <= 2), known[m["sign"]]).when((m["sign"] == "") & (m["few"] <= 1) & m["after"].isin(*coded), known[m["after"]])
+        plain = (m["sign"] == "") & (m["few"] <= 1) & ~x["left"].rlike(r"\s")
+        kind = (
+            F.when(x["power"] != "", F.when(~m["zero"], "number")).when(~m["fine"], None).when(plain & (m["after"] == "%"), "percent").when(unit.isNotNull(), "currency")
+            .when(m["zero"], None).when(plain & (x["right"] == ""), "number").when((x["left"] == "(") & (x["right"] == ")"), "number")
+        )
+        return F.struct(m.alias("m"), kind.alias("kind"), unit.alias("unit"))
+
+    def valued(k: Column) -> Column:
+        m, kind = k["m"], k["kind"]
+        signed = F.when(m["minus"] | (m["x"]["left"] == "("), -m["size"]).otherwise(m["size"])
+        value = F.when(m["x"]["power"] != "", m["x"]["power"].try_cast("double")).when(kind == "percent", signed / 100).otherwise(signed)
+        return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), value).alias("value"), F.when(kind == "currency", k["unit"]).alias("unit"))
+
+    return once(clean(c), lambda t: once(around(t), lambda x: once(marks(x), lambda m: once(told(m), valued))))
 
 
 def number(c: Column) -> Column:
     """1,299 and (123) and 12% and $5 and 1e3; null for other text."""
-    return _number_parts(c)["value"]
+    return number_parts(c)["value"]
 
 
 def unit(c: Column) -> Column:
     """The currency code of a money text."""
-    return _number_parts(c)["unit"]
-
-
-# Dates.  Each layout gives the places of year, month and day in a pattern of its own, and a label.
+    return number_parts(c)["unit"]
 
 
+#: All layouts of dates in one pattern; a text fits one of them at most, so parts of the same sense can stand together.
 _WORD = "(" + "|".join(f"{m}|{m[:3]}" if len(m) > 3 else m for m in MONTHS) + "|sept)"
-_NAMED = {
-    "month day": (rf"(?i)^{_WORD}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})$", (3, 1, 2)),
-    "day month": (rf"(?i)^(\d{{1,2}})[-\s]{_WORD}\.?[-\s,]+(\d{{4}}|\d{{2}})$", (3, 2, 1)),
-    "year month": (rf"(?i)^(\d{{4}})[-\s]{_WORD}[-\s](\d{{1,2}})$", (1, 2, 3)),
-}
-_YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"
-_WITH_TIME = r"^(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{2})(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?$"
-_DIGITS = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})$"
-
-
-def _part(t: Column, pattern: str, i: int) -> Column:
-    return F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
-
-
-def _month(word: Column) -> Column:
-    first = F.lower(F.substring(word, 1, 3))
-    return F.when(word.isNotNull(), (F.position(first, F.lit("".join(m[:3] for m in MONTHS))) + 2) / 3).cast("int").cast("string")
+_DATE = "(?i)^(?:" + "|".join([
+    r"(\d{4})([-/])(\d{1,2})\2(\d{1,2})", r"(\d{1,2})([/.-])(\d{1,2})\6(\d{4}|\d{2})", rf"{_WORD}\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})",
+    rf"(\d{{1,2}})[-\s]{_WORD}\.?[-\s,]+(\d{{4}}|\d{{2}})", rf"(\d{{4}})[-\s]{_WORD}[-\s](\d{{1,2}})",
+    r"(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{2})(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?",
+]) + ")$"
+_PARTS = {"year": "$1$8$11$14$15$18", "month": "$3$19", "day": "$4$10$12$17$20", "a": "$5", "b": "$7", "word": "$9$13$16", "hour": "$21", "minute": "$22", "slash": "$2", "day_named": "$12", "year_named": "$15"}
+_MARK = "\x01"
 
 
-def _full_year(y: Column) -> Column:
-    return F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+def _dated(c: Column, then) -> Column:
+    """``then`` of the parts of a date in text: numbers (month and day as written or, for names, looked up) and texts, all null for other text."""
 
+    def numbers(p: Column) -> Column:
+        text_of = {n: F.nullif(F.get(p, i + 1), F.lit("")) for i, n in enumerate(_PARTS)}
+        number = lambda n: text_of[n].try_cast("int")
+        year = F.when(F.length(text_of["year"]) == 2, number("year") + 2000).otherwise(number("year"))
+        named = ((F.position(F.lower(F.substring(text_of["word"], 1, 3)), F.lit("".join(m[:3] for m in MONTHS))) + 2) / 3).cast("int")
+        fields = [year.alias("y"), F.coalesce(number("month"), named).alias("m"), number("day").alias("d"), *[number(n).alias(n) for n in ("a", "b", "hour", "minute")], *[text_of[n].alias(n) for n in ("year", "word", "slash", "day_named", "year_named")]]
+        return F.when(F.get(p, 0) == _MARK, F.struct(F.lower(F.get(p, 0)).alias("mark"), *fields))
 
-def _day(y: Column, m: Column, d: Column) -> Column:
-    """A date from texts; null if there is no such day, or its year isn't one of ``YEARS``."""
-    there = F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-M-d")).cast("date")
-    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull() & y.cast("int").between(*YEARS), there)
+    marked = F.regexp_replace(clean(c), _DATE, ";".join([_MARK, *_PARTS.values()]))
+    return once(F.split(marked, ";"), lambda p: once(numbers(p), then))
 
 
-def _layouts(c: Column, day_first: bool | None) -> list[Column]:
-    t = clean(c)
-    a, b, y = (_part(t, _DIGITS, i) for i in (1, 3, 4))
-    a_day, b_day = _day(_full_year(y), b, a), _day(_full_year(y), a, b)
-    if day_first is None:
-        digits = F.when(a.cast("int") > 12, a_day).when(b.cast("int") > 12, b_day)  # else nothing says which is which
-    else:
-        digits = a_day if day_first else b_day
-    named = []
-    for pattern, at in _NAMED.values():
-        y, m, d = (_part(t, pattern, i) for i in at)
-        named.append(_day(_full_year(y), _month(m), d))
-    return [_day(*(_part(t, _YEAR_FIRST, i) for i in (1, 3, 4))), digits, *named]
+def _day(x: Column, m: Column, d: Column) -> Column:
+    """The date; null if there is no such day, or its year isn't one of ``YEARS``."""
+    return F.when(x["y"].between(*YEARS), F.try_to_timestamp(F.concat_ws("-", x["y"].cast("string"), F.coalesce(m, F.lit(0)).cast("string"), F.coalesce(d, F.lit(0)).cast("string")), F.lit("yyyy-M-d")).cast("date"))
 
 
-def _timed(c: Column) -> tuple[Column, Column]:
-    """Day and minute of a text with a time of day; seconds and zones are read over."""
-    t = clean(c)
-    hour, minute = (_part(t, _WITH_TIME, i).cast("int") for i in (4, 5))
-    fits = (hour < 24) & (minute < 60)
-    return F.when(fits, _day(*(_part(t, _WITH_TIME, i) for i in (1, 2, 3)))), hour * 60 + minute
+def _any_day(x: Column, day_first: bool | None) -> Column:
+    first, last = _day(x, x["b"], x["a"]), _day(x, x["a"], x["b"])
+    digits = first if day_first else last if day_first is not None else F.when(x["a"] > 12, first).when(x["b"] > 12, last)  # else nothing says which is which
+    timely = x["hour"].isNull() | ((x["hour"] < 24) & (x["minute"] < 60))
+    return F.when(x["a"].isNotNull(), digits).when(timely, _day(x, x["m"], x["d"]))
 
 
 def date(c: Column, day_first: bool | None = None) -> Column:
     """The day that a text shows; digits-only ones by ``day_first`` or, if that is None, where just one reading is possible."""
-    return F.coalesce(*_layouts(c, day_first), _timed(c)[0])
+    return _dated(c, lambda x: _any_day(x, day_first))
 
 
 def datetime(c: Column, day_first: bool | None = None) -> Column:
-    """The day and, if there is one, the time that a text shows."""
-    day, minute = _timed(c)
-    at = day.cast("timestamp_ntz") + F.make_dt_interval(mins=minute)
-    return F.coalesce(at, *[d.cast("timestamp_ntz") for d in _layouts(c, day_first)])
+    """The day and, if there is one, the time that a text shows; seconds and zones are read over."""
+    return _dated(c, lambda x: _any_day(x, day_first).cast("timestamp_ntz") + F.make_dt_interval(mins=F.coalesce(x["hour"] * 60 + x["minute"], F.lit(0))))
 
 
-def is_datetime(c: Column) -> Column:
-    return _timed(c)[0].isNotNull()
+def _evidence(x: Column) -> Column:
+    return F.when((x["a"] > 12) & (x["b"] <= 12), True).when((x["b"] > 12) & (x["a"] <= 12), False)
 
 
 def date_layout(c: Column) -> Column:
     """A label of how a text shows a date: yyyy-mm-dd, numeric (digits only), Mon d yyyy, d-Month-yy and so on; null for no date."""
+    return date_signs(c)["layout"]
+
+
+def date_signs(c: Column) -> Column:
+    """layout, and way: whether the day is first in digits only (null where that can't be told)."""
     t = clean(c)
-    a, b, y = (_part(t, _DIGITS, i) for i in (1, 3, 4))
-    either = F.coalesce(_day(_full_year(y), b, a), _day(_full_year(y), a, b)).isNotNull()
-    gap = F.when(t.contains("-"), "-").otherwise(" ")
-    named = {}
-    for name, (pattern, at) in _NAMED.items():
-        y, m, d = (_part(t, pattern, i) for i in at)
-        word = F.when((F.length(m) > 3) & (F.lower(m) != "sept"), "Month").otherwise("Mon")
-        year = F.when(F.length(y) == 2, "yy").otherwise("yyyy")
-        label = {"month day": F.concat(word, F.lit(" d yyyy")), "day month": F.concat(F.lit("d"), gap, word, gap, year), "year month": F.concat(F.lit("yyyy"), gap, word, gap, F.lit("dd"))}
-        named[name] = F.when(_day(_full_year(y), _month(m), d).isNotNull(), label[name])
-    first = _day(*(_part(t, _YEAR_FIRST, i) for i in (1, 3, 4))).isNotNull()
-    shown = F.when(first, F.when(t.contains("/"), "yyyy/mm/dd").otherwise("yyyy-mm-dd"))
-    return F.coalesce(shown, F.when(is_datetime(c), "yyyy-mm-dd hh:mm"), F.when(either, "numeric"), *named.values())
+
+    def label(x: Column) -> Column:
+        gap = F.when(t.contains("-"), "-").otherwise(" ")
+        word = F.when((F.length(x["word"]) > 3) & (F.lower(x["word"]) != "sept"), "Month").otherwise("Mon")
+        year = F.when(F.length(x["year"]) == 2, "yy").otherwise("yyyy")
+        named = F.when(x["day_named"].isNotNull(), F.concat(F.lit("d"), gap, word, gap, year)).when(x["year_named"].isNotNull(), F.concat(F.lit("yyyy"), gap, word, gap, F.lit("dd"))).otherwise(F.concat(word, F.lit(" d yyyy")))
+        shown = F.when(x["hour"].isNotNull(), "yyyy-mm-dd hh:mm").when(x["slash"] == "/", "yyyy/mm/dd").when(x["slash"] == "-", "yyyy-mm-dd").otherwise(named)
+        either = F.coalesce(_day(x, x["b"], x["a"]), _day(x, x["a"], x["b"])).isNotNull()
+        return F.when(x["a"].isNotNull(), F.when(either, "numeric")).when(_any_day(x, None).isNotNull(), shown)
+
+    return _dated(c, lambda x: F.struct(label(x).alias("layout"), _evidence(x).alias("way")))
 
 
 def day_first_evidence(c: Column) -> Column:
     """True if the first part of a/b/yyyy can't be a month, false if the second can't be."""
-    t = clean(c)
-    a, b = (_part(t, _DIGITS, i).cast("int") for i in (1, 3))
-    return F.when((a > 12) & (b <= 12), True).when((b > 12) & (a <= 12), False)
+    return _dated(c, _evidence)
 
 
 def serial_date(serial: Column, system: int = 1900) -> Column:
@@ -216,12 +203,12 @@ def _converted(df: DataFrame, c: str, kind: str, scale: int, day_first: bool | N
     else:
         if numeric:
             return cell.cast("double") / scale, none, never
-        parts = _number_parts(cell)
-        value = F.lit(None).cast("double") if not is_text else F.when(parts["kind"] == "percent", parts["value"]).otherwise(parts["value"] / scale)
+        scaled = once(number_parts(cell), lambda x: F.when(x["kind"] == "percent", x["value"]).otherwise(x["value"] / scale))
+        value = scaled if is_text else F.lit(None).cast("double")
         left = ~is_null_token(cell)
-    code = F.coalesce(code, F.when(value.isNull() & left, misfit))
+    failed = F.coalesce(code, F.when(value.isNull() & left, misfit))
     read = value.isNotNull() & code.isNull() if is_text and kind in ("number", "currency", "percent") else never
-    return F.when(code.isNull(), value), code, read
+    return (F.when(code.isNull(), value) if is_text else value), failed, read
 
 
 def load(
@@ -258,4 +245,4 @@ def notes(counted: DataFrame) -> tuple[tuple[str, int], ...]:
     return (("numbers stored as text were read as numbers", text_numbers), ("cells that don't fit their column count as #VALUE!", unreadable))
 
 
-__all__ = ["date", "date_layout", "datetime", "day_first_evidence", "error_code", "load", "load_notes", "notes", "number", "number_kind", "serial_date", "serial_datetime", "unit"]
+__all__ = ["date", "date_layout", "datetime", "day_first_evidence", "error_code", "load", "load_notes", "notes", "number", "number_parts", "serial_date", "serial_datetime", "unit"]

@@ -92,20 +92,23 @@ def profile(df: DataFrame) -> DataFrame:
 
 def cell_class(c: Column) -> Column:
     """null, error, boolean, percent, currency, number, date, datetime or string, of a text cell."""
-    t = cells.clean(c)
-    first = F.when(cells.error_code(c).isNotNull(), "error").when(cells.is_null_token(c), "null").when(F.lower(t).isin("true", "false"), "boolean")
-    layout = cells.date_layout(c)
-    return F.coalesce(first, cells.number_kind(c), F.when(layout == "yyyy-mm-dd hh:mm", "datetime").when(layout.isNotNull(), "date"), F.lit("string"))
+    return _class(_word_class(c), cells.number_parts(c)["kind"], cells.date_layout(c))
+
+
+def _word_class(c: Column) -> Column:
+    return F.when(cells.error_code(c).isNotNull(), "error").when(cells.is_null_token(c), "null").when(F.lower(cells.clean(c)).isin("true", "false"), "boolean")
+
+
+def _class(word: Column, number: Column, layout: Column) -> Column:
+    return F.coalesce(word, number, rules.once(layout, lambda x: F.when(x == "yyyy-mm-dd hh:mm", "datetime").when(x.isNotNull(), "date")), F.lit("string"))
 
 
 CLASSES = ("null", "error", "boolean", "percent", "currency", "number", "date", "datetime", "string")
 
 
-def _classes(df: DataFrame, c: str, format_kind: str) -> Column:
-    """The class of each cell: of texts by what they show, of other values by their type and the column's number format."""
+def _plain_class(df: DataFrame, c: str, format_kind: str) -> Column:
+    """The class of each cell of a column that isn't text, by its type and the column's number format."""
     kind, cell = df.schema[c].dataType, F.col(f"`{c}`")
-    if isinstance(kind, T.StringType):
-        return cell_class(cell)
     if isinstance(kind, T.NumericType):
         own = format_kind if format_kind in ("percent", "currency", "date", "datetime") else "number"
     else:
@@ -127,15 +130,17 @@ def infer(df: DataFrame, formats: dict[str, str] | None = None, formulas: dict[s
     read = []  # what each cell says, once; the counts refer to it
     for i, c in enumerate(df.columns):
         cell, is_text = F.col(f"`{c}`"), isinstance(df.schema[c].dataType, T.StringType)
-        number = cell.cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None).cast("double")
-        none = F.lit(None).cast("string")
-        way, layout, units = (cells.day_first_evidence(cell), cells.date_layout(cell), cells.unit(cell)) if is_text else (F.lit(None).cast("boolean"), none, none)
-        read.append(F.struct(_classes(df, c, told[c][0]).alias("kind"), (cells.number(cell) if is_text else number).alias("value"), way.alias("way"), layout.alias("layout"), units.alias("unit")).alias(f"c{i}"))
-        kind, way, layout, units = (F.col(f"c{i}.{x}") for x in ("kind", "way", "layout", "unit"))
+        if is_text:
+            read += [_word_class(cell).alias(f"word_{i}"), cells.number_parts(cell).alias(f"n_{i}"), cells.date_signs(cell).alias(f"d_{i}")]
+            layout, way, units, value = (F.col(x) for x in (f"d_{i}.layout", f"d_{i}.way", f"n_{i}.unit", f"n_{i}.value"))
+            kind = F.coalesce(f"word_{i}", f"n_{i}.kind", F.when(layout == "yyyy-mm-dd hh:mm", "datetime").when(layout.isNotNull(), "date"), F.lit("string"))
+        else:
+            read += [_plain_class(df, c, told[c][0]).alias(f"word_{i}"), (cell if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None)).cast("double").alias(f"n_{i}")]
+            kind, value, layout, units, way = F.col(f"word_{i}"), F.col(f"n_{i}"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean")
         asked += [F.count_if(kind == k).alias(f"{k}{i}") for k in CLASSES]
         dated = kind.isin("date", "datetime")
         asked += [F.count_if(dated & way).alias(f"day{i}"), F.count_if(dated & ~way).alias(f"month{i}"), F.count_if(dated & (layout == "numeric") & way.isNull()).alias(f"either{i}"), F.collect_set(F.when(dated, layout)).alias(f"layouts{i}")]
-        counted = F.when(kind.isin("number", "percent", "currency"), F.col(f"c{i}.value"))
+        counted = F.when(kind.isin("number", "percent", "currency"), value)
         asked += [F.min(counted).alias(f"min{i}"), F.max(counted).alias(f"max{i}"), F.count_if(counted != F.floor(counted)).alias(f"fractions{i}")]
         asked += [F.count_if(units == u).alias(f"{u}{i}") for u in UNITS]
     row = df.select(*read).agg(F.count(F.lit(1)).alias("rows"), *asked).first()
