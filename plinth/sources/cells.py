@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,10 @@ YEARS = (1900, 2200)  # of dates in text
 #: One pattern takes a numeric cell apart: what is before the digits, the digits, and what is after them.
 _AROUND = r"(?s)^((?:[Rr][Ss]\.|[^0-9.])*)([0-9][0-9,]*(?:\.[0-9]+)?|\.[0-9]+)(.*)$"
 _GROUPED = r"[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?"
+#: Numbers with at most a sign before them, which need no taking apart, and what any other number fits: a wider pattern, cheap to check.
+PLAIN_NUMBER = r"^[-+]?(?:0|[1-9][0-9]*|[1-9][0-9]{0,2}(?:,[0-9]{3})+)(?:\.[0-9]+)?$"
+_LOOSE, _GAP = [r"[-+\s]*".join(map(re.escape, x)) for x in CURRENCY_UNITS], r"[-+\s]*"
+_NUMBER_LIKE = rf"(?is)^{_GAP}(?:{'|'.join([*_LOOSE, '[(]'])})?{_GAP}(?:[0-9][0-9,]*(?:\.[0-9]+)?|\.[0-9]+)(?:e[-+]?[0-9]+)?\s*(?:{'|'.join([*_LOOSE, '[%)]'])})?\s*$"
 
 
 def clean(c: Column) -> Column:
@@ -40,7 +46,7 @@ def is_null_token(c: Column) -> Column:
 def number_parts(c: Column) -> Column:
     """kind (number, percent, currency or null), value and unit of a text cell, as a struct.
 
-    The digits are read once; what stands around them says what they are: a sign, one currency sign (before
+    All null if it is no number.  The digits are read once; what stands around them says what they are: a sign, one currency sign (before
     or after), a percent sign, or parentheses for a negative.
     """
     known = F.create_map(*[F.lit(x) for pair in CURRENCY_UNITS.items() for x in pair])
@@ -74,7 +80,9 @@ def number_parts(c: Column) -> Column:
         value = F.when(m["x"]["power"] != "", m["x"]["power"].try_cast("double")).when(kind == "percent", signed / 100).otherwise(signed)
         return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), value).alias("value"), F.when(kind == "currency", k["unit"]).alias("unit"))
 
-    return once(clean(c), lambda t: once(around(t), lambda x: once(marks(x), lambda m: once(told(m), valued))))
+    t = clean(c)
+    plain = F.struct(F.lit("number").alias("kind"), F.regexp_replace(t, ",", "").try_cast("double").alias("value"), F.lit(None).cast("string").alias("unit"))
+    return F.when(t.rlike(PLAIN_NUMBER), plain).when(t.rlike(_NUMBER_LIKE), once(around(t), lambda x: once(marks(x), lambda m: once(told(m), valued))))
 
 
 def number(c: Column) -> Column:
@@ -96,6 +104,9 @@ _DATE = "(?i)^(?:" + "|".join([
 ]) + ")$"
 _PARTS = {"year": "$1$8$11$14$15$18", "month": "$3$19", "day": "$4$10$12$17$20", "a": "$5", "b": "$7", "word": "$9$13$16", "hour": "$21", "minute": "$22", "slash": "$2", "day_named": "$12", "year_named": "$15"}
 _MARK = "\x01"
+#: How any date begins, and days that need no calendar.
+_DATE_LIKE = r"(?i)^(?:\d{1,4}[-/.\s](?:\d{1,2}[-/.]|[a-z]{3})|[a-z]{3,9}\.?\s+\d)"
+_PLAIN_DATE = r"^(?:19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|1[0-9]|2[0-8])$"
 
 
 def _dated(c: Column, then) -> Column:
@@ -110,7 +121,7 @@ def _dated(c: Column, then) -> Column:
         return F.when(F.get(p, 0) == _MARK, F.struct(F.lower(F.get(p, 0)).alias("mark"), *fields))
 
     marked = F.regexp_replace(clean(c), _DATE, ";".join([_MARK, *_PARTS.values()]))
-    return once(F.split(marked, ";"), lambda p: once(numbers(p), then))
+    return F.when(clean(c).rlike(_DATE_LIKE), once(F.split(marked, ";"), lambda p: once(numbers(p), then)))
 
 
 def _day(x: Column, m: Column, d: Column) -> Column:
@@ -157,7 +168,8 @@ def date_signs(c: Column) -> Column:
         either = F.coalesce(_day(x, x["b"], x["a"]), _day(x, x["a"], x["b"])).isNotNull()
         return F.when(x["a"].isNotNull(), F.when(either, "numeric")).when(_any_day(x, None).isNotNull(), shown)
 
-    return _dated(c, lambda x: F.struct(label(x).alias("layout"), _evidence(x).alias("way")))
+    plain = F.struct(F.lit("yyyy-mm-dd").alias("layout"), F.lit(None).cast("boolean").alias("way"))
+    return F.when(t.rlike(_PLAIN_DATE), plain).otherwise(_dated(c, lambda x: F.struct(label(x).alias("layout"), _evidence(x).alias("way"))))
 
 
 def day_first_evidence(c: Column) -> Column:

@@ -95,6 +95,12 @@ def cell_class(c: Column) -> Column:
     return _class(_word_class(c), cells.number_parts(c)["kind"], cells.date_layout(c))
 
 
+def text_class(c: Column) -> Column:
+    """Whether a cell's class is string.  Only a text with a digit can be a number or a date."""
+    plain = cells.clean(c).rlike(cells.PLAIN_NUMBER)
+    return _word_class(c).isNull() & ~plain & (~c.rlike("[0-9]") | (cells.number_parts(c)["kind"].isNull() & cells.date_layout(c).isNull()))
+
+
 def _word_class(c: Column) -> Column:
     return F.when(cells.error_code(c).isNotNull(), "error").when(cells.is_null_token(c), "null").when(F.lower(cells.clean(c)).isin("true", "false"), "boolean")
 

@@ -10,7 +10,9 @@ first row is data and its header_row the row above.  Totals fill at most 70 % of
 the width, rounded up (all of three columns); a single text in a table of three
 columns or more labels a section.
 
-Blocks of one sheet (not its cells) are put together in one array.
+Cells are put together to runs of a row, which are dealt by their sheet once; what
+follows goes by sheet too and deals nothing again.  Blocks of one sheet (not its
+cells) are put together in one array.
 """
 
 from __future__ import annotations
@@ -20,20 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cells import bare, blank
-from .profile import cell_class
+from .profile import text_class
 
 TOTAL = r"(?i)\b(grand\s*total|sub-?\s*total|total)s?\b"
 MAX_GAP = 2
 _NO_BOXES = "cast(array() as array<struct<top:bigint,left:bigint,bottom:bigint,right:bigint>>)"
 
 
-def _islands(cells: DataFrame, keys: list[str], at: str, name: str) -> DataFrame:
-    """``cells`` with the number of the run of consecutive ``at`` that each is in."""
-    along = Window.partitionBy(*keys).orderBy(at)
-    places = cells.select(*keys, at).distinct().withColumn("_new", F.coalesce(F.col(at) - F.lag(at).over(along) > 1, F.lit(False)).cast("int"))
-    return cells.join(places.withColumn(name, F.sum("_new").over(along)).drop("_new"), [*keys, at])
-
-
 def _header_like(width):
     least = F.when(width == 1, 1).otherwise(F.greatest(F.lit(2), F.ceil(width * 0.5)))
     return (F.col("texts") == F.col("filled")) & (F.col("filled") >= least)
@@ -66,10 +61,18 @@ def rows_by_role(cells: DataFrame) -> DataFrame:
     ``cells``: sheet, row, col, value (text).  A row has one role in each region that it crosses; titles and notes
     outside of regions have none (null).
     """
-    there = cells.where(~blank(F.col("value"), True)).select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value", cell_class(F.col("value")).alias("kind"))
-    placed = _islands(_islands(there, ["sheet"], "row", "band"), ["sheet", "band"], "col", "part")
-    row = placed.groupBy("sheet", "band", "part", "row").agg(
-        F.count(F.lit(1)).alias("filled"), F.count_if(F.col("kind") == "string").alias("texts"), F.max(F.col("value").rlike(TOTAL)).alias("total"), F.min("col").alias("c0"), F.max("col").alias("c1"),
+    there = cells.where(~blank(F.col("value"), True)).select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), text_class(F.col("value")).alias("text"), F.col("value").rlike(TOTAL).alias("total")).dropna(subset=["sheet", "row", "col"])
+    after = lambda at, along: F.coalesce(F.col(at) - F.lag(at).over(along) > 1, F.lit(False)).cast("int")
+    in_row = Window.partitionBy("sheet", "row").orderBy("col")
+    runs = there.withColumn("_new", after("col", in_row)).withColumn("_run", F.sum("_new").over(in_row)).groupBy("sheet", "row", "_run").agg(
+        F.min("col").alias("c0"), F.max("col").alias("c1"), F.count(F.lit(1)).alias("filled"), F.count_if(F.col("text")).alias("texts"), F.max("total").alias("total"),
+    )
+    down = Window.partitionBy("sheet").orderBy("row")
+    banded = runs.withColumn("_new", after("row", down)).withColumn("band", F.sum("_new").over(down))
+    across = Window.partitionBy("sheet", "band").orderBy("c0")
+    gap = F.coalesce(F.col("c0") - F.max("c1").over(across.rowsBetween(Window.unboundedPreceding, -1)) > 1, F.lit(False)).cast("int")
+    row = banded.withColumn("_new", gap).withColumn("part", F.sum("_new").over(across)).groupBy("sheet", "band", "part", "row").agg(
+        F.sum("filled").alias("filled"), F.sum("texts").alias("texts"), F.max("total").alias("total"), F.min("c0").alias("c0"), F.max("c1").alias("c1"),
     )
     block = Window.partitionBy("sheet", "band", "part")
     boxed = row.withColumns({"top": F.min("row").over(block), "bottom": F.max("row").over(block), "left": F.min("c0").over(block), "right": F.max("c1").over(block)})
@@ -83,10 +86,9 @@ def rows_by_role(cells: DataFrame) -> DataFrame:
     sheets = blocks.groupBy("sheet").agg(F.array_sort(F.collect_list(told)).alias("blocks"))
     sheets = sheets.withColumn("found", F.aggregate("blocks", F.expr(_NO_BOXES), _merged))
     sheets = sheets.withColumn("found", F.filter("found", lambda r: ~F.exists("found", lambda o: (o != r) & _holds(o, r))))
-    region = F.array_position(F.transform("found", lambda o: _holds(o, F.col("b"))), True)
-    owner = sheets.select("sheet", "found", F.explode("blocks").alias("b")).withColumn("region", region).select("sheet", "b.band", "b.part", F.when(F.col("region") > 0, F.col("region")).alias("region"), F.get("found", (F.col("region") - 1).cast("int")).alias("box"))
-
-    rows = row.join(owner, ["sheet", "band", "part"]).groupBy("sheet", "region", "box", "row").agg(
+    region = F.array_position(F.transform("found", lambda o: _holds(o, F.struct("top", "left", "bottom", "right"))), True)
+    owned = boxed.join(sheets.select("sheet", "found"), "sheet").withColumn("region", region).withColumns({"region": F.when(F.col("region") > 0, F.col("region")), "box": F.get("found", (F.col("region") - 1).cast("int"))})
+    rows = owned.groupBy("sheet", "region", "box", "row").agg(
         F.sum("filled").alias("filled"), F.sum("texts").alias("texts"), F.max("total").alias("total"), F.min("c0").alias("c0"), F.max("c1").alias("c1"),
     )
     width = F.col("box.right") - F.col("box.left") + 1

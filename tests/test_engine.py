@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 from dataclasses import replace
 
 import duckdb
@@ -528,6 +529,21 @@ def test_regions_side_by_side(spark):
     assert got == [(0, 1, 1, 2, 0, 3, 2, 1), (0, 1, 1, 2, 5, 6, 2, 0), (8, 2, 9, 9, 0, 4, 1, 0), (12, 0, 13, 14, 0, 2, 2, 0), (18, 1, 19, 20, 0, 0, 2, 0)]
 
 
+def exchanged(df):
+    """The keys that a plan deals rows by, each distinct exchange once."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange (hashpartitioning\(.*?\)|\w+)", plan)}
+
+
+def test_regions_deal_cells_twice(spark):
+    """By row and by sheet, whatever follows; cells in any order, without a place, or given twice."""
+    cells_of = [("S", i, j, v) for i, row in enumerate([["A", "B"], ["1", "2"], ["3", "2024-05-31"]]) for j, v in enumerate(row)]
+    grid = spark.createDataFrame(cells_of[::-1] + [("S", None, 1, "x"), (None, 1, 1, "y"), ("S", 1, None, "z"), ("T", 5, 2, "A"), ("T", 6, 2, "1"), ("T", 6, 2, "1")], "sheet string, row int, col int, value string")
+    found = regions.regions(grid)
+    assert exchanged(found) <= {"hashpartitioning(sheet, row, 4)", "hashpartitioning(sheet, 4)"}
+    assert sorted(map(tuple, found.collect())) == [("S", 1, 0, 1, 1, 2, 0, 1, 2, 0), ("T", 1, 5, 1, 6, 6, 2, 2, 1, 0)]
+
+
 @pytest.mark.parametrize(
     ("format", "kind", "unit"),
     [
