@@ -126,13 +126,20 @@ def headers(cells: DataFrame) -> DataFrame:
 
     A blank one is named by the column's letters; of equal names (ignoring case) the later ones are numbered.
     """
-    roles = rows_by_role(cells).where("region is not null")
-    text = cells.where(~blank(F.col("value"), True)).select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), bare(F.col("value")).alias("value"))
-    box = roles.select("sheet", "region", "box").distinct()
-    wide = box.select("sheet", "region", F.explode(F.sequence("box.left", "box.right")).alias("col"))
-    of = lambda role, name: roles.where(F.col("role") == role).select("sheet", "region", "row", "box").join(text, ["sheet", "row"]).where(F.col("col").between(F.col("box.left"), F.col("box.right"))).select("sheet", "region", "col", F.col("value").alias(name))
-    named = wide.join(of("header", "own"), ["sheet", "region", "col"], "left").join(of("group", "label"), ["sheet", "region", "col"], "left")
+    row_of = lambda role: F.max(F.when(F.col("role") == role, F.col("row")))  # noqa: E731  a table has one of each at most
+    tables = rows_by_role(cells).where("region is not null").groupBy("sheet", "region", "box").agg(row_of("header").alias("header"), row_of("group").alias("group"))
+    asked = tables.select("sheet", "region", "box", F.explode(F.array(F.struct(F.col("header").alias("row"), F.lit(True).alias("top")), F.struct(F.col("group").alias("row"), F.lit(False).alias("top")))).alias("x"))
+    asked = asked.select("sheet", "region", "box", "x.*").where("top or row is not null")
+    text = cells.where(text_class(F.col("value")) & ~blank(F.col("value"), True)).select("sheet", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), bare(F.col("value")).alias("value"))
+    said = asked.join(text, ["sheet", "row"], "left")  # rows of headers and groups hold texts only; a table without one keeps its box
+    inside = F.col("col").between(F.col("box.left"), F.col("box.right"))
+    told = said.groupBy("sheet", "region").agg(F.first("box").alias("box"), F.collect_list(F.when(inside, F.struct("col", "value", "top"))).alias("words"))
+    cell = lambda c, own, label: F.struct(c.alias("col"), own.cast("string").alias("own"), label.cast("string").alias("label"))
+    wide = F.transform(F.sequence("box.left", "box.right"), lambda c: cell(c, F.lit(None), F.lit(None)))
+    words = F.transform("words", lambda x: cell(x["col"], F.when(x["top"], x["value"]), F.when(~x["top"], x["value"])))
     along = Window.partitionBy("sheet", "region").orderBy("col")
+    spread = told.select("sheet", "region", F.explode(F.concat(wide, words)).alias("x")).select("sheet", "region", "x.*")
+    named = spread.groupBy("sheet", "region", "col").agg(F.max("own").alias("own"), F.max("label").alias("label"))
     own = F.coalesce("own", F.concat(F.lit("Column "), _letters(F.col("col"))))
     full = named.withColumn("name", F.concat_ws(" ", F.last("label", ignorenulls=True).over(along), own))
     nth = F.row_number().over(Window.partitionBy("sheet", "region", F.lower("name")).orderBy("col"))

@@ -544,6 +544,16 @@ def test_regions_deal_cells_twice(spark):
     assert sorted(map(tuple, found.collect())) == [("S", 1, 0, 1, 1, 2, 0, 1, 2, 0), ("T", 1, 5, 1, 6, 6, 2, 2, 1, 0)]
 
 
+def test_headers_deal_only_texts_again(spark):
+    """One exchange of the texts and two of the tables beside those of the regions; a table without a header has letters for names."""
+    sheet = [["", "Q1", "", "Q2", ""], ["Rep", "Jan", "jan", "", "May"], ["Ann", "1", "2", "3", "4"], ["Bob", "1", "2", "3", "4"], [], [], [], ["1", "2"], ["4", "5"]]
+    grid = spark.createDataFrame([("S", i, j + 1, v) for i, row in enumerate(sheet) for j, v in enumerate(row)], "sheet string, row int, col int, value string")
+    found = regions.headers(grid)
+    assert exchanged(found) <= {"hashpartitioning(sheet, row, 4)", "hashpartitioning(sheet, 4)", "hashpartitioning(sheet, region, 4)"}
+    names = {(r["region"], r["col"]): r["name"] for r in found.collect()}
+    assert names == {(1, 1): "Rep", (1, 2): "Q1 Jan", (1, 3): "Q1 jan (2)", (1, 4): "Q2 Column D", (1, 5): "Q2 May", (2, 1): "Column A", (2, 2): "Column B"}
+
+
 @pytest.mark.parametrize(
     ("format", "kind", "unit"),
     [
