@@ -123,7 +123,7 @@ def _plain_class(df: DataFrame, c: str, format_kind: str) -> Column:
 
 
 def infer(df: DataFrame, formats: dict[str, str] | None = None, formulas: dict[str, float] | None = None) -> list[dict]:
-    """What kind each column of an untyped table is, with its flags and warnings; one pass over all columns.
+    """What kind each column of an untyped table is, with its flags and warnings; texts are counted first and each is read once.
 
     ``formats``: number formats of columns; ``formulas``: the share of a column's cells that are computed.  Cells are
     texts, or values of the column's type.
@@ -133,28 +133,51 @@ def infer(df: DataFrame, formats: dict[str, str] | None = None, formulas: dict[s
     if formats:
         said = spark.range(1).select(*[x for f in formats.values() for x in (workbook.format_class(F.lit(f)), workbook.format_unit(F.lit(f)))]).first()
         told |= {c: (said[2 * i], said[2 * i + 1]) for i, c in enumerate(formats)}
-    read = []  # what each cell says, once; the counts refer to it
-    for i, c in enumerate(df.columns):
-        cell, is_text = F.col(f"`{c}`"), isinstance(df.schema[c].dataType, T.StringType)
-        if is_text:
-            read += [_word_class(cell).alias(f"word_{i}"), cells.number_parts(cell).alias(f"n_{i}"), cells.date_signs(cell).alias(f"d_{i}")]
-            layout, way, units, value = (F.col(x) for x in (f"d_{i}.layout", f"d_{i}.way", f"n_{i}.unit", f"n_{i}.value"))
-            kind = F.coalesce(f"word_{i}", f"n_{i}.kind", F.when(layout == "yyyy-mm-dd hh:mm", "datetime").when(layout.isNotNull(), "date"), F.lit("string"))
-        else:
-            read += [_plain_class(df, c, told[c][0]).alias(f"word_{i}"), (cell if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None)).cast("double").alias(f"n_{i}")]
-            kind, value, layout, units, way = F.col(f"word_{i}"), F.col(f"n_{i}"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean")
-        asked += [F.count_if(kind == k).alias(f"{k}{i}") for k in CLASSES]
-        dated = kind.isin("date", "datetime")
-        asked += [F.count_if(dated & way).alias(f"day{i}"), F.count_if(dated & ~way).alias(f"month{i}"), F.count_if(dated & (layout == "numeric") & way.isNull()).alias(f"either{i}"), F.collect_set(F.when(dated, layout)).alias(f"layouts{i}")]
-        counted = F.when(kind.isin("number", "percent", "currency"), value)
-        asked += [F.min(counted).alias(f"min{i}"), F.max(counted).alias(f"max{i}"), F.count_if(counted != F.floor(counted)).alias(f"fractions{i}")]
-        asked += [F.count_if(units == u).alias(f"{u}{i}") for u in UNITS]
-    row = df.select(*read).agg(F.count(F.lit(1)).alias("rows"), *asked).first()
-    distinct = {r["column"]: r["distinct"] for r in typed_values(df, df.columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct")).collect()}
-    return [_inferred(df, c, {k[: -len(str(i))]: v for k, v in row.asDict().items() if re.fullmatch(rf"[A-Za-z]+{i}", k)}, row["rows"], distinct.get(c, 0), told[c], formats.get(c), (formulas or {}).get(c, 0.0)) for i, c in enumerate(df.columns)]
+    number = {c: i for i, c in enumerate(df.columns)}
+    texts = [c for c in df.columns if isinstance(df.schema[c].dataType, T.StringType)]
+    plain = [c for c in df.columns if c not in texts]
+    none_yet = {k: [] if k == "layouts" else None if k in ("min", "max") else 0 for k in _COUNTED}
+    seen, distinct = {c: dict(none_yet) for c in df.columns}, {}
+    if texts:  # each text is read once, however often it occurs
+        keyed = [F.struct(F.lit(number[c]).alias("at"), _text_key(F.col(f"`{c}`")).alias("value")) for c in texts]
+        counted = df.select(F.explode(F.array(*keyed)).alias("x")).select("x.at", "x.value").groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"))
+        cell, code = F.col("value"), F.col("value").isin(*cells.ERROR_CODES)
+        word = F.when(code, "error").when(cell.isin(*cells.NULL_TOKENS), "null").when(cell.isin("true", "false"), "boolean")
+        said = counted.select("at", "n", word.alias("word"), F.when(word.isNull(), cells.number_parts(cell)).alias("p"), F.when(word.isNull(), cells.date_signs(cell)).alias("d"))
+        said = said.select("at", "n", "word", "p.*", "d.*").withColumn("class", F.coalesce("word", "kind", F.when(F.col("layout") == "yyyy-mm-dd hh:mm", "datetime").when(F.col("layout").isNotNull(), "date"), F.lit("string")))
+        for r in said.groupBy("at").agg(*_counts(F.col("class"), F.col("value"), F.col("layout"), F.col("unit"), F.col("way"), F.col("n"))).collect():
+            seen[df.columns[r["at"]]] = r.asDict()
+            distinct[df.columns[r["at"]]] = r["distinct"]
+    if plain:
+        asked = []
+        for c in plain:
+            cell, none = F.col(f"`{c}`"), F.lit(None).cast("string")
+            value = (cell if isinstance(df.schema[c].dataType, T.NumericType) else F.lit(None)).cast("double")
+            asked += [x.alias(f"p{number[c]}_{k}") for k, x in zip(_COUNTED, _counts(_plain_class(df, c, told[c][0]), value, none, none, none.cast("boolean"), F.lit(1)), strict=True)]
+        for k, v in df.agg(*asked).first().asDict().items():
+            i, name = k[1:].split("_", 1)
+            seen[df.columns[int(i)]][name] = none_yet[name] if v is None else v
+        distinct |= {r["column"]: r["distinct"] for r in typed_values(df, plain).groupBy("column").agg(F.count(F.lit(1)).alias("distinct")).collect()}
+    return [_inferred(df, c, seen[c], seen[c]["rows"], distinct.get(c, 0), told[c], formats.get(c), (formulas or {}).get(c, 0.0)) for c in df.columns]
+
+
+def _text_key(cell: Column) -> Column:
+    """A text by which cells say the same: lower-cased and without white space around it, an error code in upper case, a null as empty."""
+    t = cells.clean(cell)
+    return F.coalesce(F.when(F.upper(t).isin(*cells.ERROR_CODES), F.upper(t)).otherwise(F.lower(t)), F.lit(""))
+
+
+def _counts(kind: Column, value: Column, layout: Column, units: Column, way: Column, n: Column) -> list[Column]:
+    """What is counted of a column's cells (or of its distinct texts, each ``n`` times); in the order of ``_COUNTED``."""
+    dated, counted = kind.isin("date", "datetime"), F.when(kind.isin("number", "percent", "currency"), value)
+    times = lambda p: F.coalesce(F.sum(F.when(p, n)), F.lit(0))
+    found = [F.sum(n), F.count_if(~kind.isin("null", "error")), *[times(kind == k) for k in CLASSES], times(dated & way), times(dated & ~way), times(dated & (layout == "numeric") & way.isNull())]
+    found += [F.collect_set(F.when(dated, layout)), F.min(counted), F.max(counted), times(counted != F.floor(counted)), *[times(units == u) for u in UNITS]]
+    return [x.alias(k) for k, x in zip(_COUNTED, found, strict=True)]
 
 
 UNITS = tuple(dict.fromkeys(cells.CURRENCY_UNITS.values()))
+_COUNTED = ("rows", "distinct", *CLASSES, "day", "month", "either", "layouts", "min", "max", "fractions", *UNITS)
 
 
 def _inferred(df: DataFrame, c: str, n: dict, rows: int, few: int, told: tuple[str, str | None], format: str | None, computed: float) -> dict:

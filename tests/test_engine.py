@@ -488,6 +488,18 @@ def test_infer_columns(spark):
     assert {r["column"]: r["values"] for r in profile.exemplars(df).collect()}["channel"] == ["shop", "web"]
 
 
+def test_infer_reads_each_text_once(spark, monkeypatch):
+    """One reading for all columns, over distinct texts; the counts are those of cells, the distinct ones fold case and spaces."""
+    asked, read = [], cells.number_parts
+    monkeypatch.setattr(cells, "number_parts", lambda c: (asked.append(c), read(c))[1])
+    df = spark.createDataFrame([("$1", "x", "1/2/2025", 0.0, 3), (" $1", "X ", "13/2/2025", 0.5, 4), ("#ref!", None, "13/2/2025", 1.0, None), ("7", "N/A", "", 0.0, 4)], "a string, b string, c string, rate double, n int")
+    got = {x["column"]: x for x in profile.infer(df)}
+    assert len(asked) == 1
+    assert [(c, x["kind"], x["rows"], x["distinct"], x["null_rate"]) for c, x in got.items()] == [("a", "currency", 4, 2, 0.25), ("b", "categorical", 4, 1, 0.5), ("c", "date", 4, 2, 0.25), ("rate", "percent", 4, 3, 0.0), ("n", "number", 4, 2, 0.25)]
+    assert got["a"]["may_contain_errors"] and got["rate"]["percent_scale"] == 1 and got["c"]["day_first"] is True
+    assert [x["kind"] for x in profile.infer(df.limit(0))] == ["empty"] * 5
+
+
 def test_key_candidates(spark):
     df = spark.createDataFrame([(1, 1.0, 0.5, "a", "n/a", dt.date(2025, 1, 1), "x"), (2, 2.0, 1.5, "b", "c", dt.date(2025, 1, 2), "#REF!"), (3, 3.0, 2.5, "A", "d", dt.date(2025, 1, 3), "z")], "i int, w double, f double, t string, n string, d date, e string")
     got = {r["column"]: r for r in profile.profile(df).collect()}
