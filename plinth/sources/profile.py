@@ -246,26 +246,75 @@ def _tokens(name: Column) -> Column:
     return F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda t: (F.length(t) > 1) & (t != "id"))
 
 
+_BITS = 63  # of a long, without its sign
+
+
+def _about(name: str, df: DataFrame, columns: list[str], number: dict[tuple[str, str], int]) -> DataFrame:
+    """table, id (its number), column, rows, typed (neither nulls nor errors), text, fits (text or whole numbers) of each column; one pass."""
+    fractions = _fraction(df, columns).alias("fractions")
+    rows = df.agg(F.count(F.lit(1)).alias("rows"), fractions, *[F.count(_filled(df, c)).alias(f"t{i}") for i, c in enumerate(columns)])
+    each = [F.struct(F.lit(number[name, c]).alias("id"), F.lit(c).alias("column"), F.col(f"t{i}").alias("typed"), F.lit(isinstance(df.schema[c].dataType, T.StringType)).alias("text"), (~F.array_contains("fractions", c)).alias("fits")) for i, c in enumerate(columns)]
+    return rows.select(F.lit(name).alias("table"), "rows", F.explode(F.array(*each)).alias("x")).select("table", "rows", "x.*")
+
+
+def _filled(df: DataFrame, c: str) -> Column:
+    """Something if ``_typed`` is, without making the text."""
+    cell = F.col(f"`{c}`")
+    if not isinstance(df.schema[c].dataType, T.StringType):
+        return cell
+    return F.when(~cells.is_null_token(cell) & cells.error_code(cell).isNull(), True)
+
+
+def _shared(tables: dict[str, DataFrame], columns: dict[str, list[str]], number: dict[tuple[str, str], int]) -> DataFrame:
+    """(ids, n): how many distinct values lie in just these columns, by their numbers; text and numbers apart.
+
+    A value's columns are bits, put together by one hash aggregation over all tables.  Columns of fractions are left
+    out before their values are made.
+    """
+    words, long = -(-len(number) // _BITS), None
+    for name, df in tables.items():
+        parts = [c for c in columns[name] if isinstance(df.schema[c].dataType, T.FractionalType)]
+        if parts:
+            df = df.crossJoin(F.broadcast(df.agg(_fraction(df, parts).alias("__fractions"))))
+        keyed = []
+        for c in columns[name]:
+            text, at = isinstance(df.schema[c].dataType, T.StringType), number[name, c]
+            value = F.when(~F.array_contains("__fractions", c), _typed(df, c)) if c in parts else _typed(df, c)
+            bits = [F.lit(1 << at % _BITS if at // _BITS == w else 0).cast("long").alias(f"b{w}") for w in range(words)]
+            keyed.append(F.struct(F.lit(text).alias("text"), value.alias("value"), *bits))
+        part = df.select(F.explode(F.array(*keyed)).alias("x")).select("x.*").where("value is not null")
+        long = part if long is None else long.unionByName(part)
+    masks = [f"b{w}" for w in range(words)]
+    sets = long.groupBy("text", "value").agg(*[F.bit_or(b).alias(b) for b in masks]).groupBy(*masks).agg(F.count(F.lit(1)).alias("n"))
+    held = [F.when(F.col(masks[i // _BITS]).bitwiseAND(F.lit(1 << i % _BITS).cast("long")) != 0, F.lit(i)) for i in number.values()]
+    return sets.select(F.array_compact(F.array(*held)).alias("ids"), "n")
+
+
 def join_candidates(tables: dict[str, DataFrame], least: float = 0.8, most: int = 50) -> DataFrame:
     """from_table, from_column, to_table, to_column, cardinality, overlap, confidence: columns whose values lie in a key of another table.
 
-    All columns of text and of whole numbers go into one long table of distinct values, which is joined with itself on the
-    value; both sides have two values at least.  Numbers need related names (a word in common), which is checked before
-    rows meet; texts with unrelated names count for 0.9.  Of a pair that fits both ways the surer one is kept.
+    All columns of text and of whole numbers go into one long table, in which each value is grouped once with the columns that
+    it lies in; few sets of columns are left, and pairs are counted over these.  Both sides have two values at least.  Numbers
+    need related names (a word in common); texts with unrelated names count for 0.9.  Of a pair that fits both ways the surer
+    one is kept.
     """
-    values = about = None
+    columns = {name: [f.name for f in df.schema if isinstance(f.dataType, T.StringType | T.NumericType) and not f.name.startswith("__")] for name, df in tables.items()}
+    columns = {name: found for name, found in columns.items() if found}
+    tables = {name: tables[name] for name in columns}
+    number = {(name, c): i for i, (name, c) in enumerate((name, c) for name, found in columns.items() for c in found)}
+    about = None
     for name, df in tables.items():
-        columns = [f.name for f in df.schema if isinstance(f.dataType, T.StringType | T.NumericType)]
-        found = profile(df).where((F.col("type") == "string") | F.col("whole")).where("distinct >= 2").select(F.lit(name).alias("table"), "column", (F.col("type") == "string").alias("text"), "distinct", "key")
-        part = typed_values(df, columns).select(F.lit(name).alias("table"), "column", "value")
-        values, about = (part, found) if values is None else (values.unionByName(part), about.unionByName(found))
+        found = _about(name, df, columns[name], number)
+        about = found if about is None else about.unionByName(found)
+    sets = _shared(tables, columns, number).select("n", F.explode("ids").alias("from"), F.col("ids").alias("others"))
+    met = sets.select("n", "from", F.explode("others").alias("to")).groupBy("from", "to").agg(F.sum("n").alias("common"))
+    about = about.where("fits").join(met.where("from = to").select(F.col("from").alias("id"), F.col("common").alias("distinct")), "id").where("distinct >= 2")
+    about = about.withColumn("key", (F.col("typed") == F.col("rows")) & (F.col("distinct") == F.col("typed")))
     about = about.withColumns({"tokens": _tokens(F.col("column")), "plain": F.regexp_replace(F.lower("column"), "[^a-z0-9]", "")})
-    side = lambda way, rows: values.join(F.broadcast(rows), ["table", "column"]).select(*[F.col(c).alias(f"{way}_{c}") for c in rows.columns], "value")  # noqa: E731  one row a column
-    left, right = side("from", about), side("to", about.where("key"))
+    side = lambda way: about.select(F.col("id").alias(way), *[F.col(c).alias(f"{way}_{c}") for c in ("table", "column", "text", "distinct", "key", "tokens", "plain")])  # noqa: E731  one row a column
     related = F.arrays_overlap("from_tokens", "to_tokens") | (F.col("from_plain") == F.col("to_plain"))
-    pairs = left.join(right, "value").where((F.col("from_table") != F.col("to_table")) & (F.col("from_text") == F.col("to_text")) & (F.col("from_text") | related))
-    by = ["from_table", "from_column", "to_table", "to_column", "from_distinct", "from_key", related.alias("related")]
-    counted = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("common"))
+    pairs = met.join(side("from"), "from").join(side("to").where("to_key"), "to").where((F.col("from_table") != F.col("to_table")) & (F.col("from_text") == F.col("to_text")) & (F.col("from_text") | related))
+    counted = pairs.withColumn("related", related)
     overlap = F.col("common") / F.col("from_distinct")
     confidence = overlap * (0.6 + 0.4 * F.least(F.lit(1.0), F.col("from_distinct") / 5)) * F.when(F.col("related"), 1.0).otherwise(0.9)
     out = counted.withColumns({"overlap": F.round(overlap, 2), "confidence": F.round(confidence, 2)}).where(overlap >= least)

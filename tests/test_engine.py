@@ -519,6 +519,17 @@ def test_join_candidates(spark):
     ]
 
 
+def test_join_candidates_group_values_once(spark):
+    """No join of values: a value is dealt once for all columns, and columns of fractions are not; more columns than a long has bits."""
+    left = spark.createDataFrame([(i, i / 2, f"C{i % 4}", "n/a") for i in range(8)], "part_no int, price double, code string, `odd'name` string")
+    right = left.selectExpr("part_no AS part_ref", "cast(part_no as double) AS part_whole", "lower(code) AS label", *[f"part_no + {100 * i} AS filler_{i}" for i in range(1, 70)], "1 AS __hidden").where("part_no < 4")
+    found = profile.join_candidates({"left": left, "right": right, "none": left.select(F.array("code").alias("a"))})
+    assert not any(x.startswith("hashpartitioning(value") for x in exchanged(found)) and "hashpartitioning(text, value, 4)" in exchanged(found)
+    assert [tuple(r) for r in found.collect()] == [
+        ("right", "part_ref", "left", "part_no", "one-to-one", 1.0, 0.92), ("right", "part_whole", "left", "part_no", "one-to-one", 1.0, 0.92), ("left", "code", "right", "label", "many-to-one", 1.0, 0.83),
+    ]
+
+
 def test_regions(spark):
     sheet = [
         ["Q1 report"], [], ["Region", "Rep", "Qty"], ["North"], ["North", "Ann", "3"], ["North", "Bob", "4"], ["Subtotal", "", "7"], [], ["South"], ["South", "Cy", "5"], ["Grand total", "", "12"], [], [], [], ["Code", "Name"], ["n", "North"], ["s", "South"],
